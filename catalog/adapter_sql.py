@@ -40,7 +40,7 @@ def close(day: str) -> str:
     )
 
 
-_NAICS = f"CASE WHEN {{loc}} % 23 <> 5 THEN list_extract({_list(NAICS)}, CAST({{loc}} % 20 + 1 AS INTEGER)) END"
+_NAICS = f"CASE WHEN {{loc}} % 23 <> 5 THEN list_extract({_list(NAICS)}, CAST({{loc}} % 16 + 1 AS INTEGER)) END"
 _CITY = (
     "CASE WHEN {loc} % 2 = 0 THEN upper(g.region || ' City') "
     "ELSE lower(g.region || ' City') END"
@@ -132,7 +132,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         ("rows_",),
         """
         SELECT *, CASE WHEN mix % 4 = 0 THEN CAST(created_at + CAST(mix % 50 + 10 AS INTEGER) AS DATE) END AS archived_at
-        FROM (SELECT *, id // 1000000000 * 7 + id // 1000 % 1000000 * 3 + id % 1000 AS mix FROM (SELECT (user_id * 1000000 + location_id) * 1000
+        FROM (SELECT *, user_id * 7 + location_id * 3 + id % 1000 AS mix FROM (SELECT (user_id * 1000000 + location_id) * 1000
                          + (year(event_date) - 1995) * 12 + month(event_date) AS id,
                      user_id, location_id, min(event_date) AS created_at
               FROM rows_ GROUP BY 1, 2, 3))""",

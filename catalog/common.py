@@ -16,7 +16,7 @@ WINDOWS = {year: sunday_window(year) for year in sample.BENCHMARK_YEARS}
 LABOR_START = date(1999, 1, 1)
 SERIES_START = date(1999, 1, 27)
 ANCHOR = report_anchor(AS_OF)
-SCOPE = EventScope(event_start=date(2001, 6, 4), event_end=date(2001, 7, 8), city="ASIA CITY", min_locations=4)
+SCOPE = EventScope(event_start=date(2001, 6, 4), event_end=date(2001, 7, 8), city="ASIA CITY", min_locations=3)
 DATES = event_dates(SCOPE, AS_OF)
 
 WINDOW_ROWS = ", ".join(f"({y}, DATE '{a}', DATE '{b}')" for y, (a, b) in WINDOWS.items())

@@ -29,6 +29,7 @@ QUERIES = {
     "event_weekly_metrics_calendar_year": lambda s, d: _report(s, d, literal_years=True).weekly(),
     "event_yearly_deltas": _deltas,
     "event_yearly_deltas_open_ended": lambda s, d: _deltas(s, d, scope=OPEN_ENDED),
+    "event_yearly_deltas_calendar_year": lambda s, d: _deltas(s, d, literal_years=True),
     "event_yearly_deltas_suppressed": lambda s, d: _deltas(s, d, suppress=True),
     "event_period_summary": lambda s, d: rounded(_report(s, d).summary(), 6, "mean_delta", "sd_delta", "se_delta"),
     "event_significance": lambda s, d: rounded(
@@ -102,8 +103,8 @@ _WELCH = f"""
            {half_up('t', 6)} AS t_stat, {half_up('df', 6)} AS df, {half_up(_P_VALUE, 6)} AS p_value,
            {_P_VALUE} < 0.05 AS significant
     FROM (SELECT *, atan(abs(t) / sqrt(df)) AS th FROM (
-        SELECT *, (m - bm) / sqrt(v / n + bv / bn) AS t,
-               pow(v / n + bv / bn, 2) / (pow(v / n, 2) / (n - 1) + pow(bv / bn, 2) / (bn - 1)) AS df
+        SELECT *, (m - bm) / sqrt(nullif(v / n + bv / bn, 0)) AS t,
+               pow(nullif(v / n + bv / bn, 0), 2) / (pow(v / n, 2) / (n - 1) + pow(bv / bn, 2) / (bn - 1)) AS df
         FROM st JOIN (SELECT metric, n AS bn, m AS bm, v AS bv FROM st WHERE period = 'baseline') USING (metric)
         WHERE period <> 'baseline' AND n >= 2 AND bn >= 2))"""
 _STATS = """
@@ -129,6 +130,9 @@ SQL = {
         metrics=_METRICS,
         deltas=_delta_rows(_period(OPEN_ENDED, DATES)),
     ),
+    "event_yearly_deltas_calendar_year": using(
+        "timeclock", _SHOW_DELTAS, wkly=_weekly("year"), metrics=_METRICS, deltas=_delta_rows()
+    ),
     "event_yearly_deltas_suppressed": using(
         "timeclock", _SHOW_DELTAS, **_CHAIN, deltas=_delta_rows(where="NOT thin_sample")
     ),

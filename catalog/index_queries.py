@@ -33,6 +33,17 @@ def _index(spark, sf, by=(), **options):
     return ix.daily_index(_actuals(spark, sf, by), _bench(spark, sf), by, **options)
 
 
+def _moved(spark, sf):
+    """Events whose city spelling changes inside every benchmark window."""
+    late = F.dayofmonth("event_date") > 18
+    return _events(spark, sf).withColumn("city", F.when(late, F.upper("city")).otherwise(F.lower("city")))
+
+
+def _moved_monthly(spark, sf, presum):
+    moved = _moved(spark, sf)
+    return ix.labor_index(moved, bm.weekday_benchmark(moved, WINDOWS), LABOR_START, AS_OF, presum=presum)
+
+
 def _monthly(spark, sf, **options):
     return ix.labor_index(_events(spark, sf), _bench(spark, sf), LABOR_START, AS_OF, **options)
 
@@ -54,7 +65,9 @@ IDX = ("idx_employees", "idx_hours", "idx_open")
 
 QUERIES = {
     "labor_index_monthly": _monthly,
-    "labor_index_monthly_presummed": lambda s, d: _monthly(s, d, presum=True),
+    "labor_index_relabelled": lambda s, d: _moved_monthly(s, d, presum=False),
+    "labor_index_relabelled_presummed": lambda s, d: _moved_monthly(s, d, presum=True),
+    "duplicate_benchmark_keys": lambda s, d: qa.duplicate_benchmark_keys(bm.weekday_benchmark(_moved(s, d), WINDOWS)),
     "labor_index_month_benchmark": lambda s, d: ix.monthly_index(
         ix.daily_index(_actuals(s, d), bm.month_benchmark(_actuals(s, d)))
     ),
@@ -121,7 +134,7 @@ _US = "state NOT IN ('Not USA', 'Unclassified')"
 _SPAN = f"event_date BETWEEN DATE '{LABOR_START}' AND DATE '{AS_OF}'"
 
 
-def _days(where: str, labels: str = "state, msa, industry, city, ") -> str:
+def _days(where: str, labels: str = "state, msa, industry, city, ", source: str = "shift_events") -> str:
     return f"""
     SELECT location_id, {labels}event_date, max(has_clock_in) AS has_clock_in,
            CAST(bool_or(unscheduled = 0) AS INTEGER) AS has_scheduled_shift,
@@ -132,7 +145,7 @@ def _days(where: str, labels: str = "state, msa, industry, city, ") -> str:
            count(*) FILTER (has_clock_in = 1) AS total_clock_ins,
            coalesce(sum(hours_scheduled), 0) AS total_hours_scheduled,
            coalesce(sum(hours_worked) FILTER (has_clock_in = 1), 0) AS total_hours_worked
-    FROM shift_events {where} GROUP BY ALL"""
+    FROM {source} {where} GROUP BY ALL"""
 
 
 _HOURS_AS_DOUBLE = (
@@ -142,7 +155,8 @@ _HOURS_AS_DOUBLE = (
 
 
 _WIN = f"SELECT * FROM (VALUES {WINDOW_ROWS}) AS w(yr, lo, hi)"
-_WIN_DAYS = _days("WHERE EXISTS (FROM win WHERE event_date BETWEEN lo AND hi)")
+_IN_WIN = "WHERE EXISTS (FROM win WHERE event_date BETWEEN lo AND hi)"
+_WIN_DAYS = _days(_IN_WIN)
 _BENCH = (
     """
     SELECT CAST(yr AS INTEGER) AS yr, location_id, state, msa, industry, city,
@@ -211,10 +225,14 @@ def _report(extra: str = "") -> str:
 def _chain(levels: str = _RAW_LEVELS, **kw) -> dict:
     extra = kw.get("extra", "")
     return dict(
-        win=_WIN, days=_WIN_DAYS, totals=_BENCH, lv=levels, act=_act(extra), idx=_idx(extra, digits=None), mon=_months(extra)
+        win=_WIN, days=kw.get("days", _WIN_DAYS), totals=_BENCH, lv=levels, act=_act(extra), idx=_idx(extra, digits=None), mon=_months(extra)
     )
 
 
+_MOVED = (
+    "SELECT * REPLACE (CASE WHEN day(event_date) > 18 THEN upper(city) ELSE lower(city) END AS city) FROM shift_events"
+)
+_MOVED_DAYS = _days(_IN_WIN, source="moved")
 _PRESUM = (
     "SELECT yr, location_id, day_of_week, sum(bu) AS bu, sum(bh) AS bh, sum(bo) AS bo "
     f"FROM ({_RAW_LEVELS}) GROUP BY ALL"
@@ -229,7 +247,18 @@ _REGION = """
 
 SQL = {
     "labor_index_monthly": using("shift_events", _report(), **_chain()),
-    "labor_index_monthly_presummed": using("shift_events", _report(), **_chain(_PRESUM)),
+    "labor_index_relabelled": using("shift_events", _report(), moved=_MOVED, **_chain(days=_MOVED_DAYS)),
+    "labor_index_relabelled_presummed": using(
+        "shift_events", _report(), moved=_MOVED, **_chain(_PRESUM, days=_MOVED_DAYS)
+    ),
+    "duplicate_benchmark_keys": using(
+        "shift_events",
+        """SELECT yr, location_id, day_of_week, count(*) AS rows FROM totals GROUP BY ALL HAVING count(*) > 1""",
+        moved=_MOVED,
+        win=_WIN,
+        days=_MOVED_DAYS,
+        totals=_BENCH,
+    ),
     "labor_index_month_benchmark": using(
         "shift_events", _report(), act=_act(), lv=_MONTH_LEVELS, idx=_idx(digits=None), mon=_months()
     ),

@@ -66,7 +66,6 @@ QUERIES = {
     "missing_days": lambda s, d: qa.missing_days(sample.shift_events(s, d), *GAP_SPAN),
     "column_profile": lambda s, d: qa.column_profile(sample.shift_events(s, d), PROFILED),
     "contract_violations": lambda s, d: qa.contract_violations(sample.shift_events(s, d)),
-    "duplicate_benchmark_keys": lambda s, d: qa.duplicate_benchmark_keys(index_queries._bench(s, d).unionByName(index_queries._bench(s, d).filter(F.col("denominator_clock_ins") > 2))),
     "suppressed_region_days": _regional_days,
     "overview": lambda s, d: rounded(report(s, d).overview(WINDOWS), 6, "value"),
 }
@@ -157,13 +156,6 @@ SQL = {
                   count(*) FILTER (event_date IS NULL OR location_id IS NULL) AS missing_key
            FROM shift_events""",
     ),
-    "duplicate_benchmark_keys": using(
-        "shift_events",
-        "SELECT yr, location_id, day_of_week, CAST(2 AS BIGINT) AS rows FROM totals WHERE denominator_clock_ins > 2",
-        win=index_queries._WIN,
-        days=index_queries._WIN_DAYS,
-        totals=index_queries._BENCH,
-    ),
     "suppressed_region_days": using(
         "shift_events",
         f"""SELECT event_date, region, CAST(sum(is_open) AS BIGINT) AS open_locations, count(*) AS locations

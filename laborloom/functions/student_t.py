@@ -34,4 +34,6 @@ def two_sided_p(t: Column, df: Column) -> Column:
     phi = HALF_PI - F.atan(F.abs(t) / F.sqrt(df))
     low = F.sqrt(F.greatest(F.lit(0.0), HALF_PI - 40 / F.sqrt(df)))
     top = F.greatest(low, F.sqrt(phi))
-    return F.least(F.lit(1.0), _area(low, top, df) / _area(low, F.lit(math.sqrt(HALF_PI)), df))
+    p = F.least(F.lit(1.0), _area(low, top, df) / _area(low, F.lit(math.sqrt(HALF_PI)), df))
+    # greatest and least skip NULLs, so an undefined statistic is ruled out first.
+    return F.when(t.isNotNull() & df.isNotNull(), p)

@@ -90,18 +90,21 @@ def build_shift_events(
         F.col("created_at").alias("timecard_created_at"),
         hours_between("start_at", "end_at").alias("hours_worked"),
     )
-    job = jobs.select(F.col("id").alias("job_id"), "user_id", "location_id")
-    by_role = role_wages.select("user_id", "role_id", F.col("wage_rate").alias("role_rate"))
+    # Everything that depends on the roster row alone is attached to the roster,
+    # which leaves the shifts three shuffles: timecard, roster row, role wage.
     by_default = default_wages.select("user_id", F.col("wage_rate").alias("default_rate"))
+    job = (
+        jobs.select(F.col("id").alias("job_id"), "user_id", "location_id")
+        .join(by_default, "user_id", "left")
+        .join(location_labels(locations, companies, maps), "location_id", "left")
+    )
+    by_role = role_wages.select("user_id", "role_id", F.col("wage_rate").alias("role_rate"))
     rate = F.coalesce("role_rate", "default_rate")
-    labels = location_labels(locations, companies, maps)
     return (
         shift.join(card, "shift_id", "left")
         .join(job, "job_id")
         .join(by_role, ["user_id", "role_id"], "left")
-        .join(by_default, "user_id", "left")
         .withColumn("hourly_wage_rate", F.when(rate < RATE_CEILING, rate))
-        .join(labels, "location_id", "left")
         .select(
             "location_id",
             "company_id",
@@ -160,21 +163,30 @@ def build_timeclock(
     home = users.select(
         "user_id", F.col("highest_level_location").alias("_home"), F.col("created_at").alias("user_created_at")
     )
-    roster = jobs.select(F.col("id").alias("job_id"), "archived_at")
     place = locations.select(
         "location_id", F.col("archived_at").alias("loc_archived_at"), "naics_code", F.col("created_at").alias("_opened")
     ).join(engagement.select("location_id", *ENGAGEMENT_FLAGS), "location_id", "left")
-    size_key = ["location_id", "event_date"] if "event_date" in location_sizes.columns else ["location_id"]
+    dated = "event_date" in location_sizes.columns
+    size_key = ["location_id", "event_date"] if dated else ["location_id"]
     sizes = location_sizes.select(*size_key, F.col("employee_count").alias("_employees"))
-    return (
-        events.join(home, "user_id")
+    if not dated:
+        place = place.join(sizes, size_key, "left")
+    # The primary-location rule and all attributes are settled on the roster,
+    # so events meet one join that also drops their secondary-location rows.
+    roster = (
+        jobs.select(F.col("id").alias("job_id"), "user_id", "location_id", "archived_at")
+        .join(home, "user_id")
         .filter(F.col("location_id") == F.col("_home"))
-        .join(roster, "job_id", "left")
         .join(place, "location_id", "left")
-        .join(sizes, size_key, "left")
-        .withColumn("employee_count", size_band("_employees"))
+        .drop("user_id", "location_id", "_home")
+    )
+    joined = events.join(roster, "job_id")
+    if dated:
+        joined = joined.join(sizes, size_key, "left")
+    return (
+        joined.withColumn("employee_count", size_band("_employees"))
         .withColumn("location_age", F.datediff("event_date", F.col("_opened").cast("date")))
-        .drop("_home", "_opened", "_employees")
+        .drop("_opened", "_employees")
     )
 
 

@@ -60,8 +60,12 @@ INDUSTRIES = tuple(sorted(NAICS_BY_INDUSTRY))
 
 def naics_rules(spark: SparkSession) -> DataFrame:
     """(naics_code, broad_industry) rules as a small relation."""
-    pairs = [(code, label) for label, codes in NAICS_BY_INDUSTRY.items() for code in codes.split()]
-    return spark.createDataFrame(pairs, "naics_code string, broad_industry string")
+    groups = [
+        F.struct(F.lit(label).alias("broad_industry"), F.lit(" ".join(codes.split())).alias("codes"))
+        for label, codes in NAICS_BY_INDUSTRY.items()
+    ]
+    rows = spark.range(1).select(F.inline(F.array(*groups)))
+    return rows.select(F.explode(F.split("codes", " ")).alias("naics_code"), "broad_industry")
 
 
 def by_naics(df: DataFrame, code: str = "naics_code", rules: DataFrame | None = None) -> DataFrame:

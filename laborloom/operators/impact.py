@@ -103,23 +103,25 @@ def period_label(scope: EventScope, dates: EventDates) -> Column:
 def yearly_deltas(weekly: DataFrame, scope: EventScope, dates: EventDates, suppress: bool = False) -> DataFrame:
     """Latest year against the year before, per ISO week, in long form.
 
-    ``weekly`` is at most a few hundred rows; the latest year is read off it.
+    A one-year range frame stands in for a self join, so the events behind
+    ``weekly`` are read once. Its list has one entry per prior-year row of the
+    ISO week: normally one, two where calendar years split a week.
     """
     if suppress:
         weekly = weekly.filter(~F.col("thin_sample"))
-    latest = F.max("yr").over(Window.partitionBy())
-    dated = weekly.withColumn("latest", latest)
-    current = dated.filter(F.col("yr") == F.col("latest"))
-    prior = dated.filter(F.col("yr") == F.col("latest") - 1)
-
-    def long(df: DataFrame, keep: list[str], value: str) -> DataFrame:
-        doubles = [F.col(name).cast("double").alias(name) for name in METRICS]
-        return df.select(*keep, *doubles).unpivot(keep, list(METRICS), "metric", value)
-
-    now = long(current, ["iso_week", "week_start"], "current_value")
-    then = long(prior, ["iso_week"], "prior_value")
+    doubles = [F.col(name).cast("double").alias(name) for name in METRICS]
+    keep = ["yr", "iso_week", "week_start"]
+    long = weekly.select(*keep, *doubles).unpivot(keep, list(METRICS), "metric", "current_value")
+    year_before = Window.partitionBy("metric", "iso_week").orderBy("yr").rangeBetween(-1, -1)
+    priors = F.collect_list(F.struct(F.col("current_value").alias("prior_value"))).over(year_before)
+    paired = (
+        long.withColumn("priors", priors)
+        .withColumn("latest", F.max("yr").over(Window.partitionBy("metric")))
+        .filter(F.col("yr") == F.col("latest"))
+        .select("metric", "iso_week", "week_start", "current_value", F.inline("priors"))
+    )
     delta = F.col("current_value") - F.col("prior_value")
-    return now.join(then, ["iso_week", "metric"]).select(
+    return paired.select(
         "metric",
         "iso_week",
         "week_start",

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from laborloom.functions.calendar import week_start
 from laborloom.functions.ratios import ratio
@@ -98,9 +99,12 @@ def location_weeks(weeks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def history_window(by: Sequence[str] = ()) -> "Window":
-    """Per location, ordered by week as a day number so day ranges work."""
-    return Window.partitionBy(*by, "location_id").orderBy(F.unix_date("week_start"))
+def history_window(by: Sequence[str] = ()) -> WindowSpec:
+    """Per location, ordered by the week's day number so that day ranges work.
+
+    The number is a real column: windows that share it share one sort.
+    """
+    return Window.partitionBy(*by, "location_id").orderBy("week_no")
 
 
 def qualified_weeks(
@@ -115,6 +119,7 @@ def qualified_weeks(
     rule); ``frame="calendar"`` uses calendar weeks and treats absent weeks as
     zero employees.
     """
+    totals = totals.withColumn("week_no", F.unix_date("week_start"))
     history = history_window(by)
     if frame == "rows":
         size = F.avg("weekly_employees").over(history.rowsBetween(-11, 0))

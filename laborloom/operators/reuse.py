@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 
 
-def computed_once(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` where the cluster names a checkpoint folder.
+def computed_once(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the cluster's checkpoint folder and read it back.
 
     Two consumers of one aggregate usually prune it to different columns, which
-    defeats exchange reuse and reads the events twice. Writing the compact
-    aggregate to the shared folder in ``spark.checkpoint.dir`` avoids that and
-    survives lost executors. Without a folder the plan simply stays lazy.
+    defeats exchange reuse and reads the events again for each of them. A table
+    in the shared folder named by ``spark.checkpoint.dir`` is computed once,
+    survives lost executors, stays columnar and has a known size for join
+    planning. Where no folder is configured the plan simply stays lazy.
     """
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    return df.checkpoint() if folder else df
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -44,17 +44,19 @@ def payroll_cohort(payroll_runs: DataFrame, anchor: ReportAnchor) -> DataFrame:
 
 
 def job_pay(events: DataFrame, cohort: DataFrame, start: date, end: date) -> DataFrame:
-    """Wages and hours per location, reporting month and job.
+    """Wages and hours of the cohort per location, reporting month and job.
 
     Bounds go on the raw clock-in column so the scan prunes, and the reporting
-    month is a function of the date rather than a join to a month list.
+    month is a function of the date rather than a join to a month list. The
+    cohort is applied to the totals, not to the events: raw rows are never
+    shuffled by location, where one large location would pile up.
     """
     scoped = between_dates(events.filter(F.col("timecard_created_at").isNotNull()), "timecard_created_at", start, end)
     pay = scoped.select("location_id", "timecard_created_at", "job_id", "total_wages_earned", "hours_worked")
-    matched = pay.join(cohort, "location_id", "left_semi")
-    return matched.groupBy(
+    totals = pay.groupBy(
         "location_id", month_close(F.col("timecard_created_at").cast("date")).alias("period_end"), "job_id"
     ).agg(F.sum("total_wages_earned").alias("wages"), F.sum("hours_worked").alias("hours"))
+    return totals.join(cohort, "location_id", "left_semi")
 
 
 def _segments(locations: DataFrame, segments: dict[str, str]) -> DataFrame:

@@ -188,8 +188,8 @@ def period_measures(
 ) -> DataFrame:
     """Raw weekly measures per period, before ratios and the report spine."""
     spine = _Spine(as_of, periods_back, first)
-    weeks = computed_once(user_weeks(timeclock, by, first))
-    flagged = qualified_weeks(location_weeks(weeks, by), by, rules, frame)
+    weeks = computed_once(user_weeks(timeclock, by, first), "user-weeks")
+    flagged = computed_once(qualified_weeks(location_weeks(weeks, by), by, rules, frame), "location-weeks")
     marks = archive_marks(timeclock, as_of, by, first).withColumn("archive_mark", F.lit(True))
     worker_rows = (
         weeks.filter(F.col("user_id").isNotNull())

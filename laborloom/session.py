@@ -12,6 +12,8 @@ RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Skips call-site capture for every column expression built in Python.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

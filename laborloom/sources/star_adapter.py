@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from laborloom.functions.labels import size_band
 from laborloom.operators.classify import INDUSTRIES
 
-# Fixed sample codes: eighteen known to the industry rules, two unknown.
+# Fixed sample codes: fourteen known to the industry rules, two unknown.
 NAICS = (
-    "722511 312120 445110 711110 812112 238220 541211 621111 721110 624410 "
-    "611110 813110 812320 493110 713940 811111 448120 561730 999999 100000"
+    "722511 312120 445110 999999 711110 812112 238220 541211 "
+    "621111 721110 624410 100000 611110 813110 812320 493110"
 ).split()
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
@@ -134,7 +134,7 @@ def shift_events(
 
 
 def naics_code(location: Column) -> Column:
-    return F.when(location % 23 != 5, _pick(NAICS, location % 20))
+    return F.when(location % 23 != 5, _pick(NAICS, location % 16))
 
 
 def timeclock(
@@ -188,45 +188,49 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _job_mix() -> Column:
-    """A number that varies with every part of a job id."""
-    return F.expr("id div 1000000000 * 7 + id div 1000 % 1000000 * 3 + id % 1000")
+def _roster_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One roster row per worker, location and calendar month with work.
 
-
-def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per worker, location and calendar month with work."""
+    ``mix`` varies with every part of the key and decides the other columns.
+    """
     month = (F.year("event_date") - 1995) * 12 + F.month("event_date")
     rows = shift_rows(spark, sf_dir).select("user_id", "location_id", month.alias("mo"), "event_date")
-    first = rows.groupBy("user_id", "location_id", "mo").agg(F.min("event_date").alias("created_at"))
+    mix = F.max(F.col("user_id") * 7 + F.col("location_id") * 3 + F.col("mo"))
+    first = rows.groupBy("user_id", "location_id", "mo").agg(F.min("event_date").alias("created_at"), mix.alias("mix"))
     job = (F.col("user_id") * 1000000 + F.col("location_id")) * 1000 + F.col("mo")
-    return first.select(job.alias("id"), "user_id", "location_id", "created_at").select(
+    archived = F.when(F.col("mix") % 4 == 0, F.date_add("created_at", (F.col("mix") % 50 + 10).cast("int")))
+    return first.select(job.alias("id"), "user_id", "location_id", "created_at", archived.alias("archived_at"), "mix")
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _roster_months(spark, sf_dir).select(
         "id",
         F.concat(F.lit("job-"), F.col("id").cast("string")).alias("uuid"),
         "user_id",
         "location_id",
         "created_at",
-        F.when(_job_mix() % 4 == 0, F.date_add("created_at", (_job_mix() % 50 + 10).cast("int"))).alias(
-            "archived_at"
-        ),
+        "archived_at",
     )
 
 
 def job_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit rows of archived jobs: one, two, or one on another day."""
-    job = _job_mix()
-    archived = jobs(spark, sf_dir).filter(F.col("archived_at").isNotNull())
-    actor = (
-        F.when(job % 5 == 0, "user 17")
-        .when(job % 5 == 1, "rake Businesses:archive_invoiced_company")
-        .when(job % 5 == 2, "LockJobWorker")
-        .when(job % 5 == 3, "manager 4")
-    )
-    copies = F.when(job % 11 == 0, F.array(F.lit(0), F.lit(0))).otherwise(
-        F.array(F.when(job % 13 == 0, 1).otherwise(0))
+    mix = F.col("mix")
+    archived = _roster_months(spark, sf_dir).filter(mix % 4 == 0)
+    actors = F.array(
+        F.lit("user 17"),
+        F.lit("rake Businesses:archive_invoiced_company"),
+        F.lit("LockJobWorker"),
+        F.lit("manager 4"),
+        F.lit(None).cast("string"),
     )
-    return archived.select(F.col("id").alias("item_id"), "archived_at", actor.alias("whodunnit"), F.explode(copies).alias("late")).select(
-        "item_id", F.expr("date_add(archived_at, late)").alias("created_at"), "whodunnit"
+    copies = F.when(mix % 11 == 0, F.array(F.lit(0), F.lit(0))).otherwise(
+        F.array(F.when(mix % 13 == 0, 1).otherwise(0))
     )
+    actor = F.element_at(actors, (mix % 5 + 1).cast("int"))
+    return archived.select(
+        F.col("id").alias("item_id"), "archived_at", actor.alias("whodunnit"), F.explode(copies).alias("late")
+    ).select("item_id", F.expr("date_add(archived_at, late)").alias("created_at"), "whodunnit")
 
 
 def payroll_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
