@@ -124,7 +124,7 @@ def _table_ctes(by: str = "", first: str = "sunday", lookback: int = 1, literal:
             WHERE NOT EXISTS (FROM pairs b WHERE {same} AND b.w = p.w + 7) GROUP BY ALL""",
         "debut": f"""
             SELECT {key}{week('d')} AS w, count(*) AS nu
-            FROM (SELECT {key}user_id, min(event_date) AS d FROM e WHERE qt GROUP BY ALL) GROUP BY ALL""",
+            FROM (SELECT {key}user_id, min(event_date) AS d FROM e WHERE qt AND user_id IS NOT NULL GROUP BY ALL) GROUP BY ALL""",
         "left_": f"""
             SELECT {', '.join(f'm.{k}' for k in ([by] if by else []) + ['w'])}, count(DISTINCT m.user_id) AS ar
             FROM (SELECT {key}location_id, user_id, {week('archived_at')} AS w FROM wk
