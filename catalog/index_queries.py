@@ -12,6 +12,8 @@ from laborloom.functions.calendar import dates_per_key, in_windows
 from laborloom.operators import benchmark as bm
 from laborloom.operators import index as ix
 from laborloom.operators import quality as qa
+from laborloom.operators.reuse import shared_path
+from laborloom.plans.publish import publish_benchmarks
 from laborloom.sources import star_adapter as sample
 
 LEVELS = list(bm.LEVELS)
@@ -61,6 +63,15 @@ def _grid(spark, sf):
     )
 
 
+def _published(spark, sf):
+    """The benchmark table after a round through the partitioned sink."""
+    path = shared_path(spark, "benchmarks")
+    stored = publish_benchmarks(_events(spark, sf), WINDOWS, path) if path else _bench(spark, sf)
+    return stored.filter(F.col("yr") == max(WINDOWS)).select(
+        "yr", "location_id", "day_of_week", "days_with_data", "denominator_clock_ins", "total_clock_ins_4weeks"
+    )
+
+
 IDX = ("idx_employees", "idx_hours", "idx_open")
 
 QUERIES = {
@@ -126,6 +137,7 @@ QUERIES = {
         "avg_weekly_users",
     ),
     "location_date_grid": _grid,
+    "benchmarks_published": _published,
 }
 
 # ---------------------------------------------------------------- SQL twins
@@ -350,6 +362,14 @@ SQL = {
         + " FROM days GROUP BY ALL",
         days=_days("WHERE event_date BETWEEN DATE '2000-01-09' AND DATE '2000-02-05'"),
     ),
+    "benchmarks_published": using(
+        "shift_events",
+        """SELECT yr, location_id, day_of_week, days_with_data, denominator_clock_ins, total_clock_ins_4weeks
+           FROM totals WHERE yr = 2001""",
+        win=_WIN,
+        days=_WIN_DAYS,
+        totals=_BENCH,
+    ),
     "january_team_sizes": using(
         "shift_events",
         f"""SELECT location_id, {half_up('avg(n)', 6)} AS avg_weekly_users, count(*) AS active_weeks

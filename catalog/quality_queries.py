@@ -40,14 +40,12 @@ def report(spark, sf) -> MonthlyReport:
 
 
 def _freshness(spark, sf):
-    jobs = sample.jobs(spark, sf)
     return qa.freshness(
-        {
-            "events": (sample.shift_events(spark, sf), "event_date"),
-            "payroll": (sample.payroll_runs(spark, sf), "payday"),
-            "roster created": (jobs, "created_at"),
-            "roster archived": (jobs, "archived_at"),
-        },
+        [
+            (sample.shift_events(spark, sf), {"events": "event_date"}),
+            (sample.payroll_runs(spark, sf), {"payroll": "payday"}),
+            (sample.jobs(spark, sf), {"roster created": "created_at", "roster archived": "archived_at"}),
+        ],
         CUTOFF,
     )
 

@@ -21,40 +21,55 @@ def latest_two(series: DataFrame, order: Sequence[str], by: Sequence[str] = ())
     return series.withColumn("recency", F.row_number().over(newest)).filter(F.col("recency") <= 2)
 
 
-def _card(
-    pair: DataFrame, metric: str, unit: str, value: str, change: Column | None = None, extra: dict[str, str] | None = None
-) -> DataFrame:
+EXTRAS = ("pct_above_base", "indexed")
+
+
+def _cards(pair: DataFrame, specs: Sequence[tuple[str, str, str, str | None, Sequence[str]]]) -> DataFrame:
+    """One row per spec (metric, unit, value, change column, extras).
+
+    All cards of a series come from one aggregate, so the series behind it is
+    computed once. Without a change column the change is the difference to the
+    row before.
+    """
+
     def at(rank: int, name: str) -> Column:
         return F.max(F.when(F.col("recency") == rank, F.col(name).cast("double")))
 
-    extra = extra or {}
-    move = change if change is not None else half_up(at(1, value) - at(2, value), 2)
-    return pair.agg(
-        F.lit(metric).alias("metric"),
-        at(1, value).alias("value"),
-        F.lit(unit).alias("unit"),
-        move.alias("mom_change"),
-        *[(at(1, extra[name]) if name in extra else F.lit(None).cast("double")).alias(name) for name in ("pct_above_base", "indexed")],
-    )
+    measures, entries = [], []
+    for i, (metric, unit, value, change, extras) in enumerate(specs):
+        move = at(1, change) if change else half_up(at(1, value) - at(2, value), 2)
+        measures += [at(1, value).alias(f"value{i}"), move.alias(f"move{i}")]
+        measures += [at(1, name).alias(f"{name}{i}") for name in extras]
+        missing = F.lit(None).cast("double")
+        entries.append(
+            F.struct(
+                F.lit(metric).alias("metric"),
+                F.col(f"value{i}").alias("value"),
+                F.lit(unit).alias("unit"),
+                F.col(f"move{i}").alias("mom_change"),
+                *[(F.col(f"{name}{i}") if name in extras else missing).alias(name) for name in EXTRAS],
+            )
+        )
+    return pair.agg(*measures).select(F.inline(F.array(*entries)))
 
 
 def overview(labor: DataFrame, national_wages: DataFrame, hiring: DataFrame, turnover: DataFrame) -> DataFrame:
     """Six rows, one per headline metric."""
-    months = latest_two(labor, ["year", "month"])
-    wages = latest_two(national_wages, ["period_end"])
-    hired = latest_two(hiring, ["period_end"])
-    gone = latest_two(turnover, ["period_end"])
-    index_unit = "% vs Jan baseline"
-
-    def points(name: str) -> Column:
-        return F.max(F.when(F.col("recency") == 1, F.col(name)))
-
+    index_unit, job_unit = "% vs Jan baseline", "jobs/location"
     cards = [
-        _card(months, "employees_working", index_unit, "employees_working_pct", points("employees_mom_ppt")),
-        _card(months, "hours_worked", index_unit, "hours_worked_pct", points("hours_mom_ppt")),
-        _card(months, "businesses_open", index_unit, "businesses_open_pct", points("open_mom_ppt")),
-        _card(wages, "hourly_wages", "$/hr", "wage_rate", extra={"pct_above_base": "pct_above_base"}),
-        _card(hired, "jobs_added", "jobs/location", "per_loc", extra={"indexed": "indexed"}),
-        _card(gone, "jobs_archived", "jobs/location", "per_loc", extra={"indexed": "indexed"}),
+        _cards(
+            latest_two(labor, ["year", "month"]),
+            [
+                ("employees_working", index_unit, "employees_working_pct", "employees_mom_ppt", ()),
+                ("hours_worked", index_unit, "hours_worked_pct", "hours_mom_ppt", ()),
+                ("businesses_open", index_unit, "businesses_open_pct", "open_mom_ppt", ()),
+            ],
+        ),
+        _cards(
+            latest_two(national_wages, ["period_end"]),
+            [("hourly_wages", "$/hr", "wage_rate", None, ("pct_above_base",))],
+        ),
+        _cards(latest_two(hiring, ["period_end"]), [("jobs_added", job_unit, "per_loc", None, ("indexed",))]),
+        _cards(latest_two(turnover, ["period_end"]), [("jobs_archived", job_unit, "per_loc", None, ("indexed",))]),
     ]
     return reduce(lambda left, right: left.unionByName(right), cards)

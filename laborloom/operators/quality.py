@@ -14,16 +14,19 @@ from laborloom.functions.ratios import half_up
 from laborloom.operators.index import daily_actuals, daily_index
 
 
-def freshness(tables: dict[str, tuple[DataFrame, str]], cutoff: date) -> DataFrame:
+def freshness(sources: Sequence[tuple[DataFrame, dict[str, str]]], cutoff: date) -> DataFrame:
     """Latest date of each source against the report cutoff.
 
-    ``tables`` maps a label to (table, date column); each is one aggregate the
-    parquet reader can answer from few columns.
+    ``sources`` pairs a table with {label: date column}; a table is read once
+    for all of its date columns.
     """
-    rows = [
-        df.agg(F.max(F.col(column).cast("date")).alias("latest")).select(F.lit(label).alias("source"), "latest")
-        for label, (df, column) in tables.items()
-    ]
+    rows = []
+    for df, columns in sources:
+        latest = df.agg(*[F.max(F.col(column).cast("date")).alias(f"c{i}") for i, column in enumerate(columns.values())])
+        entries = [
+            F.struct(F.lit(label).alias("source"), F.col(f"c{i}").alias("latest")) for i, label in enumerate(columns)
+        ]
+        rows.append(latest.select(F.inline(F.array(*entries))))
     every = reduce(lambda left, right: left.unionByName(right), rows)
     return every.withColumn("fresh", F.coalesce(F.col("latest") >= F.lit(cutoff), F.lit(False)))
 

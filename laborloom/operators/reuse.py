@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, name: str) -> str | None:
+    """A fresh path in the cluster's shared folder, or None when it names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return None
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
 
 
 def computed_once(df: DataFrame, name: str) -> DataFrame:
@@ -16,10 +24,8 @@ def computed_once(df: DataFrame, name: str) -> DataFrame:
     survives lost executors, stays columnar and has a known size for join
     planning. Where no folder is configured the plan simply stays lazy.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    path = shared_path(df.sparkSession, name)
+    if path is None:
         return df
-    path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,11 +8,13 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 
+from laborloom import schemas
 from laborloom.operators import roster, wages
 from laborloom.operators.benchmark import month_benchmark, weekday_benchmark
 from laborloom.operators.index import daily_actuals, daily_index, labor_index, monthly_index
 from laborloom.operators.overview import overview
 from laborloom.periods import ReportAnchor, month_close, report_anchor
+from laborloom.schemas import require
 
 
 @dataclass(frozen=True)
@@ -28,6 +30,16 @@ class MonthlyInputs:
     job_versions: DataFrame
     benchmarks: DataFrame | None = None
 
+    def __post_init__(self) -> None:
+        require(self.events, schemas.SHIFT_EVENTS, "shift events")
+        require(self.payroll_runs, schemas.PAYROLL_RUNS, "payroll runs")
+        require(self.locations, schemas.LOCATIONS, "locations")
+        require(self.companies, schemas.COMPANIES, "companies")
+        require(self.jobs, schemas.JOBS, "jobs")
+        require(self.job_versions, schemas.JOB_VERSIONS, "job versions")
+        if self.benchmarks is not None:
+            require(self.benchmarks, schemas.BENCHMARKS, "benchmarks")
+
 
 @dataclass(frozen=True)
 class MonthlyReport:

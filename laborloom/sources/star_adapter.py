@@ -38,16 +38,21 @@ def _pick(values: tuple | list, index: Column) -> Column:
 
 
 def _geography(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """25 nations with their region; a fixed-size lookup."""
+    """The 25 nations with their region.
+
+    The nation table has 25 rows at every scale, so broadcasting it is bounded;
+    a shuffle on 25 keys would be the one thing large data could not take.
+    """
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     key = F.col("n_nationkey")
-    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
-        key.alias("nation_key"),
+    rows = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
+        key.cast("long").alias("nation_key"),
         F.when(key == 18, "Not USA").when(key == 19, "Unclassified").otherwise(F.col("n_name")).alias("state"),
         F.col("n_name").alias("state_name"),
         F.concat("n_name", F.lit(" MSA")).alias("msa"),
         F.col("r_name").alias("region"),
     )
+    return F.broadcast(rows)
 
 
 def _city(location: Column) -> Column:

@@ -281,5 +281,5 @@ def test_profile_and_gaps(spark):
     assert (row.rows, row.nulls, row.null_rate, row.min_value) == (2, 1, 0.5, 1.0)
     missing = quality.missing_days(df, date(2026, 1, 1), date(2026, 1, 4)).orderBy("event_date").collect()
     assert [r.event_date.day for r in missing] == [2, 4]
-    fresh = quality.freshness({"x": (df, "event_date"), "y": (df.limit(0), "event_date")}, date(2026, 1, 3))
+    fresh = quality.freshness([(df, {"x": "event_date"}), (df.limit(0), {"y": "event_date"})], date(2026, 1, 3))
     assert {r.source: r.fresh for r in fresh.collect()} == {"x": True, "y": False}
