@@ -6,13 +6,13 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from catalog.adapter_sql import CTES, UNMAPPED, _band, using
-from catalog.common import doubles
+from catalog.adapter_sql import UNMAPPED, _band, using
+from catalog.common import doubles, rounded
+from laborloom.functions import labels
 from laborloom.functions.labels import age_years, size_band
 from laborloom.operators import base, classify
 from laborloom.sources import star_adapter as sample
 from laborloom.sources.scan import between_dates, union_years
-from catalog.common import rounded
 
 HORIZON = date(1996, 1, 1)
 
@@ -96,6 +96,15 @@ def _ages(spark, sf):
     return rounded(per_place.withColumn("age_years", age_years("age_days")), 6, "age_years")
 
 
+def _inline_rule(spark, sf):
+    """Rows and locations that pass each form of the ad hoc qualification rule."""
+    clock = sample.timeclock(spark, sf)
+    general, turnover = labels.inline_qualified(), labels.inline_qualified(turnover=True)
+    return clock.groupBy(F.year("event_date").alias("yr"), "location_id").agg(
+        F.count(F.when(general, 1)).alias("qualified_rows"), F.count(F.when(turnover, 1)).alias("turnover_rows")
+    )
+
+
 def _naics(spark, sf):
     clock = sample.timeclock(spark, sf).groupBy("naics_code").agg(F.count(F.lit(1)).alias("shifts"))
     return classify.by_naics(clock)
@@ -129,6 +138,7 @@ QUERIES = {
     .agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("user_id").alias("users")),
     "employee_size_bands": _size_bands,
     "location_age": _ages,
+    "inline_qualification": _inline_rule,
     "engagement_change": _engagement,
     "industry_by_location": lambda s, d: classify.by_location(sample.shift_events(s, d), sample.locations(s, d))
     .groupBy("broad_industry", "industry_subcategory")
@@ -150,7 +160,6 @@ _CLEAN = """
                 THEN upper(business_type[1]) || lower(business_type[2:]) ELSE 'Unknown' END AS industry,
            CASE WHEN l.location_id % 10 <> 3 THEN '9' || zip[2:] END AS county_code
     FROM locations l LEFT JOIN companies c USING (company_id)"""
-# A raw state outside the map (a relabelled location) also falls back.
 _BUILT = f"""
     SELECT r.*, c.state, c.msa, c.industry, c.county_code,
            CASE WHEN rate < 100 THEN rate END AS wage
@@ -158,7 +167,6 @@ _BUILT = f"""
                          WHEN user_id % 5 <> 0 THEN CAST(7 + user_id % 20 AS DECIMAL(18,4)) END AS rate
           FROM rows_ WHERE line_no <> 6 AND event_date > DATE '{HORIZON}') r
     JOIN clean c USING (location_id)"""
-_COUNT = "count(*)"
 
 SQL = {
     "shift_events_build": using(
@@ -202,6 +210,13 @@ SQL = {
                   CAST(round(CAST(max(location_age) / 365.25 AS DECIMAL(38,12)), 6) AS DOUBLE) AS age_years
            FROM timeclock GROUP BY ALL""",
     ),
+    "inline_qualification": using(
+        "timeclock",
+        """SELECT CAST(year(event_date) AS INTEGER) AS yr, location_id,
+                  count(*) FILTER (ok AND employee_count IN ('5–9 employees', '10–19 employees', '20–49 employees', '50–99 employees')) AS qualified_rows,
+                  count(*) FILTER (ok AND employee_count IN ('10–19 employees', '20–49 employees', '50–99 employees')) AS turnover_rows
+           FROM (SELECT *, location_age >= 84 AND loc_archived_at IS NULL AS ok FROM timeclock) GROUP BY ALL""",
+    ),
     "engagement_change": using(
         "engagement",
         "SELECT location_id, "

@@ -6,8 +6,8 @@ from datetime import timedelta
 
 from catalog.adapter_sql import half_up, monday, quotient, rounded as ratio_sql, sunday, using
 from catalog.common import AS_OF, rounded
-from laborloom.operators import qualify, weekly
-from laborloom.periods import week_floor
+from laborloom.operators import impact, qualify, weekly
+from laborloom.periods import EventScope, week_floor
 from laborloom.sources import star_adapter as sample
 
 FLAGS = [rule.column for rule in qualify.RULES]
@@ -34,6 +34,9 @@ QUERIES = {
     "weekly_table_by_city": lambda s, d: _table(s, d, by=["city"]),
     "weekly_table_four_week_lookback": lambda s, d: _table(s, d, lookback_weeks=4),
     "weekly_table_literal_survival": lambda s, d: _table(s, d, literal_survival=True),
+    "weekly_table_one_msa": lambda s, d: weekly.weekly_table(
+        impact.in_scope(sample.timeclock(s, d), EventScope(None, None, msa="NATION_1 MSA")), AS_OF
+    ),
     "survival_rate": lambda s, d: weekly.survival_rate(_table(s, d)),
     "weekly_change": lambda s, d: weekly.weekly_change(_table(s, d), CHANGE_METRICS),
     "weekly_change_by_state": lambda s, d: weekly.weekly_change(_table(s, d, by=["state"]), CHANGE_METRICS, ["state"]),
@@ -207,6 +210,14 @@ SQL = {
     "weekly_table_by_city": _table_sql(by="city"),
     "weekly_table_four_week_lookback": _table_sql(lookback=4),
     "weekly_table_literal_survival": _table_sql(literal=True),
+    "weekly_table_one_msa": using(
+        "timeclock",
+        "SELECT * FROM report",
+        **{
+            name: text.replace("FROM timeclock", "FROM timeclock WHERE msa = 'NATION_1 MSA'")
+            for name, text in _table_ctes().items()
+        },
+    ),
     "survival_rate": _table_sql(
         "SELECT period_start, period_end, surviving_businesses_this_week, surviving_businesses_last_52w, "
         + ratio_sql("surviving_businesses_this_week", "surviving_businesses_last_52w", 4)

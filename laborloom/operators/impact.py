@@ -21,6 +21,8 @@ def in_scope(timeclock: DataFrame, scope: EventScope) -> DataFrame:
     """Exact geography filter; the city is compared in upper case."""
     if scope.state is not None:
         timeclock = timeclock.filter(F.col("state") == scope.state)
+    if scope.msa is not None:
+        timeclock = timeclock.filter(F.col("msa") == scope.msa)
     if scope.city is not None:
         timeclock = timeclock.filter(F.upper("city") == scope.city.upper())
     return timeclock
@@ -200,6 +202,13 @@ def check_weeks(weekly: DataFrame, scope: EventScope) -> DataFrame:
     )
 
 
+def require_city(cities: DataFrame, name: str) -> DataFrame:
+    """Raise when city discovery found no spelling at all."""
+    if cities.isEmpty():
+        raise ValueError(f"no city matches {name!r} among recent rows of open locations; try a shorter part of the name")
+    return cities
+
+
 def require_weeks(weekly: DataFrame, scope: EventScope) -> DataFrame:
     """Raise when the checks fail; runs the (small) weekly aggregate."""
     found = check_weeks(weekly, scope).first()

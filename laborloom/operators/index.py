@@ -130,7 +130,8 @@ def labor_index(
     """
     anchored = events.filter(in_anchor_week("event_date"))
     actuals = daily_actuals(anchored, start, end, by)
-    return monthly_index(daily_index(actuals, benchmarks, by, presum, min_locations), by)
+    years = benchmarks.filter(F.col("yr").between(start.year, end.year))
+    return monthly_index(daily_index(actuals, years, by, presum, min_locations), by)
 
 
 def with_region(events: DataFrame, regions: DataFrame) -> DataFrame:

@@ -106,6 +106,7 @@ class EventScope:
     event_end: date | None
     city: str | None = None
     state: str | None = None
+    msa: str | None = None
     pre_weeks: int = 4
     post_weeks: int = 6
     prior_years: int = 2

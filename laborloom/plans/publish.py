@@ -26,13 +26,16 @@ def publish_weekly(timeclock: DataFrame, as_of: date, path: str, by: Sequence[st
 
 
 def export_monthly(report: MonthlyReport, folder: str, windows: dict[int, tuple[date, date]] | None = None) -> list[str]:
-    """Write each series of the monthly report as CSV; returns the paths."""
+    """Write each series of the monthly report as CSV in order; returns the paths.
+
+    This is the outermost level, hence the only place that sorts.
+    """
     series = {
-        "labor": report.labor(windows),
-        "wages": report.wages(),
-        "hiring": report.hiring(),
-        "turnover": report.turnover(),
+        "labor": (report.labor(windows), ["year", "month"]),
+        "wages": (report.wages(), ["segmented_by", "segment", "period_end"]),
+        "hiring": (report.hiring(), ["period_end"]),
+        "turnover": (report.turnover(), ["period_end"]),
     }
-    for name, df in series.items():
-        write_csv(df, f"{folder}/{name}")
+    for name, (df, order) in series.items():
+        write_csv(df.orderBy(*order), f"{folder}/{name}")
     return [f"{folder}/{name}" for name in series]

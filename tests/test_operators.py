@@ -283,3 +283,26 @@ def test_profile_and_gaps(spark):
     assert [r.event_date.day for r in missing] == [2, 4]
     fresh = quality.freshness([(df, {"x": "event_date"}), (df.limit(0), {"y": "event_date"})], date(2026, 1, 3))
     assert {r.source: r.fresh for r in fresh.collect()} == {"x": True, "y": False}
+
+
+def test_monthly_export_and_weekly_publish(spark, tmp_path):
+    from catalog.common import AS_OF, WINDOWS
+    from catalog.quality_queries import report
+    from laborloom.plans.publish import export_monthly, publish_weekly
+    from laborloom.sources import star_adapter as sample
+    from tests.conftest import SF_DIR
+
+    paths = export_monthly(report(spark, SF_DIR), str(tmp_path), WINDOWS)
+    rows = spark.read.option("header", "true").csv(paths[0])
+    assert rows.count() == 34 and "employees_working_pct" in rows.columns
+    weekly_path = str(tmp_path / "weekly")
+    assert publish_weekly(sample.timeclock(spark, SF_DIR), AS_OF, weekly_path).count() == 259
+
+
+def test_city_discovery_needs_a_match(spark):
+    rows = [("ASIA CITY", "TX", 1, 1, date(2026, 5, 1), None)]
+    df = spark.createDataFrame(rows, "city string, state string, location_id long, company_id long, event_date date, loc_archived_at date")
+    found = impact.discover_cities(df, "asia", date(2026, 6, 1), "TX")
+    assert impact.require_city(found, "asia").first().locations == 1
+    with pytest.raises(ValueError, match="no city matches"):
+        impact.require_city(impact.discover_cities(df, "asia", date(2026, 12, 1)), "asia")
