@@ -147,8 +147,10 @@ SQL = {
     "event_significance": using("timeclock", _WELCH, **_CHAIN, deltas=_delta_rows(), st=_STATS),
     "event_input_check": using(
         "timeclock",
-        f"""SELECT '{SCOPE.city}' AS city, CAST(sum(n) AS BIGINT) AS week_rows, max(y) AS years_sharing_a_week,
-                   count(*) FILTER (y > 1) AS shared_weeks, 'ok' AS verdict
+        f"""SELECT '{SCOPE.city}' AS city, CAST(coalesce(sum(n), 0) AS BIGINT) AS week_rows,
+                   coalesce(max(y), 0) AS years_sharing_a_week, count(*) FILTER (y > 1) AS shared_weeks,
+                   CASE WHEN count(*) = 0 THEN 'no rows in scope' WHEN max(y) > 1 THEN 'ok'
+                        ELSE 'no overlapping weeks in two years' END AS verdict
             FROM (SELECT iso_week, count(*) AS n, count(DISTINCT yr) AS y FROM metrics GROUP BY ALL)""",
         **_CHAIN,
     ),
