@@ -85,6 +85,20 @@ def _timeclock_rows(spark, sf):
     )
 
 
+def _primary_rows(spark, sf):
+    """Rows kept by the rule; counted per worker and location before the join."""
+    counts = sample.shift_events(spark, sf).groupBy("location_id", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = base.primary_location_only(counts, sample.users(spark, sf))
+    return kept.groupBy("location_id").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("users"))
+
+
+def _by_location(spark, sf):
+    """Shifts per industry; counted per location before the join."""
+    counts = sample.shift_events(spark, sf).groupBy("location_id").agg(F.count(F.lit(1)).alias("n"))
+    labelled = classify.by_location(counts, sample.locations(spark, sf))
+    return labelled.groupBy("broad_industry", "industry_subcategory").agg(F.sum("n").alias("shifts"))
+
+
 def _size_bands(spark, sf):
     counts = sample.shift_events(spark, sf).groupBy("location_id").agg(F.countDistinct("user_id").alias("employees"))
     return counts.select("location_id", "employees", size_band("employees").alias("employee_count"))
@@ -133,16 +147,12 @@ def _engagement(spark, sf):
 QUERIES = {
     "shift_events_build": _profile,
     "timeclock_build": _timeclock_rows,
-    "primary_location_rows": lambda s, d: base.primary_location_only(sample.shift_events(s, d), sample.users(s, d))
-    .groupBy("location_id")
-    .agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("user_id").alias("users")),
+    "primary_location_rows": _primary_rows,
     "employee_size_bands": _size_bands,
     "location_age": _ages,
     "inline_qualification": _inline_rule,
     "engagement_change": _engagement,
-    "industry_by_location": lambda s, d: classify.by_location(sample.shift_events(s, d), sample.locations(s, d))
-    .groupBy("broad_industry", "industry_subcategory")
-    .agg(F.count(F.lit(1)).alias("shifts")),
+    "industry_by_location": _by_location,
     "industry_by_naics": _naics,
     "industry_hierarchy": lambda s, d: classify.hierarchy(sample.locations(s, d)),
     "ambiguous_naics": lambda s, d: classify.ambiguous_codes(sample.locations(s, d)),

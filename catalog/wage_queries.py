@@ -14,8 +14,10 @@ BASE = (1999, 1)
 CANONICAL = {"industry": "business_type_new", "state": "state_cleaned", "msa": "msa"}
 
 
-def _pay(spark, sf):
+def _pay(spark, sf, segments=None):
     cohort = wages.payroll_cohort(sample.payroll_runs(spark, sf), ANCHOR)
+    if segments is not None:
+        cohort = wages.with_segments(cohort, sample.locations(spark, sf), segments)
     return wages.job_pay(sample.shift_events(spark, sf, START, ANCHOR.report_end), cohort, START, ANCHOR.report_end)
 
 
@@ -27,7 +29,7 @@ def _cut(by=None, min_jobs=wages.MIN_JOBS):
 
 
 def _cuts(spark, sf, segments=wages.SEGMENTS):
-    return wages.wage_cuts(_pay(spark, sf), sample.locations(spark, sf), segments)
+    return wages.wage_cuts(_pay(spark, sf, segments))
 
 
 def _national(spark, sf):

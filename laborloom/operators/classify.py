@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laborloom.functions.labels import in_us
+from laborloom.operators.skew import spread_join
 
 # The broad industry labels and the NAICS codes of each. Codes
 # that fit several industries are pinned to one of them here.
@@ -83,14 +84,20 @@ def by_naics(df: DataFrame, code: str = "naics_code", rules: DataFrame | None =
     )
 
 
-def by_location(df: DataFrame, locations: DataFrame) -> DataFrame:
-    """Canonical industry and subcategory of US locations; the preferred method."""
+def by_location(df: DataFrame, locations: DataFrame, spread: str | None = None) -> DataFrame:
+    """Canonical industry and subcategory of US locations; the preferred method.
+
+    Name a well-distributed column as ``spread`` when ``df`` has many rows per
+    location, so that a very large location is split over tasks.
+    """
     labels = locations.filter(in_us("state_cleaned")).select(
         "location_id",
         F.col("business_type_new").alias("broad_industry"),
         F.col("business_category_new").alias("industry_subcategory"),
     )
-    return df.join(labels, "location_id")
+    if spread is None:
+        return df.join(labels, "location_id")
+    return spread_join(df, labels, "location_id", spread)
 
 
 def hierarchy(locations: DataFrame) -> DataFrame:
@@ -113,7 +120,7 @@ def employees_by_industry(timeclock: DataFrame, locations: DataFrame) -> DataFra
     clocked = timeclock.filter((F.col("has_clock_in") == 1) & F.col("user_id").isNotNull())
     # One row per worker, location and day is all the count needs downstream.
     days = clocked.select("event_date", "location_id", "user_id").distinct()
-    labelled = by_location(days, locations).filter(F.col("broad_industry").isNotNull())
+    labelled = by_location(days, locations, spread="user_id").filter(F.col("broad_industry").isNotNull())
     return labelled.groupBy("event_date", "broad_industry", "industry_subcategory").agg(
         F.countDistinct("user_id").alias("employees_working")
     )

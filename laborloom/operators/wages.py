@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from laborloom.functions.calendar import month_close
 from laborloom.functions.labels import in_us
 from laborloom.functions.ratios import change_ratio, pct_over, ratio
+from laborloom.operators.skew import spread_join
 from laborloom.periods import ReportAnchor, month_bounds
 from laborloom.sources.scan import between_dates
 
@@ -48,15 +49,25 @@ def job_pay(events: DataFrame, cohort: DataFrame, start: date, end: date) -> Dat
 
     Bounds go on the raw clock-in column so the scan prunes, and the reporting
     month is a function of the date rather than a join to a month list. The
-    cohort is applied to the totals, not to the events: raw rows are never
-    shuffled by location, where one large location would pile up.
+    cohort is applied to the totals, not to the events, and splits a location by
+    job, so neither raw rows nor totals of one large location pile up in a task.
+    Further columns of ``cohort`` (one row per location) are kept.
     """
     scoped = between_dates(events.filter(F.col("timecard_created_at").isNotNull()), "timecard_created_at", start, end)
     pay = scoped.select("location_id", "timecard_created_at", "job_id", "total_wages_earned", "hours_worked")
     totals = pay.groupBy(
         "location_id", month_close(F.col("timecard_created_at").cast("date")).alias("period_end"), "job_id"
     ).agg(F.sum("total_wages_earned").alias("wages"), F.sum("hours_worked").alias("hours"))
-    return totals.join(cohort, "location_id", "left_semi")
+    return spread_join(totals, cohort, "location_id", "job_id")
+
+
+def with_segments(cohort: DataFrame, locations: DataFrame, segments: dict[str, str] = SEGMENTS) -> DataFrame:
+    """Cohort locations with their segment labels; NULL outside the US.
+
+    Both sides have one row per location, so labelling here is cheaper than
+    labelling the pay rows.
+    """
+    return cohort.join(_segments(locations, segments), "location_id", "left")
 
 
 def _segments(locations: DataFrame, segments: dict[str, str]) -> DataFrame:
@@ -69,19 +80,24 @@ def _segments(locations: DataFrame, segments: dict[str, str]) -> DataFrame:
 
 def wage_cuts(
     pay: DataFrame,
-    locations: DataFrame,
+    locations: DataFrame | None = None,
     segments: dict[str, str] = SEGMENTS,
     min_jobs: int | None = MIN_JOBS,
 ) -> DataFrame:
     """National wages and every segment cut from one pass over job pay.
 
+    ``pay`` may already carry labels from :func:`with_segments`; otherwise they
+    come from ``locations``.
+
     A job's rate is its wages over its hours; a cut is the plain mean over
     jobs. The national cut pools a job's locations and needs no location row,
     the others keep the job per location and follow the US filter. Groups with
     ``min_jobs`` jobs or fewer are suppressed.
     """
     national = F.struct(F.lit("national").alias("segmented_by"), F.lit("national").alias("segment"))
-    labelled = pay.join(_segments(locations, segments), "location_id", "left")
+    labelled = pay
+    if "segments" not in pay.columns:
+        labelled = spread_join(pay, _segments(locations, segments), "location_id", "job_id", "left")
     every_cut = F.concat(F.array(national), F.coalesce("segments", F.array().cast("array<struct<segmented_by:string,segment:string>>")))
     rows = labelled.select("location_id", "period_end", "job_id", "wages", "hours", F.explode(every_cut).alias("cut"))
     cut = F.col("cut.segmented_by")
@@ -109,7 +125,7 @@ def wage_rates(
     else:
         keys = (by, "period_end")
         places = locations.filter(in_us("state")).select("location_id", by)
-        totals = pay.join(places, "location_id")
+        totals = spread_join(pay, places, "location_id", "job_id")
     return _mean_of_rates(totals.withColumn("rate", ratio("wages", "hours")), keys, min_jobs)
 
 

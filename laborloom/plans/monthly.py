@@ -82,8 +82,9 @@ class MonthlyReport:
         """National and segment wage rates with percent above the base month."""
         end = self.anchor.report_end
         cohort = wages.payroll_cohort(self.tables.payroll_runs, self.anchor)
-        pay = wages.job_pay(self.tables.events, cohort, self.wage_start, end)
-        cuts = wages.wage_cuts(pay, self.tables.locations, segments)
+        labelled = wages.with_segments(cohort, self.tables.locations, segments)
+        pay = wages.job_pay(self.tables.events, labelled, self.wage_start, end)
+        cuts = wages.wage_cuts(pay)
         return wages.against_base(cuts, *self.base_month, by=["segmented_by", "segment"])
 
     def national_wages(self) -> DataFrame:

@@ -306,3 +306,57 @@ def test_city_discovery_needs_a_match(spark):
     assert impact.require_city(found, "asia").first().locations == 1
     with pytest.raises(ValueError, match="no city matches"):
         impact.require_city(impact.discover_cities(df, "asia", date(2026, 12, 1)), "asia")
+
+
+def test_base_builds_meet_their_contracts(spark):
+    from catalog.base_tables import _built, _enriched
+    from laborloom.schemas import SHIFT_EVENTS, TIMECLOCK
+    from tests.conftest import SF_DIR
+
+    require(_built(spark, SF_DIR), SHIFT_EVENTS, "shift events")
+    require(_enriched(spark, SF_DIR), TIMECLOCK, "timeclock")
+
+
+def test_build_drops_open_shifts_and_high_rates(spark):
+    shifts = spark.sql(
+        "SELECT id, owner, 1L AS owner_id, role AS role_id, TIMESTAMP_NTZ '2026-01-05 08:00:00' AS start_at, "
+        "TIMESTAMP_NTZ '2026-01-05 12:30:00' AS end_at, TIMESTAMP_NTZ '2026-01-01 00:00:00' AS created_at, "
+        "CAST(NULL AS INT) AS unscheduled FROM VALUES (1L, 'Job', 1L), (2L, 'OpenShift', 1L), (3L, 'Job', 2L), (4L, 'Job', 3L) AS t(id, owner, role)"
+    ).withColumnRenamed("owner", "owner_type")
+    cards = spark.sql(
+        "SELECT 9L AS id, 1L AS shift_id, TIMESTAMP_NTZ '2026-01-05 08:15:00' AS start_at, "
+        "TIMESTAMP_NTZ '2026-01-05 12:00:00' AS end_at, TIMESTAMP_NTZ '2026-01-05 08:15:00' AS created_at"
+    )
+    jobs = spark.createDataFrame([(1, 5, 7)], "id long, user_id long, location_id long")
+    places = spark.createDataFrame(
+        [(7, 1, "tx", "metro", "food", "Austin", "73301")],
+        "location_id long, company_id long, state string, msa string, business_type string, city string, zip string",
+    )
+    firms = spark.createDataFrame([(1, None)], "company_id long, onboarding_business_description string")
+    empty = spark.createDataFrame([], "raw string, label string")
+    maps = {"state": spark.createDataFrame([("tx", "Texas")], "raw string, label string"), "msa": empty, "industry": empty, "zip": empty}
+    role = spark.sql("SELECT 5L AS user_id, 1L AS role_id, 20.0 AS wage_rate UNION ALL SELECT 5L, 2L, 100.0")
+    default = spark.sql("SELECT 5L AS user_id, 15.0 AS wage_rate")
+    rows = {r.shift_id: r for r in base.build_shift_events(shifts, jobs, cards, places, firms, maps, role, default).collect()}
+    assert set(rows) == {1, 3, 4}
+    assert float(rows[1].hours_scheduled) == 4.5 and float(rows[1].hours_worked) == 3.75
+    assert float(rows[1].total_wages_earned) == 75.0 and rows[1].has_clock_in == 1 and rows[1].unscheduled == 0
+    assert rows[3].hourly_wage_rate is None and rows[3].has_clock_in == 0 and rows[3].hours_worked is None
+    assert float(rows[4].hourly_wage_rate) == 15.0
+    assert (rows[1].state, rows[1].msa, rows[1].industry, rows[1].county_code) == ("Texas", "All other", "Unknown", None)
+
+
+def test_spread_join_splits_a_hot_key(spark):
+    from laborloom.operators.skew import spread_join
+
+    rows = spark.range(1000).select(F.lit(7).alias("location_id"), F.col("id").alias("job_id"))
+    rows = rows.unionByName(spark.range(5).select(F.lit(9).alias("location_id"), F.col("id").alias("job_id")))
+    dim = spark.createDataFrame([(7, "a"), (8, "b")], "location_id int, label string")
+    assert spread_join(rows, dim, "location_id", "job_id").groupBy("label").count().collect() == [("a", 1000)]
+    assert spread_join(rows, dim, "location_id", "job_id", "left").filter("label is null").count() == 5
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spread_join(rows, dim, "location_id", "job_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(location_id") == 2 and "_part" in plan
