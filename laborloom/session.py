@@ -17,6 +17,23 @@ RUNTIME = {
 }
 
 
+def cluster_settings(total_cores: int) -> dict[str, str]:
+    """Settings for a large cluster, to pass to spark-submit or the builder.
+
+    Shuffles start with a few partitions per core and are then coalesced to the
+    advisory size, so small reports do not pay for the partition count that the
+    event-level aggregates need.
+    """
+    return {
+        **RUNTIME,
+        "spark.sql.shuffle.partitions": str(3 * total_cores),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    }
+
+
 def local_session(cpus: int | str = 8, memory: str = "8g", extra: dict | None = None) -> SparkSession:
     """Session for tests and the bench; clusters bring their own sizing."""
     builder = (

@@ -5,23 +5,25 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), files_per_partition: int = 8) -> None:
     """Rebuild a parquet table.
 
     With partition columns only the partitions present in ``df`` are replaced,
-    so one benchmark year or one week range is rebuilt without touching the
-    rest. Rows are clustered by the partition columns together with the first
-    other column: few files per partition, yet no partition goes through one task.
+    so one benchmark year or one date range is rebuilt without touching the
+    rest. A partition is written by ``files_per_partition`` tasks that share its
+    rows by row hash: the file count is bounded, and neither a large partition
+    nor a large location in it goes through a single task.
     """
     if not partition_by:
         df.write.mode("overwrite").parquet(path)
         return
-    spread = next((name for name in df.columns if name not in partition_by), None)
-    keys = [*partition_by, *([spread] if spread else [])]
+    others = [F.col(name) for name in df.columns if name not in partition_by]
+    part = F.pmod(F.xxhash64(*others), F.lit(files_per_partition))
     (
-        df.repartition(*keys)
+        df.repartition(*partition_by, part)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)

@@ -94,11 +94,11 @@ def shift_rows(
             "((l_orderkey * 10 + l_linenumber) * 4000 + datediff(to_date(l_shipdate), DATE '1995-01-01'))"
             " * 1000000 + l_partkey"
         ).alias("shift_id"),
-        (F.lit(4) + F.col("l_quantity") / 10).cast("decimal(18,4)").alias("hours_scheduled"),
-        F.when(clock == 1, (F.col("l_quantity") / 5).cast("decimal(18,4)")).alias("hours_worked"),
+        (F.lit(4) + F.col("l_quantity") / 10).cast("decimal(8,4)").alias("hours_scheduled"),
+        F.when(clock == 1, (F.col("l_quantity") / 5).cast("decimal(8,4)")).alias("hours_worked"),
         clock.alias("has_clock_in"),
         F.when((F.col("l_linenumber") == 7) & (clock == 1), 1).otherwise(0).alias("unscheduled"),
-        F.when(F.col("l_discount") < 0.095, (F.lit(6) + F.col("l_tax") * 100).cast("decimal(18,4)")).alias(
+        F.when(F.col("l_discount") < 0.095, (F.lit(6) + F.col("l_tax") * 100).cast("decimal(8,4)")).alias(
             "hourly_wage_rate"
         ),
         F.col("l_linenumber").alias("line_no"),
@@ -127,7 +127,7 @@ def shift_events(
         "has_clock_in",
         "unscheduled",
         "hourly_wage_rate",
-        (F.col("hours_worked") * F.col("hourly_wage_rate")).cast("decimal(18,4)").alias("total_wages_earned"),
+        (F.col("hours_worked") * F.col("hourly_wage_rate")).cast("decimal(8,4)").alias("total_wages_earned"),
         "state",
         "msa",
         _pick(SEGMENTS, location % 5).alias("industry"),
@@ -296,14 +296,14 @@ def role_wages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Role pay of two thirds of the workers, for one role each."""
     worker = F.col("c_custkey")
     return table(spark, sf_dir, "customer").filter(worker % 3 != 2).select(
-        worker.alias("user_id"), (worker % 3).alias("role_id"), (F.lit(8) + worker % 120).cast("decimal(18,4)").alias("wage_rate")
+        worker.alias("user_id"), (worker % 3).alias("role_id"), (F.lit(8) + worker % 120).cast("decimal(8,4)").alias("wage_rate")
     )
 
 
 def default_wages(spark: SparkSession, sf_dir: str) -> DataFrame:
     worker = F.col("c_custkey")
     return table(spark, sf_dir, "customer").filter(worker % 5 != 0).select(
-        worker.alias("user_id"), (F.lit(7) + worker % 20).cast("decimal(18,4)").alias("wage_rate")
+        worker.alias("user_id"), (F.lit(7) + worker % 20).cast("decimal(8,4)").alias("wage_rate")
     )
 
 

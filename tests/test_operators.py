@@ -249,6 +249,11 @@ def test_sinks_and_scans(spark, tmp_path):
     sinks.replace_table(df.filter("yr = 2026").withColumn("level", F.lit(9.0)), path, ["yr"])
     kept = {r.yr: r.level for r in scan.scan(spark, path).collect()}
     assert kept == {2025: 1.0, 2026: 9.0}
+    hot = spark.range(2000).select((F.col("id") % 2 + 2025).cast("int").alias("yr"), F.lit(7).alias("location_id"), "id")
+    many = tmp_path / "many"
+    sinks.replace_table(hot, str(many), ["yr"], files_per_partition=4)
+    files = list((many / "yr=2025").glob("*.parquet"))
+    assert 1 <= len(files) <= 4 and scan.scan(spark, str(many)).count() == 2000
     plain = str(tmp_path / "plain")
     sinks.replace_table(df, plain)
     assert scan.scan(spark, plain).count() == 2
