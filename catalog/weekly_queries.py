@@ -32,6 +32,7 @@ QUERIES = {
     "weekly_table_by_state": lambda s, d: _table(s, d, by=["state"]),
     "weekly_table_by_msa": lambda s, d: _table(s, d, by=["msa"]),
     "weekly_table_by_city": lambda s, d: _table(s, d, by=["city"]),
+    "weekly_table_by_city_suppressed": lambda s, d: _table(s, d, by=["city"], min_locations=2),
     "weekly_table_four_week_lookback": lambda s, d: _table(s, d, lookback_weeks=4),
     "weekly_table_literal_survival": lambda s, d: _table(s, d, literal_survival=True),
     "weekly_table_one_msa": lambda s, d: weekly.weekly_table(
@@ -208,6 +209,7 @@ SQL = {
     "weekly_table_by_state": _table_sql(by="state"),
     "weekly_table_by_msa": _table_sql(by="msa"),
     "weekly_table_by_city": _table_sql(by="city"),
+    "weekly_table_by_city_suppressed": _table_sql("SELECT * FROM report WHERE active_location_count >= 2", by="city"),
     "weekly_table_four_week_lookback": _table_sql(lookback=4),
     "weekly_table_literal_survival": _table_sql(literal=True),
     "weekly_table_one_msa": using(

@@ -216,11 +216,13 @@ def weekly_table(
     rules: Sequence[QualRule] = RULES,
     frame: str = "rows",
     literal_survival: bool = False,
+    min_locations: int | None = None,
 ) -> DataFrame:
     """The weekly table: one row per complete week, or per week and ``by`` key.
 
     Without ``by`` every week of the spine appears, with NULLs where nothing
-    happened; with ``by`` only combinations that have activity do.
+    happened; with ``by`` only combinations that have activity do. For
+    publication ``min_locations`` drops rows with fewer qualified locations.
     """
     measures = period_measures(
         timeclock, as_of, by, first, periods_back, lookback_weeks, rules, frame, literal_survival
@@ -243,7 +245,10 @@ def weekly_table(
         "rolling_users", F.when(F.col("has_workers"), F.sum("active_users").over(trailing).cast("double") / 12)
     )
     joined = spine.join(rolled, "period_start", "inner" if by else "left")
-    return _report_columns(joined, by)
+    report = _report_columns(joined, by)
+    if min_locations is not None:
+        report = report.filter(F.col("active_location_count") >= min_locations)
+    return report
 
 
 def _report_columns(joined: DataFrame, by: Sequence[str]) -> DataFrame:
