@@ -14,11 +14,19 @@ HORIZON = date(2016, 1, 1)
 RATE_CEILING = 100
 
 
-def hours_between(start: Column | str, end: Column | str) -> Column:
-    """Elapsed hours as an exact decimal; NULL when either side is."""
-    start = F.col(start) if isinstance(start, str) else start
-    end = F.col(end) if isinstance(end, str) else end
-    return (F.timestamp_diff("SECOND", start, end) / F.lit(3600).cast("decimal(10,0)")).cast("decimal(18,4)")
+def hours_between(df: DataFrame, start: str, end: str) -> Column:
+    """Elapsed hours in whole seconds as an exact decimal; NULL when either is.
+
+    Timestamps without a zone are subtracted as they stand, so that the session
+    zone's clock changes do not enter; zoned ones are compared as instants.
+    """
+    if df.schema[start].dataType.typeName() == "timestamp_ntz":
+        gap = (F.col(end) - F.col(start)).cast("interval second")
+        seconds = gap.cast("decimal(18,6)").cast("long")
+    else:
+        micros = F.unix_micros(F.col(end)) - F.unix_micros(F.col(start))
+        seconds = (micros / F.lit(1000000).cast("decimal(10,0)")).cast("long")
+    return (seconds / F.lit(3600).cast("decimal(10,0)")).cast("decimal(18,4)")
 
 
 def standard_label(df: DataFrame, raw: str, lookup: DataFrame, name: str, fallback: str | None) -> DataFrame:
@@ -81,14 +89,14 @@ def build_shift_events(
         "role_id",
         F.col("start_at").alias("shift_start"),
         F.col("created_at").alias("shift_created_at"),
-        hours_between("start_at", "end_at").alias("hours_scheduled"),
+        hours_between(assigned, "start_at", "end_at").alias("hours_scheduled"),
         F.coalesce(F.col("unscheduled").cast("int"), F.lit(0)).alias("unscheduled"),
     )
     card = timecards.select(
         "shift_id",
         F.col("id").alias("timecard_id"),
         F.col("created_at").alias("timecard_created_at"),
-        hours_between("start_at", "end_at").alias("hours_worked"),
+        hours_between(timecards, "start_at", "end_at").alias("hours_worked"),
     )
     # Everything that depends on the roster row alone is attached to the roster,
     # which leaves the shifts three shuffles: timecard, roster row, role wage.

@@ -365,3 +365,15 @@ def test_spread_join_splits_a_hot_key(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning(location_id") == 2 and "_part" in plan
+
+
+def test_hours_ignore_clock_changes_without_a_zone(spark):
+    text = "SELECT {0} '2026-03-08 01:30:00' AS a, {0} '2026-03-08 03:30:00' AS b"
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        plain, zoned = spark.sql(text.format("TIMESTAMP_NTZ")), spark.sql(text.format("TIMESTAMP_LTZ"))
+        hours = [float(df.select(base.hours_between(df, "a", "b").alias("h")).first().h) for df in (plain, zoned)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert hours == [2.0, 1.0]
