@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborloom.llm import mixing, quality_rules, secret_scans
+from laborloom.llm import jaccard_join, language_id, mixing, packing, quality_rules, secret_scans
 from laborloom.llm.common import table
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary that the packing query is stated for."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,9 +35,24 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scans": op2_secret_scans,
     "op3_mixing": op3_mixing,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op9_packing": op9_packing,
+    "op10_language_id": op10_language_id,
 }
 SQL: dict[str, str] = {}
