@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborloom.llm import jaccard_join, language_id, mixing, packing, quality_rules, secret_scans
+from laborloom.llm import jaccard_join, language_id, mixing, packing, quality_ranking, quality_rules, secret_scans, toxicity
 from laborloom.llm.common import table
 
 
@@ -35,6 +35,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ranking.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,8 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scans": op2_secret_scans,
     "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
+    "op6_quality_ranking": op6_quality_ranking,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
