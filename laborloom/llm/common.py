@@ -57,7 +57,8 @@ def words(text: Column) -> Column:
 
 
 def crc_mod(key: str, parts: int) -> Column:
-    return F.crc32(F.col(key).cast("string").cast("binary")) % parts
+    """crc32 of the key as text, modulo ``parts``; -1 for a null key, which is so never held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts, F.lit(-1))
 
 
 def hash_share(key: str, seed: int) -> Column:
@@ -65,6 +66,24 @@ def hash_share(key: str, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
 
 
+NO_KEY = -(1 << 63)
+
+
+def with_key(key: str) -> Column:
+    """The key as a long that Python tasks can carry: a null one as NO_KEY."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
+
+
+def without_key(column: str) -> Column:
+    return F.when(F.col(column) != NO_KEY, F.col(column))
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, on: str, how: str, most: int = 1_000_000) -> DataFrame:
+    """Semi or anti join with a table of distinct ids: sent to all tasks if counted to be few, else shuffled."""
+    few = ids.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(ids) if few else ids, on, how)
+
+
 def sample_of(df: DataFrame, key: str, rows: int, seed: int = 11) -> DataFrame:
     """About ``rows`` rows at most, chosen by their key's hash: the bounded sample a model may be fitted on."""
     total = df.count()

@@ -26,8 +26,8 @@ most. They steer the order alone; any list gives the same links.
 
 Edge cases: null texts and texts without words have an empty set, link with
 nothing and are their own component; a text of fewer words than n is one
-n-gram; rows that share a doc_id count as one document; an empty table gives no
-rows; other columns do not take part.
+n-gram; rows that share a doc_id count as one document; a null doc_id links with
+nothing; an empty table gives no rows; other columns do not take part.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laborloom.llm.common import saved
+from laborloom.llm.common import NO_KEY, by_ids, saved, with_key, without_key
 from laborloom.llm.components import connected_components
 
 KEEP_WORDS = 400_000
@@ -182,10 +182,10 @@ def jaccard_components(
     key: str = "doc_id",
 ) -> DataFrame:
     """One row per document: its number of shingles and the smallest doc_id that links reach."""
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("binary").alias("text"))
+    texts = docs.select(with_key(key).alias("doc"), F.col(text).cast("binary").alias("text"))
     frequent, rank = frequent_tokens(texts, n, frequent_from, most_frequent)
     index = saved(indexed(texts, n, per_cent, frequent, rank), "set_index")
-    full = index.filter("n_shingles > 0")
+    full = index.filter((F.col("n_shingles") > 0) & (F.col("doc") != NO_KEY))
     same = ["sig_a", "sig_b", "n_shingles"]
     classes = full.groupBy(*same).agg(F.min("doc").alias("rep"))
     members = saved(full.select("doc", *same).join(classes, same).select("doc", "rep"), "set_classes")
@@ -198,7 +198,7 @@ def jaccard_components(
     shared = postings.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi")
     hits = saved(postings.join(shared.select("token"), "token").distinct(), "shared_keys")
     wanted = hits.select("doc").distinct()
-    sets = saved(sets_of(texts.join(wanted, "doc", "left_semi"), n), "candidate_sets")
+    sets = saved(sets_of(by_ids(texts, saved(wanted, "candidates"), "doc", "left_semi"), n), "candidate_sets")
 
     links = _all_links(hits, sets, per_cent)
     found = connected_components(links, "a", "b")
@@ -210,7 +210,8 @@ def jaccard_components(
     return (
         index.select("doc", "n_shingles")
         .join(merged, "doc", "left")
-        .select(F.col("doc").alias(key), "n_shingles", F.coalesce("component", "doc").alias("component_id"))
+        .withColumn("component", F.coalesce("component", without_key("doc")))
+        .select(without_key("doc").alias(key), "n_shingles", F.col("component").alias("component_id"))
     )
 
 

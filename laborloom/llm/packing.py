@@ -15,7 +15,7 @@ key, still spread over tasks. A task holds one batch and one open sequence.
 
 Edge cases: null and empty texts are the end token alone; documents longer than
 a sequence continue in the next; repeated rows are packed each for itself; an
-empty table gives no rows; other columns do not take part.
+empty table gives no rows; null keys stay null; other columns do not take part.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laborloom.llm.common import saved
+from laborloom.llm.common import saved, with_key, without_key
 
 # Signs of ASCII: a run of them after a word is one piece of the tokenizer's splitting.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -153,7 +153,7 @@ def tokenized(docs: DataFrame, path: str, end: int, dims: int, buckets: int, see
             places = [rows[np.frombuffer(i, tokens.type)].mean(axis=0).tolist() for i in ids]
             yield pd.DataFrame({"key": batch[key], "ids": ids, "place": places, "width": tokens.type.itemsize})
 
-    narrow = docs.select(F.col(key).cast("long").alias(key), text)
+    narrow = docs.select(with_key(key).alias(key), text)
     return narrow.mapInPandas(encode, "key long, ids binary, place array<float>, width int")
 
 
@@ -219,7 +219,8 @@ def pack(
                     offset, room, sequence = 0, _power_below(left), sequence + 1
         yield _pieces(out)
 
-    return ordered.mapInPandas(lay, SCHEMA).withColumnRenamed("doc_id", key)
+    pieces = ordered.mapInPandas(lay, SCHEMA)
+    return pieces.withColumn("doc_id", without_key("doc_id")).withColumnRenamed("doc_id", key)
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

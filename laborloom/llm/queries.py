@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborloom.llm import jaccard_join, language_id, mixing, packing, quality_ranking, quality_rules, secret_scans, toxicity
+from laborloom.llm import jaccard_join, language_id, license_scans, mixing, packing, quality_ranking, quality_rules, secret_scans, toxicity
 from laborloom.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ranking.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scans.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op6_quality_ranking": op6_quality_ranking,
+    "op7_license_scans": op7_license_scans,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
