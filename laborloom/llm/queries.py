@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborloom.llm import jaccard_join, language_id, license_scans, mixing, packing, quality_ranking, quality_rules, secret_scans, toxicity
+from laborloom.llm import jaccard_join, language_id, license_scans, mixing, packing, quality_ranking, quality_rules, secret_scans, toxicity, vector_search
 from laborloom.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ranking.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op2_secret_scans": op2_secret_scans,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
+    "op5_vector_search": op5_vector_search,
     "op6_quality_ranking": op6_quality_ranking,
     "op7_license_scans": op7_license_scans,
     "op8_jaccard_join": op8_jaccard_join,
