@@ -13,8 +13,9 @@ from laborloom.llm.queries import tokenizer_path
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without letters, or without one language of at least 30 per cent, go."""
     model = language_id.learn_languages(docs.filter(crc_mod("doc_id", 4) != 2))
-    rated = language_id.identify(docs, model)
-    return rated.filter((F.col("language.lang") != language_id.UNKNOWN) & (F.col("language.score") >= 0.3)).select(*docs.columns)
+    rated = language_id.identify(docs, model, into="__language")
+    known = (F.col("__language.lang") != language_id.UNKNOWN) & (F.col("__language.score") >= 0.3)
+    return rated.filter(known).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

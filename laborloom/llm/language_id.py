@@ -192,9 +192,15 @@ RESULT = "lang string, score double, languages array<string>, shares array<doubl
 
 
 def identify(
-    docs: DataFrame, model: Languages, text: str = "text", rounds: int = 12, penalty: float = 2.0, widest: int = 4
+    docs: DataFrame,
+    model: Languages,
+    text: str = "text",
+    into: str = "language",
+    rounds: int = 12,
+    penalty: float = 2.0,
+    widest: int = 4,
 ) -> DataFrame:
-    """Add ``language``: struct of lang, score, languages and shares, over whole texts."""
+    """Add column ``into``: struct of lang, score, languages and shares, over whole texts."""
     @F.pandas_udf(RESULT)
     def languages(texts: pd.Series) -> pd.DataFrame:
         return infer(texts.tolist(), model, rounds, penalty, widest)
@@ -206,11 +212,9 @@ def identify(
         F.array().cast("array<double>").alias("shares"),
     )
     if not model.names:
-        return docs.withColumn("language", unknown)
+        return docs.withColumn(into, unknown)
     lettered = F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False))
-    return docs.withColumn("language", languages(F.col(text))).withColumn(
-        "language", F.when(lettered, F.col("language")).otherwise(unknown)
-    )
+    return docs.withColumn(into, languages(F.col(text))).withColumn(into, F.when(lettered, F.col(into)).otherwise(unknown))
 
 
 def predict_languages(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:

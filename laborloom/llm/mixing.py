@@ -48,13 +48,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
         ranked.withColumns({"_weight": weight, "_cap": F.col("source_size") * F.lit(float(most))})
         .withColumn("_total", F.sum("source_size").over(whole))
         .withColumn("_left", F.col("_total") - F.coalesce(F.sum("_cap").over(upto), F.lit(0.0)))
-        .withColumn("_nth", F.row_number().over(by_cap))
+        .withColumn("__nth", F.row_number().over(by_cap))
         .withColumn("_rate", F.col("_left") / F.sum("_weight").over(rest))
         # The first source that stays below its cap sets the rate of all later ones.
-        .withColumn("_final", F.min(F.when(F.col("_cap") > F.col("_rate") * F.col("_weight"), F.col("_nth"))).over(whole))
-        .withColumn("_common", F.min(F.when(F.col("_nth") == F.col("_final"), F.col("_rate"))).over(whole))
+        .withColumn("_final", F.min(F.when(F.col("_cap") > F.col("_rate") * F.col("_weight"), F.col("__nth"))).over(whole))
+        .withColumn("_common", F.min(F.when(F.col("__nth") == F.col("_final"), F.col("_rate"))).over(whole))
     )
-    target = F.when(F.col("_nth") >= F.col("_final"), F.col("_common") * F.col("_weight")).otherwise(F.col("_cap"))
+    target = F.when(F.col("__nth") >= F.col("_final"), F.col("_common") * F.col("_weight")).otherwise(F.col("_cap"))
     names = [c for c in capped.columns if c.startswith("_")]
     return capped.withColumn("target", target).drop(*names)
 
@@ -66,13 +66,13 @@ def seats(claims: DataFrame, group: list[str], claim: str, total: str, order: li
     at most ``total`` seats and T / (total + n/2) at least as many; only the seats between the two are ranked.
     """
     within = Window.partitionBy(*group)
-    sums = claims.withColumns({"_sum": F.sum(claim).over(within), "_n": F.count(F.lit(1)).over(within)})
+    sums = claims.withColumns({"_sum": F.sum(claim).over(within), "__n": F.count(F.lit(1)).over(within)})
     round_half = lambda x: F.floor(x + 0.5)
     sure = F.when(
-        (F.col(total) > F.col("_n") / 2) & (F.col("_sum") > 0),
-        round_half(F.col(claim) * (F.col(total) - F.col("_n") / 2) / F.col("_sum")),
+        (F.col(total) > F.col("__n") / 2) & (F.col("_sum") > 0),
+        round_half(F.col(claim) * (F.col(total) - F.col("__n") / 2) / F.col("_sum")),
     ).otherwise(0)
-    top = F.when(F.col("_sum") > 0, round_half(F.col(claim) * (F.col(total) + F.col("_n") / 2) / F.col("_sum"))).otherwise(0)
+    top = F.when(F.col("_sum") > 0, round_half(F.col(claim) * (F.col(total) + F.col("__n") / 2) / F.col("_sum"))).otherwise(0)
     # One seat less than the divisor gives guards against rounding of the quotient itself.
     bounds = sums.withColumn("_sure", F.greatest(F.lit(0), sure.cast("long") - 1)).withColumn("_top", top.cast("long") + 1)
     spare = bounds.withColumn("_spare", F.col(total) - F.sum("_sure").over(within))
@@ -88,7 +88,7 @@ def seats(claims: DataFrame, group: list[str], claim: str, total: str, order: li
     return (
         bounds.join(won, keys, "left")
         .withColumn("seats", F.col("_sure") + F.coalesce(F.col("_won"), F.lit(0)))
-        .drop("_sum", "_n", "_sure", "_top", "_won")
+        .drop("_sum", "__n", "_sure", "_top", "_won")
     )
 
 
@@ -122,13 +122,13 @@ def mix(
         "source_plan",
     )
     dealt = narrow.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64("_tag", F.lit(3)), F.col("_shards")))
+    dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64("__tag", F.lit(3)), F.col("_shards")))
     shards = dealt.groupBy("place", "_shard").agg(F.sum("size").alias("_words"), F.first("_quota").alias("_quota"))
     shards = seats(shards.withColumn("_claim", F.col("_words").cast("double")), ["place"], "_claim", "_quota", ["_shard"])
     take = F.least(F.col("seats") * block_words, F.floor(F.col("_words") * most)).cast("long")
     shards = saved(shards.select("place", "_shard", "_words", take.alias("_take")), "shard_plan")
     # Rows of a shard in seeded order, laid end to end; the quota goes around that circle.
-    order = Window.partitionBy("place", "_shard").orderBy("_tag", key).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("place", "_shard").orderBy("__tag", key).rowsBetween(Window.unboundedPreceding, 0)
     passes = F.floor(F.col("_take") / F.greatest("_words", F.lit(1)))
     last = F.col("_take") - passes * F.col("_words")
     part = F.greatest(F.lit(0), F.least(F.col("size"), last - F.col("_before")))
@@ -145,12 +145,12 @@ def mix(
         F.round("target", 6).alias("target"),
         "taken",
         F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).alias("part_words"),
-        "_tag",
+        "__tag",
     )
 
 
 def _tag(docs: DataFrame, seed: int, text: str, key: str) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(key), F.col("source"), F.col(text)).alias("_tag")
+    return F.xxhash64(F.lit(seed), F.col(key), F.col("source"), F.col(text)).alias("__tag")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -165,17 +165,17 @@ def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", se
     """
     columns = docs.columns
     # Rows equal in key, source and text are interchangeable, but each has its own number of repeats.
-    nth = F.row_number().over(Window.partitionBy(key, "_tag").orderBy("_tag"))
+    nth = F.row_number().over(Window.partitionBy(key, "__tag").orderBy("__tag"))
     decided = mix(docs, text=text, key=key, seed=seed, **options).filter(F.col("taken") > 0)
-    decided = decided.withColumn("_nth", nth).select(
-        F.col(key).alias("_key"), F.col("_tag").alias("_mark"), F.col("_nth").alias("_n"), "size", "taken", "part_words"
-    ).withColumnsRenamed({"size": "_size", "taken": "_taken", "part_words": "_part"})
-    rows = docs.withColumn("_tag", _tag(docs, seed, text, key)).withColumn("_nth", nth)
-    met = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_tag") == F.col("_mark")) & (F.col("_nth") == F.col("_n"))
-    whole = F.array_repeat(F.lit(0).cast("long"), F.floor(F.col("_taken") / F.col("_size")).cast("int"))
-    pieces = F.when(F.col("_part") > 0, F.concat(whole, F.array("_part"))).otherwise(whole)
-    cut = F.when(F.col("_piece") > 0, first_words(F.col(text), F.col("_piece").cast("int"))).otherwise(F.col(text))
-    out = rows.join(decided, met).withColumn("_piece", F.explode(pieces)).withColumn(text, cut)
+    decided = decided.withColumn("__nth", nth).select(
+        F.col(key).alias("__key"), F.col("__tag").alias("__mark"), F.col("__nth").alias("__n"), "size", "taken", "part_words"
+    ).withColumnsRenamed({"size": "__size", "taken": "__taken", "part_words": "__part"})
+    rows = docs.withColumn("__tag", _tag(docs, seed, text, key)).withColumn("__nth", nth)
+    met = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__tag") == F.col("__mark")) & (F.col("__nth") == F.col("__n"))
+    whole = F.array_repeat(F.lit(0).cast("long"), F.floor(F.col("__taken") / F.col("__size")).cast("int"))
+    pieces = F.when(F.col("__part") > 0, F.concat(whole, F.array("__part"))).otherwise(whole)
+    cut = F.when(F.col("__piece") > 0, first_words(F.col(text), F.col("__piece").cast("int"))).otherwise(F.col(text))
+    out = rows.join(decided, met).withColumn("__piece", F.explode(pieces)).withColumn(text, cut)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*columns)

@@ -134,7 +134,7 @@ def linked_spans(parts: DataFrame, keys: list[str], reach: int) -> DataFrame:
     )
     near = (F.col("last") >= F.col("start") - reach) & (F.col("first") <= F.col("start") + reach)
     met = probes.join(extents, [*keys, "stretch", "role"]).filter(near)
-    return met.groupBy(*keys).agg(F.collect_set(F.struct("start", "rank", "end")).alias("_linked"))
+    return met.groupBy(*keys).agg(F.collect_set(F.struct("start", "rank", "end")).alias("__linked"))
 
 
 def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", reach: int = 400) -> DataFrame:
@@ -145,23 +145,23 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", reach
     """
     body = F.coalesce(F.col(text), F.lit(""))
     mark = F.xxhash64(F.col(text), F.lit(1))
-    weak = docs.select(key, mark.alias("_mark"), body.alias("_body"), spans_of(body, WEAK).alias("_weak"))
+    weak = docs.select(key, mark.alias("__mark"), body.alias("__body"), spans_of(body, WEAK).alias("__weak"))
     parts = (
-        weak.filter(F.size("_weak") > 0)
-        .select(key, "_mark", F.concat("_weak", spans_of(F.col("_body"), BASE)).alias("spans"))
+        weak.filter(F.size("__weak") > 0)
+        .select(key, "__mark", F.concat("__weak", spans_of(F.col("__body"), BASE)).alias("spans"))
         .filter(F.size("spans") > 1)
-        .dropDuplicates([key, "_mark"])
+        .dropDuplicates([key, "__mark"])
     )
-    linked = saved(linked_spans(parts, [key, "_mark"], reach), "linked_secrets")
-    rows = docs.withColumns({"_mark": mark, "base_spans": F.sort_array(spans_of(body, BASE))})
-    added = F.coalesce(F.col("_linked"), F.array().cast(f"array<{SPAN}>"))
+    linked = saved(linked_spans(parts, [key, "__mark"], reach), "linked_secrets")
+    rows = docs.withColumns({"__mark": mark, "base_spans": F.sort_array(spans_of(body, BASE))})
+    added = F.coalesce(F.col("__linked"), F.array().cast(f"array<{SPAN}>"))
     joined = rows.join(
-        linked.select(F.col(key).alias("_key"), F.col("_mark").alias("_link"), "_linked"),
-        F.col(key).eqNullSafe(F.col("_key")) & (F.col("_mark") == F.col("_link")),
+        linked.select(F.col(key).alias("__key"), F.col("__mark").alias("__link"), "__linked"),
+        F.col(key).eqNullSafe(F.col("__key")) & (F.col("__mark") == F.col("__link")),
         "left",
     )
     return joined.withColumn("secret_spans", F.sort_array(F.concat("base_spans", added))).drop(
-        "_mark", "_key", "_link", "_linked"
+        "__mark", "__key", "__link", "__linked"
     )
 
 

@@ -105,30 +105,37 @@ class LabelModel:
 
 
 def fit_label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int = 40) -> LabelModel:
-    """Expectation-maximisation from a first guess of each document's label; correlated voters share weight.
+    """Expectation-maximisation from a first guess of each document's label, with correlations of voters.
 
-    After each estimate the votes' remaining correlation given the label is measured; a voter's weight is one over the
-    sum of its squared correlations with all voters, so that m copies of one voter count as one.
+    Voters that vote alike nearly always share one vote during the rounds. Then the correlation left between votes given
+    the estimated label sets the weights: one over the sum of a voter's squared correlations with all voters.
     """
-    believed, weight = start.astype(float), np.ones(votes.shape[1])
-    model = None
+    votes_alike = (np.abs(correlations(votes)) > 0.95).sum(axis=1)
+    shared = 1 / np.maximum(votes_alike, 1)
+    believed, rate = start.astype(float), float(np.clip(prior, 0.01, 0.99))
+    model = LabelModel(shared, shared, shared, rate)
     for _ in range(rounds):
-        toxic, clean = believed.sum() + 1, (1 - believed).sum() + 1
-        rate = np.clip(toxic / (toxic + clean), 0.01, 0.99) if model else np.clip(prior, 0.01, 0.99)
-        fires_toxic = np.clip((votes.T @ believed + 0.5) / toxic, 1e-4, 1 - 1e-4)
-        fires_clean = np.clip((votes.T @ (1 - believed) + 0.5) / clean, 1e-4, 1 - 1e-4)
-        rest = votes - np.where(believed[:, None] > 0.5, fires_toxic, fires_clean)
-        spread = np.sqrt((rest**2).mean(axis=0) + 1e-9)
-        related = (rest.T @ rest / max(len(votes), 1)) / np.outer(spread, spread)
-        weight = 1 / np.maximum((related**2).sum(axis=1), 1.0)
+        toxic, clean = believed.sum(), (1 - believed).sum()
+        fires_toxic = np.clip((votes.T @ believed + 0.1) / (toxic + 0.2), 1e-4, 1 - 1e-4)
+        fires_clean = np.clip((votes.T @ (1 - believed) + 0.1) / (clean + 0.2), 1e-4, 1 - 1e-4)
         # A voter that fires less on toxic documents than on clean ones tells nothing here.
-        weight = np.where(fires_toxic > fires_clean, weight, 0.0)
-        model = LabelModel(fires_toxic, fires_clean, weight, float(rate))
+        model = LabelModel(fires_toxic, fires_clean, np.where(fires_toxic > fires_clean, shared, 0.0), rate)
         fresh = model.posterior(votes)
         moved, believed = np.abs(fresh - believed).max() if len(fresh) else 0.0, fresh
+        rate = float(np.clip(believed.mean(), 0.01, 0.99)) if len(fresh) else rate
         if moved < 1e-4:
             break
-    return model
+    rest = votes - (believed[:, None] * model.fires_toxic + (1 - believed[:, None]) * model.fires_clean)
+    weight = 1 / np.maximum((correlations(rest) ** 2).sum(axis=1), 1.0)
+    return LabelModel(model.fires_toxic, model.fires_clean, np.where(model.weight > 0, weight, 0.0), model.prior)
+
+
+def correlations(votes: np.ndarray) -> np.ndarray:
+    """Correlation of each pair of voters over all documents; voters that never differ have none."""
+    rest = votes - votes.mean(axis=0) if len(votes) else votes
+    spread = np.sqrt((rest**2).sum(axis=0))
+    scale = np.where(spread > 0, spread, 1.0)
+    return rest.T @ rest / np.outer(scale, scale)
 
 
 def fit_linear(rows: list[np.ndarray], size: int, target: np.ndarray, ridge: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
