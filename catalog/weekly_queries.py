@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+from pyspark.sql import functions as F
+
 from catalog.adapter_sql import half_up, monday, quotient, rounded as ratio_sql, sunday, using
 from catalog.common import AS_OF, rounded
 from laborloom.operators import impact, qualify, weekly
@@ -24,12 +26,21 @@ def _flags(spark, sf, **options):
     return rounded(flags, 9, "employees_12w_avg", "wage_coverage_ratio")
 
 
+def _relabelled(spark, sf):
+    """Every third location moves to another state in the middle of 1998."""
+    events = sample.timeclock(spark, sf)
+    moved = (F.col("location_id") % 3 == 0) & (F.col("event_date") >= F.lit("1998-06-24").cast("date"))
+    return events.withColumn("state", F.when(moved, F.concat(F.lit("NEW "), "state")).otherwise(F.col("state")))
+
+
 QUERIES = {
     "location_qualification": _flags,
     "location_qualification_calendar": lambda s, d: _flags(s, d, frame="calendar"),
     "weekly_table": _table,
     "weekly_table_monday": lambda s, d: _table(s, d, first="monday"),
     "weekly_table_by_state": lambda s, d: _table(s, d, by=["state"]),
+    "weekly_table_by_state_relabelled": lambda s, d: weekly.weekly_table(_relabelled(s, d), AS_OF, by=["state"]),
+    "weekly_table_ten_years": lambda s, d: _table(s, d, periods_back=520).select("period_start", "active_location_count"),
     "weekly_table_by_msa": lambda s, d: _table(s, d, by=["msa"]),
     "weekly_table_by_city": lambda s, d: _table(s, d, by=["city"]),
     "weekly_table_by_city_suppressed": lambda s, d: _table(s, d, by=["city"], min_locations=2),
@@ -46,7 +57,7 @@ QUERIES = {
 # ---------------------------------------------------------------- SQL twins
 
 
-def _flag_ctes(week, by: str = "", frame: str = "rows") -> dict[str, str]:
+def _flag_ctes(week, label: str = "", frame: str = "rows") -> dict[str, str]:
     if frame == "rows":
         size = "avg(emp) OVER (h ROWS 11 PRECEDING)"
         weeks = "count(*) OVER (h ROWS 51 PRECEDING)"
@@ -60,13 +71,14 @@ def _flag_ctes(week, by: str = "", frame: str = "rows") -> dict[str, str]:
                        AND hourly_wage_rate >= 7.25 AND hourly_wage_rate <= 100 AS payable
             FROM timeclock""",
         "lw": f"""
-            SELECT {by}location_id, w, count(DISTINCT user_id) AS emp,
+            SELECT location_id, w, {f"max(struct_pack(d := event_date, k := {label})).k AS {label}, " if label else ""}
+                   count(DISTINCT user_id) AS emp,
                    {quotient('sum(hours_worked) FILTER (hourly_wage_rate IS NOT NULL)', 'sum(hours_worked)')} AS cover,
                    coalesce(bool_or(closed_w = w), false) AS closing
             FROM wk GROUP BY ALL""",
         "hist": f"""
             SELECT *, {size} AS size, {weeks} AS n FROM lw
-            WINDOW h AS (PARTITION BY {by}location_id ORDER BY w - DATE '1970-01-01')""",
+            WINDOW h AS (PARTITION BY location_id ORDER BY w - DATE '1970-01-01')""",
         "q": """
             SELECT *, coalesce(size >= 5 AND size <= 100 AND n >= 12 AND NOT closing, false) AS qj,
                    coalesce(size >= 10 AND size <= 100 AND n >= 12 AND NOT closing, false) AS qt,
@@ -88,20 +100,20 @@ def _flags_sql(frame: str = "rows") -> str:
     return using("timeclock", body, **_flag_ctes(sunday, frame=frame))
 
 
-def _table_ctes(by: str = "", first: str = "sunday", lookback: int = 1, literal: bool = False) -> dict[str, str]:
+def _table_ctes(by: str = "", first: str = "sunday", lookback: int = 1, literal: bool = False, back: int = 260) -> dict[str, str]:
     """The weekly table from set-based definitions: EXISTS for flows, joins for outlook."""
     week = sunday if first == "sunday" else monday
     key = f"{by}, " if by else ""
-    lo = week_floor(AS_OF - timedelta(days=7 * 260), first)
+    lo = week_floor(AS_OF - timedelta(days=7 * back), first)
     hi = week_floor(AS_OF, first)
     hi = hi if hi + timedelta(days=6) <= AS_OF else hi - timedelta(days=7)
-    same = f"{f'b.{by} = p.{by} AND ' if by else ''}b.user_id = p.user_id AND b.location_id = p.location_id"
-    here = f"{f'b.{by} = a.{by} AND ' if by else ''}b.location_id = a.location_id"
+    same = "b.user_id = p.user_id AND b.location_id = p.location_id"
+    here = "b.location_id = a.location_id"
     spine = f"BETWEEN DATE '{lo}' AND DATE '{hi}'"
-    using_q = f"USING ({key}location_id, w)"
-    ctes = _flag_ctes(week, key)
+    using_q = "USING (location_id, w)"
+    ctes = _flag_ctes(week, by)
     ctes |= {
-        "e": f"SELECT wk.*, qj, qt, qw, qo FROM wk JOIN q {using_q}",
+        "e": f"SELECT wk.* {f'EXCLUDE ({by}), q.{by}' if by else ''}, qj, qt, qw, qo FROM wk JOIN q {using_q}",
         "tot": f"""
             SELECT {key}w, count(DISTINCT location_id) FILTER (qj) AS act,
                    count(DISTINCT user_id) FILTER (qt AND shift_id IS NOT NULL) AS usr,
@@ -127,11 +139,12 @@ def _table_ctes(by: str = "", first: str = "sunday", lookback: int = 1, literal:
             SELECT {key}CAST(w + 7 AS DATE) AS w, count(DISTINCT user_id) AS jr FROM pairs p
             WHERE NOT EXISTS (FROM pairs b WHERE {same} AND b.w = p.w + 7) GROUP BY ALL""",
         "debut": f"""
-            SELECT {key}{week('d')} AS w, count(*) AS nu
-            FROM (SELECT {key}user_id, min(event_date) AS d FROM e WHERE qt AND user_id IS NOT NULL GROUP BY ALL) GROUP BY ALL""",
+            SELECT {f'm.k AS {by}, ' if by else ''}m.w AS w, count(*) AS nu
+            FROM (SELECT user_id, min(struct_pack(w := w{f', k := {by}' if by else ''})) AS m
+                  FROM e WHERE qt AND user_id IS NOT NULL GROUP BY user_id) GROUP BY ALL""",
         "left_": f"""
-            SELECT {', '.join(f'm.{k}' for k in ([by] if by else []) + ['w'])}, count(DISTINCT m.user_id) AS ar
-            FROM (SELECT {key}location_id, user_id, {week('archived_at')} AS w FROM wk
+            SELECT {f'q.{by}, ' if by else ''}m.w, count(DISTINCT m.user_id) AS ar
+            FROM (SELECT location_id, user_id, {week('archived_at')} AS w FROM wk
                   WHERE archived_at < DATE '{AS_OF}') m
             JOIN q {using_q} WHERE qt GROUP BY ALL""",
         "ahead": f"""
@@ -154,7 +167,7 @@ def _table_ctes(by: str = "", first: str = "sunday", lookback: int = 1, literal:
     joins = " ".join(f"LEFT JOIN {part} USING ({key}w)" for part in parts)
     ctes["wide"] = f"""
         SELECT * FROM keys {joins}
-        WHERE w {spine} AND w >= DATE '{AS_OF - timedelta(days=weekly.HISTORY_DAYS)}'"""
+        WHERE w {spine} AND w >= DATE '{AS_OF - timedelta(days=7 * back)}'"""
 
     def n(name: str) -> str:
         return f"coalesce({name}, 0)"
@@ -207,6 +220,17 @@ SQL = {
     "weekly_table": _table_sql(),
     "weekly_table_monday": _table_sql(first="monday"),
     "weekly_table_by_state": _table_sql(by="state"),
+    "weekly_table_by_state_relabelled": using(
+        "timeclock",
+        "SELECT * FROM report",
+        relabelled="""
+            SELECT * REPLACE (CASE WHEN location_id % 3 = 0 AND event_date >= DATE '1998-06-24' THEN 'NEW ' || state
+                              ELSE state END AS state) FROM timeclock""",
+        **{name: text.replace("FROM timeclock", "FROM relabelled") for name, text in _table_ctes(by="state").items()},
+    ),
+    "weekly_table_ten_years": _table_sql(
+        "SELECT period_start, active_location_count FROM report", back=520
+    ),
     "weekly_table_by_msa": _table_sql(by="msa"),
     "weekly_table_by_city": _table_sql(by="city"),
     "weekly_table_by_city_suppressed": _table_sql("SELECT * FROM report WHERE active_location_count >= 2", by="city"),

@@ -59,15 +59,17 @@ def user_weeks(
     This is the only aggregate over raw events the weekly metrics need. Its key
     contains the worker, so a very large location spreads over many tasks and
     map-side partial aggregation collapses repeated shifts before the shuffle.
-    ``by`` names location attributes such as state, city or msa.
+    ``by`` names location attributes such as state, city or msa. They are not part of the key: a location whose label
+    changes stays one location, and ``labels`` carries those of its latest day.
     """
     hours, rate, pay = F.col("hours_worked"), F.col("hourly_wage_rate"), F.col("total_wages_earned")
     payable = pay.isNotNull() & hours.isNotNull() & rate.between(*wage_band)
     week = week_start("event_date", first)
     closing = week_start(F.col("loc_archived_at").cast("date"), first) == week
+    labels = [F.max(F.struct("event_date", *by)).alias("labels")] if by else []
     return (
         timeclock.filter(F.col("location_id").isNotNull() & F.col("event_date").isNotNull())
-        .groupBy(*by, "location_id", week.alias("week_start"), "user_id")
+        .groupBy("location_id", week.alias("week_start"), "user_id")
         .agg(
             F.count("shift_id").alias("shift_rows"),
             F.sum(F.when(F.col("shift_id").isNotNull(), hours)).alias("shift_hours"),
@@ -77,6 +79,7 @@ def user_weeks(
             F.sum(F.when(payable, hours)).alias("pay_hours"),
             F.count(F.when(payable, 1)).alias("pay_rows"),
             F.max(F.when(closing, 1).otherwise(0)).alias("closing"),
+            *labels,
         )
     )
 
@@ -85,9 +88,10 @@ def location_weeks(weeks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Location-week totals of :func:`user_weeks`.
 
     Workers are already unique per location-week, so plain counts replace
-    distinct counts.
+    distinct counts. A location-week has one set of ``by`` labels, that of its latest day (the largest of equals).
     """
-    return weeks.groupBy(*by, "location_id", "week_start").agg(
+    labels = [F.max("labels").alias("labels")] if by else []
+    totals = weeks.groupBy("location_id", "week_start").agg(
         F.count("user_id").alias("weekly_employees"),
         F.sum("hours").alias("hours"),
         F.sum("rated_hours").alias("rated_hours"),
@@ -96,20 +100,21 @@ def location_weeks(weeks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum("shift_rows").alias("shift_rows"),
         F.sum(F.when(F.col("user_id").isNotNull(), F.col("shift_rows"))).alias("user_shift_rows"),
         F.max("closing").alias("archived_this_week"),
+        *labels,
     )
+    return totals.select("*", *[F.col("labels")[name].alias(name) for name in by]).drop("labels")
 
 
-def history_window(by: Sequence[str] = ()) -> WindowSpec:
+def history_window() -> WindowSpec:
     """Per location, ordered by the week's day number so that day ranges work.
 
     The number is a real column: windows that share it share one sort.
     """
-    return Window.partitionBy(*by, "location_id").orderBy("week_no")
+    return Window.partitionBy("location_id").orderBy("week_no")
 
 
 def qualified_weeks(
     totals: DataFrame,
-    by: Sequence[str] = (),
     rules: Sequence[QualRule] = RULES,
     frame: str = "rows",
 ) -> DataFrame:
@@ -120,7 +125,7 @@ def qualified_weeks(
     zero employees.
     """
     totals = totals.withColumn("week_no", F.unix_date("week_start"))
-    history = history_window(by)
+    history = history_window()
     if frame == "rows":
         size = F.avg("weekly_employees").over(history.rowsBetween(-11, 0))
         active = F.count(F.lit(1)).over(history.rowsBetween(-51, 0))

@@ -7,6 +7,10 @@ including the look-ahead metrics: the following four weeks and the same week a
 year later are range frames on the same window, not joins. Metrics about
 workers join the flags back by equality on (location, week) and use one more
 window per (location, worker). No event row ever meets a date range join.
+
+Labels (``by``) take part in no window: locations qualify, gain and lose
+workers and survive as locations, and a location-week counts under the label it
+has then. A worker is first seen once, anywhere.
 """
 
 from __future__ import annotations
@@ -24,7 +28,6 @@ from laborloom.operators.reuse import computed_once
 from laborloom.periods import week_floor
 
 WEEK, YEAR = 7, 364
-HISTORY_DAYS = 1820
 
 
 class _Spine:
@@ -49,7 +52,7 @@ def location_measures(flagged: DataFrame, spine: _Spine, by: Sequence[str] = (),
     A location-week contributes to its own period and, when it is an outlook
     location, as a survival base to the period 52 weeks later.
     """
-    history = history_window(by)
+    history = history_window()
     ahead = flagged.select(
         "*",
         F.sum("shift_rows").over(history.rangeBetween(WEEK, 4 * WEEK)).alias("ahead_rows"),
@@ -87,35 +90,25 @@ def location_measures(flagged: DataFrame, spine: _Spine, by: Sequence[str] = (),
     )
 
 
-def archive_marks(timeclock: DataFrame, as_of: date, by: Sequence[str] = (), first: str = "sunday") -> DataFrame:
+def archive_marks(timeclock: DataFrame, as_of: date, first: str = "sunday") -> DataFrame:
     """Distinct (location, worker, week of archiving) before ``as_of``."""
     left = F.col("archived_at")
     return (
         timeclock.filter(left.isNotNull() & (left < F.lit(as_of)) & F.col("user_id").isNotNull())
         .filter(F.col("location_id").isNotNull())
-        .select(*by, "location_id", week_start(left.cast("date"), first).alias("week_start"), "user_id")
+        .select("location_id", week_start(left.cast("date"), first).alias("week_start"), "user_id")
         .distinct()
     )
 
 
 def _with_flags(rows: DataFrame, flagged: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach the flags worker metrics use, on an equality key."""
+    """Attach labels and the flags worker metrics use, on an equality key."""
     wanted = flagged.filter(_is("jobs") | _is("turnover") | _is("wages"))
-    keys = [*by, "location_id", "week_start"]
-    right = wanted.select(
-        *[F.col(key).alias(f"_{key}") for key in keys],
-        "qualified_for_jobs",
-        "qualified_for_turnover",
-        "qualified_for_wages",
-    )
-    condition = F.lit(True)
-    for key in keys:
-        same = F.col(key).eqNullSafe(F.col(f"_{key}")) if key in by else F.col(key) == F.col(f"_{key}")
-        condition = condition & same
-    return rows.join(right, condition).drop(*[f"_{key}" for key in keys])
+    flags = ("qualified_for_jobs", "qualified_for_turnover", "qualified_for_wages")
+    return rows.join(wanted.select("location_id", "week_start", *by, *flags), ["location_id", "week_start"])
 
 
-def job_flows(flagged_users: DataFrame, spine: _Spine, by: Sequence[str] = (), lookback_weeks: int = 1) -> DataFrame:
+def job_flows(flagged_users: DataFrame, spine: _Spine, lookback_weeks: int = 1) -> DataFrame:
     """Mark workers that are new to, or gone from, a location this week.
 
     A (worker, location) pair is new when the pair has no qualified shift in
@@ -125,7 +118,7 @@ def job_flows(flagged_users: DataFrame, spine: _Spine, by: Sequence[str] = (), l
     """
     at_work = _is("jobs") & (F.col("shift_rows") > 0) & spine.holds(F.col("week_start"))
     marked = flagged_users.withColumn("pair", F.when(at_work, 1))
-    pairs = Window.partitionBy(*by, "user_id", "location_id").orderBy(F.unix_date("week_start"))
+    pairs = Window.partitionBy("user_id", "location_id").orderBy(F.unix_date("week_start"))
     before = F.max("pair").over(pairs.rangeBetween(-WEEK * lookback_weeks, -WEEK))
     after = F.max("pair").over(pairs.rangeBetween(WEEK, WEEK))
     return marked.select(
@@ -159,9 +152,12 @@ def worker_measures(flows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         ever(now & _is("wages") & (F.col("pay_rows") > 0)).alias("paid"),
         F.sum(F.when(now & F.col("joined"), F.col("shift_hours"))).alias("new_hours"),
     )
-    first_seen = F.min(F.when(F.col("seen") == 1, F.col("period_start"))).over(Window.partitionBy(*by, "user_id"))
+    # Once per worker, anywhere: the earliest week, and the smallest label where a worker is first seen in two.
+    here = F.struct("period_start", *by)
+    first_seen = F.min(F.when(F.col("seen") == 1, here)).over(Window.partitionBy("user_id"))
+    debut = (F.col("seen") == 1) & first_seen.eqNullSafe(here)
     return (
-        worker_period.withColumn("first_week", F.when(first_seen == F.col("period_start"), 1).otherwise(0))
+        worker_period.withColumn("first_week", F.when(debut, 1).otherwise(0))
         .groupBy(*by, "period_start")
         .agg(
             F.sum("active").alias("active_workers"),
@@ -189,15 +185,15 @@ def period_measures(
     """Raw weekly measures per period, before ratios and the report spine."""
     spine = _Spine(as_of, periods_back, first)
     weeks = computed_once(user_weeks(timeclock, by, first), "user-weeks")
-    flagged = computed_once(qualified_weeks(location_weeks(weeks, by), by, rules, frame), "location-weeks")
-    marks = archive_marks(timeclock, as_of, by, first).withColumn("archive_mark", F.lit(True))
+    flagged = computed_once(qualified_weeks(location_weeks(weeks, by), rules, frame), "location-weeks")
+    marks = archive_marks(timeclock, as_of, first).withColumn("archive_mark", F.lit(True))
     worker_rows = (
         weeks.filter(F.col("user_id").isNotNull())
-        .select(*by, "location_id", "week_start", "user_id", "shift_rows", "shift_hours", "pay_rows")
+        .select("location_id", "week_start", "user_id", "shift_rows", "shift_hours", "pay_rows")
         .withColumn("archive_mark", F.lit(False))
         .unionByName(marks, allowMissingColumns=True)
     )
-    flows = job_flows(_with_flags(worker_rows, flagged, by), spine, by, lookback_weeks)
+    flows = job_flows(_with_flags(worker_rows, flagged, by), spine, lookback_weeks)
     located = location_measures(flagged, spine, by, literal_survival)
     workers = worker_measures(flows, by)
     merged = located.unionByName(workers, allowMissingColumns=True)
@@ -229,7 +225,7 @@ def weekly_table(
     )
     spine = (
         weekly_spine(timeclock.sparkSession, as_of, periods_back, first)
-        .filter(F.col("period_start") >= F.lit(as_of - timedelta(days=HISTORY_DAYS)))
+        .filter(F.col("period_start") >= F.lit(as_of - timedelta(days=7 * periods_back)))
         .select("period_start", "period_end")
     )
     # The 12-week mean needs the weeks before the report history too, so it is
