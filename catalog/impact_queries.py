@@ -14,7 +14,7 @@ OPEN_ENDED = replace(SCOPE, event_end=None)
 
 
 def _report(spark, sf, scope=SCOPE, **options):
-    report = EventReport(sample.timeclock(spark, sf), scope, AS_OF, **options)
+    report = EventReport(sample.timeclock(spark, sf), scope, AS_OF, **{"check": False, **options})
     scoped = sample.timeclock(spark, sf, report.dates.data_start, report.dates.data_end)
     return replace(report, timeclock=scoped)
 
@@ -27,7 +27,7 @@ QUERIES = {
     "city_discovery": lambda s, d: impact.discover_cities(sample.timeclock(s, d), "asia", AS_OF),
     "event_weekly_metrics": lambda s, d: _report(s, d).weekly(),
     "event_weekly_metrics_calendar_year": lambda s, d: _report(s, d, literal_years=True).weekly(),
-    "event_yearly_deltas": _deltas,
+    "event_yearly_deltas": lambda s, d: _deltas(s, d, check=True),
     "event_yearly_deltas_open_ended": lambda s, d: _deltas(s, d, scope=OPEN_ENDED),
     "event_yearly_deltas_calendar_year": lambda s, d: _deltas(s, d, literal_years=True),
     "event_yearly_deltas_suppressed": lambda s, d: _deltas(s, d, suppress=True),

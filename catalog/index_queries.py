@@ -66,12 +66,21 @@ def _grid(spark, sf):
 def _published(spark, sf):
     """The benchmark table after a round through the partitioned sink."""
     path = shared_path(spark, "benchmarks")
-    stored = publish_benchmarks(_events(spark, sf), WINDOWS, path) if path else _bench(spark, sf)
+    if path is None:
+        raise ValueError("set spark.checkpoint.dir: the query goes through a written table")
+    stored = publish_benchmarks(_events(spark, sf), WINDOWS, path)
     return stored.filter(F.col("yr") == max(WINDOWS)).select(
         "yr", "location_id", "day_of_week", "days_with_data", "denominator_clock_ins", "total_clock_ins_4weeks"
     )
 
 
+def _month_labor(spark, sf, **options):
+    """Through the report's own option for benchmarks from January."""
+    from catalog.quality_queries import report
+
+    return report(spark, sf).labor(benchmark="month", **options)
+
+
 IDX = ("idx_employees", "idx_hours", "idx_open")
 
 QUERIES = {
@@ -82,6 +91,9 @@ QUERIES = {
     "labor_index_month_benchmark": lambda s, d: ix.monthly_index(
         ix.daily_index(_actuals(s, d), bm.month_benchmark(_actuals(s, d)))
     ),
+    "labor_index_month_benchmark_by_industry": lambda s, d: _month_labor(s, d, by=["industry"]),
+    "labor_index_month_benchmark_suppressed": lambda s, d: _month_labor(s, d, by=["industry"], min_locations=3),
+    "large_moves_by_industry": lambda s, d: ix.large_moves(_monthly(s, d, by=["industry"]), by=["industry"]),
     "location_days": lambda s, d: doubles(
         bm.location_days(_events(s, d).filter(in_windows("event_date", WINDOWS))),
         "total_hours_scheduled",
@@ -274,6 +286,31 @@ SQL = {
     "labor_index_month_benchmark": using(
         "shift_events", _report(), act=_act(), lv=_MONTH_LEVELS, idx=_idx(digits=None), mon=_months()
     ),
+    "labor_index_month_benchmark_by_industry": using(
+        "shift_events",
+        _report("industry, "),
+        act=_act("industry, "),
+        lv=_MONTH_LEVELS,
+        idx=_idx("industry, ", digits=None),
+        mon=_months("industry, "),
+    ),
+    "labor_index_month_benchmark_suppressed": using(
+        "shift_events",
+        _report("industry, "),
+        act=_act("industry, "),
+        lv=_MONTH_LEVELS,
+        idx=_idx("industry, ", "HAVING count(DISTINCT location_id) >= 3", digits=None),
+        mon=_months("industry, "),
+    ),
+    "large_moves_by_industry": using(
+        "shift_events",
+        " UNION ALL ".join(
+            f"SELECT industry, year, month, '{name}' AS metric, {name} AS change_ppt FROM rep WHERE abs({name}) > 3"
+            for name in ix.CHANGES
+        ),
+        **_chain(extra="industry, "),
+        rep=_report("industry, "),
+    ),
     "location_days": using("shift_events", f"SELECT {_HOURS_AS_DOUBLE} FROM days", win=_WIN, days=_WIN_DAYS),
     "weekday_benchmark": using("shift_events", _BENCH_LEVELS, win=_WIN, days=_WIN_DAYS, totals=_BENCH),
     "month_benchmark": using(

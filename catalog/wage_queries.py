@@ -28,7 +28,7 @@ def _cut(by=None, min_jobs=wages.MIN_JOBS):
     return query
 
 
-def _cuts(spark, sf, segments=wages.SEGMENTS):
+def _cuts(spark, sf, segments=wages.LEGACY_SEGMENTS):
     return wages.wage_cuts(_pay(spark, sf, segments))
 
 

@@ -32,10 +32,11 @@ def hours_between(df: DataFrame, start: str, end: str) -> Column:
 def standard_label(df: DataFrame, raw: str, lookup: DataFrame, name: str, fallback: str | None) -> DataFrame:
     """Replace a raw label by its standard one, with a fallback for gaps.
 
-    ``lookup`` has columns (raw, label). It is deduplicated so that it cannot
-    multiply rows; whether it is broadcast is left to the size check.
+    ``lookup`` has columns (raw, label). Of several labels the smallest counts,
+    so that rows are neither multiplied nor labelled by chance; whether it is
+    broadcast is left to the size check.
     """
-    entries = lookup.select(F.col("raw").alias("_raw"), F.col("label").alias("_label")).dropDuplicates(["_raw"])
+    entries = lookup.groupBy(F.col("raw").alias("_raw")).agg(F.min("label").alias("_label"))
     label = F.coalesce("_label", F.lit(fallback)) if fallback is not None else F.col("_label")
     joined = df.join(entries, F.col(raw) == F.col("_raw"), "left").withColumn(name, label)
     return joined.drop("_raw", "_label")

@@ -135,18 +135,19 @@ def labor_index(
 
 
 def with_region(events: DataFrame, regions: DataFrame) -> DataFrame:
-    """Attach the caller's state-to-region lookup; states outside it are 'Other'."""
-    labelled = events.drop("region").join(regions.select("state", "region"), "state", "left")
+    """Attach the caller's state-to-region lookup; states outside it are 'Other'. Of two regions the smaller counts."""
+    lookup = regions.groupBy("state").agg(F.min("region").alias("region"))
+    labelled = events.drop("region").join(lookup, "state", "left")
     return labelled.withColumn("region", F.coalesce("region", F.lit("Other")))
 
 
-def year_overlay(monthly: DataFrame, metric: str, years: Sequence[int]) -> DataFrame:
-    """One row per month, one column per year."""
-    return monthly.groupBy("month").pivot("year", list(years)).agg(F.first(metric))
+def year_overlay(monthly: DataFrame, metric: str, years: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """One row per month (and segment ``by``), one column per year."""
+    return monthly.groupBy(*by, "month").pivot("year", list(years)).agg(F.first(metric))
 
 
-def large_moves(monthly: DataFrame, points: float = 3.0) -> DataFrame:
-    """Month-on-month movements to review, one row per metric."""
+def large_moves(monthly: DataFrame, points: float = 3.0, by: Sequence[str] = ()) -> DataFrame:
+    """Month-on-month movements to review, one row per metric (and segment ``by``)."""
     names = list(CHANGES)
-    long = monthly.unpivot(["year", "month"], names, "metric", "change_ppt")
+    long = monthly.unpivot([*by, "year", "month"], names, "metric", "change_ppt")
     return long.filter(F.abs("change_ppt") > points)

@@ -17,9 +17,9 @@ from laborloom.sources.scan import between_dates
 
 MIN_JOBS = 20
 
-# Segment name -> location column. Industry is the legacy label in the
-# published series; pass ``business_type_new`` for the canonical one.
-SEGMENTS = {"industry": "business_type", "state": "state_cleaned", "msa": "msa"}
+# Segment name -> location column, with the canonical industry; the legacy one by name.
+SEGMENTS = {"industry": "business_type_new", "state": "state_cleaned", "msa": "msa"}
+LEGACY_SEGMENTS = {**SEGMENTS, "industry": "business_type"}
 
 
 def _in_month(column: Column, year: int, month: int) -> Column:
@@ -48,17 +48,19 @@ def job_pay(events: DataFrame, cohort: DataFrame, start: date, end: date) -> Dat
     """Wages and hours of the cohort per location, reporting month and job.
 
     Bounds go on the raw clock-in column so the scan prunes, and the reporting
-    month is a function of the date rather than a join to a month list. The
-    cohort is applied to the totals, not to the events, and splits a location by
-    job, so neither raw rows nor totals of one large location pile up in a task.
-    Further columns of ``cohort`` (one row per location) are kept.
+    month is a function of the date rather than a join to a month list. Events
+    of other locations leave before the aggregate shuffles them: the cohort's
+    ids go to all tasks where Spark measures them as small, else the semi join
+    splits large locations. Further columns of ``cohort`` (one row per
+    location) join the totals, split by job.
     """
     scoped = between_dates(events.filter(F.col("timecard_created_at").isNotNull()), "timecard_created_at", start, end)
     pay = scoped.select("location_id", "timecard_created_at", "job_id", "total_wages_earned", "hours_worked")
+    pay = pay.join(cohort.select("location_id"), "location_id", "left_semi")
     totals = pay.groupBy(
         "location_id", month_close(F.col("timecard_created_at").cast("date")).alias("period_end"), "job_id"
     ).agg(F.sum("total_wages_earned").alias("wages"), F.sum("hours_worked").alias("hours"))
-    return spread_join(totals, cohort, "location_id", "job_id")
+    return totals if cohort.columns == ["location_id"] else spread_join(totals, cohort, "location_id", "job_id")
 
 
 def with_segments(cohort: DataFrame, locations: DataFrame, segments: dict[str, str] = SEGMENTS) -> DataFrame:
@@ -81,13 +83,13 @@ def _segments(locations: DataFrame, segments: dict[str, str]) -> DataFrame:
 def wage_cuts(
     pay: DataFrame,
     locations: DataFrame | None = None,
-    segments: dict[str, str] = SEGMENTS,
+    segments: dict[str, str] | None = None,
     min_jobs: int | None = MIN_JOBS,
 ) -> DataFrame:
     """National wages and every segment cut from one pass over job pay.
 
     ``pay`` may already carry labels from :func:`with_segments`; otherwise they
-    come from ``locations``.
+    come from ``locations``, as ``segments`` (default SEGMENTS) names them.
 
     A job's rate is its wages over its hours; a cut is the plain mean over
     jobs. The national cut pools a job's locations and needs no location row,
@@ -97,7 +99,9 @@ def wage_cuts(
     national = F.struct(F.lit("national").alias("segmented_by"), F.lit("national").alias("segment"))
     labelled = pay
     if "segments" not in pay.columns:
-        labelled = spread_join(pay, _segments(locations, segments), "location_id", "job_id", "left")
+        labelled = spread_join(pay, _segments(locations, segments or SEGMENTS), "location_id", "job_id", "left")
+    elif locations is not None or segments is not None:
+        raise ValueError("pay carries its segment labels already; locations and segments would be ignored")
     every_cut = F.concat(F.array(national), F.coalesce("segments", F.array().cast("array<struct<segmented_by:string,segment:string>>")))
     rows = labelled.select("location_id", "period_end", "job_id", "wages", "hours", F.explode(every_cut).alias("cut"))
     cut = F.col("cut.segmented_by")

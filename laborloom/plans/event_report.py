@@ -7,8 +7,10 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 
+from laborloom import schemas
 from laborloom.operators import impact
 from laborloom.periods import EventDates, EventScope, event_dates
+from laborloom.schemas import require
 
 
 @dataclass(frozen=True)
@@ -18,19 +20,32 @@ class EventReport:
     as_of: date
     literal_years: bool = False
     suppress: bool = False
+    check: bool = True
+
+    def __post_init__(self) -> None:
+        require(self.timeclock, schemas.TIMECLOCK, "timeclock")
 
     @property
     def dates(self) -> EventDates:
         return event_dates(self.scope, self.as_of)
 
     def cities(self) -> DataFrame:
-        return impact.discover_cities(self.timeclock, self.scope.city, self.as_of, self.scope.state)
+        """Spellings of the scope's city; raises when there is none."""
+        found = impact.discover_cities(self.timeclock, self.scope.city, self.as_of, self.scope.state)
+        return impact.require_city(found, self.scope.city) if self.check else found
 
     def weekly(self) -> DataFrame:
         return impact.weekly_metrics(self.timeclock, self.scope, self.dates, self.literal_years)
 
     def deltas(self) -> DataFrame:
-        return impact.yearly_deltas(self.weekly(), self.scope, self.dates, self.suppress)
+        """Year-on-year deltas; raises when the scope has no weeks that two years share.
+
+        The check is one small aggregate over the scope's events; ``check=False`` skips it.
+        """
+        weekly = self.weekly()
+        if self.check:
+            impact.require_weeks(weekly, self.scope)
+        return impact.yearly_deltas(weekly, self.scope, self.dates, self.suppress)
 
     def summary(self) -> DataFrame:
         return impact.period_summary(self.deltas())

@@ -7,12 +7,14 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from laborloom import schemas
 from laborloom.operators import roster, wages
 from laborloom.operators.benchmark import month_benchmark, weekday_benchmark
-from laborloom.operators.index import daily_actuals, daily_index, labor_index, monthly_index
+from laborloom.operators.index import daily_actuals, labor_index
 from laborloom.operators.overview import overview
+from laborloom.operators.quality import suppress_small
 from laborloom.periods import ReportAnchor, month_close, report_anchor
 from laborloom.schemas import require
 
@@ -67,15 +69,20 @@ class MonthlyReport:
         """Indexed employees, hours and open businesses.
 
         ``benchmark`` is "table" (stored, or built over ``windows``) or "month"
-        (derived from January's actuals).
+        (derived from January's actuals). ``min_locations`` drops groups with
+        fewer contributing locations.
         """
         events = self.tables.events
         if benchmark == "month":
-            actuals = daily_actuals(events, self.labor_start, self.as_of)
-            return monthly_index(daily_index(actuals, month_benchmark(actuals)))
-        levels = self.tables.benchmarks
-        if levels is None:
-            levels = weekday_benchmark(events, windows)
+            # Only January's days are read for the levels, only anchor weeks for the index.
+            january = events.filter(F.month("event_date") == 1)
+            levels = month_benchmark(daily_actuals(january, self.labor_start, self.as_of))
+        elif benchmark == "table":
+            levels = self.tables.benchmarks
+            if levels is None:
+                levels = weekday_benchmark(events, windows)
+        else:
+            raise ValueError(f"benchmark is 'table' or 'month', not {benchmark!r}")
         return labor_index(events, levels, self.labor_start, self.as_of, by, min_locations=min_locations)
 
     def wages(self, segments: dict[str, str] = wages.SEGMENTS) -> DataFrame:
@@ -97,15 +104,21 @@ class MonthlyReport:
         info = roster.location_info(self.tables.companies, self.tables.locations, self.as_of)
         return info, month_close(self.roster_start), self.anchor.report_end
 
-    def hiring(self) -> DataFrame:
-        return roster.per_location(roster.hiring(self.tables.jobs, *self._roster_scope()))
+    def hiring(self, min_locations: int | None = None) -> DataFrame:
+        series = roster.hiring(self.tables.jobs, *self._roster_scope())
+        return roster.per_location(_thinned(series, min_locations))
 
-    def turnover(self, dedupe: bool = False) -> DataFrame:
+    def turnover(self, dedupe: bool = False, min_locations: int | None = None) -> DataFrame:
         info, first, last = self._roster_scope()
         series = roster.turnover(
             self.tables.jobs, self.tables.job_versions, info, first, last, dedupe, self.turnover_horizon
         )
-        return roster.per_location(series)
+        return roster.per_location(_thinned(series, min_locations))
 
     def overview(self, windows: dict[int, tuple[date, date]] | None = None) -> DataFrame:
         return overview(self.labor(windows), self.national_wages(), self.hiring(), self.turnover())
+
+
+def _thinned(series: DataFrame, min_locations: int | None) -> DataFrame:
+    """Months of a roster series with enough locations (``ss``)."""
+    return series if min_locations is None else suppress_small(series, "ss", min_locations)

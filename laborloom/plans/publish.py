@@ -13,28 +13,47 @@ from laborloom.plans.monthly import MonthlyReport
 from laborloom.sources.sinks import replace_table, write_csv
 
 
+# Fixed value: groups of fewer locations are not published.
+MIN_LOCATIONS = 30
+
+
 def publish_benchmarks(events: DataFrame, windows: dict[int, tuple[date, date]], path: str) -> DataFrame:
     """Rebuild the years in ``windows`` of the benchmark table, leaving others."""
     replace_table(weekday_benchmark(events, windows), path, ["yr"])
     return events.sparkSession.read.parquet(path)
 
 
-def publish_weekly(timeclock: DataFrame, as_of: date, path: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rebuild the weekly table, national or by location attribute."""
-    replace_table(weekly_table(timeclock, as_of, by), path)
+def publish_weekly(
+    timeclock: DataFrame,
+    as_of: date,
+    path: str,
+    by: Sequence[str] = (),
+    min_locations: int | None = MIN_LOCATIONS,
+) -> DataFrame:
+    """Rebuild the weekly table, national or by location attribute; ``min_locations=None`` keeps thin groups."""
+    replace_table(weekly_table(timeclock, as_of, by, min_locations=min_locations), path)
     return timeclock.sparkSession.read.parquet(path)
 
 
-def export_monthly(report: MonthlyReport, folder: str, windows: dict[int, tuple[date, date]] | None = None) -> list[str]:
+def export_monthly(
+    report: MonthlyReport,
+    folder: str,
+    windows: dict[int, tuple[date, date]] | None = None,
+    min_locations: int | None = MIN_LOCATIONS,
+) -> list[str]:
     """Write each series of the monthly report as CSV in order; returns the paths.
 
+    Groups with fewer than ``min_locations`` locations are left out of the
+    labor, hiring and turnover series (None keeps them); wages have their own
+    rule on jobs.
+
     This is the outermost level, hence the only place that sorts.
     """
     series = {
-        "labor": (report.labor(windows), ["year", "month"]),
+        "labor": (report.labor(windows, min_locations=min_locations), ["year", "month"]),
         "wages": (report.wages(), ["segmented_by", "segment", "period_end"]),
-        "hiring": (report.hiring(), ["period_end"]),
-        "turnover": (report.turnover(), ["period_end"]),
+        "hiring": (report.hiring(min_locations), ["period_end"]),
+        "turnover": (report.turnover(min_locations=min_locations), ["period_end"]),
     }
     for name, (df, order) in series.items():
         write_csv(df.orderBy(*order), f"{folder}/{name}")

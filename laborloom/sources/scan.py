@@ -42,25 +42,25 @@ def jdbc_scan(
     spark: SparkSession,
     url: str,
     table: str,
-    split_column: str | None = None,
-    bounds: tuple | None = None,
-    splits: int = 1,
+    split_column: str,
+    bounds: tuple,
+    splits: int,
     options: dict | None = None,
 ) -> DataFrame:
     """Roster tables kept in a relational database.
 
-    Give ``split_column`` with its bounds to read in parallel; without it the
-    whole table would come through one task. Filters are pushed to the database.
+    ``split_column``, its bounds and the number of splits are required, since
+    without them the whole table would come through one task. Filters are
+    pushed to the database.
     """
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    if split_column is not None:
-        low, high = bounds
-        reader = (
-            reader.option("partitionColumn", split_column)
-            .option("lowerBound", str(low))
-            .option("upperBound", str(high))
-            .option("numPartitions", str(splits))
-        )
+    low, high = bounds
+    reader = (
+        reader.option("partitionColumn", split_column)
+        .option("lowerBound", str(low))
+        .option("upperBound", str(high))
+        .option("numPartitions", str(splits))
+    )
     return reader.options(**(options or {})).load()
 
 

@@ -121,7 +121,7 @@ def test_wage_cuts_equal_single_cuts(spark):
         [(1, "TX", "TX", "m1", "food"), (2, "Not USA", "TX", "m2", "retail")],
         "location_id long, state string, state_cleaned string, msa string, business_type string",
     )
-    cuts = {(r.segmented_by, r.segment): r.sample_size_jobs for r in wages.wage_cuts(both, places).collect()}
+    cuts = {(r.segmented_by, r.segment): r.sample_size_jobs for r in wages.wage_cuts(both, places, wages.LEGACY_SEGMENTS).collect()}
     assert cuts == {("national", "national"): 30, ("industry", "food"): 25, ("state", "TX"): 25, ("msa", "m1"): 25}
 
 
@@ -297,11 +297,12 @@ def test_monthly_export_and_weekly_publish(spark, tmp_path):
     from laborloom.sources import star_adapter as sample
     from tests.conftest import SF_DIR
 
-    paths = export_monthly(report(spark, SF_DIR), str(tmp_path), WINDOWS)
+    paths = export_monthly(report(spark, SF_DIR), str(tmp_path), WINDOWS, min_locations=None)
     rows = spark.read.option("header", "true").csv(paths[0])
     assert rows.count() == 34 and "employees_working_pct" in rows.columns
     weekly_path = str(tmp_path / "weekly")
-    assert publish_weekly(sample.timeclock(spark, SF_DIR), AS_OF, weekly_path).count() == 259
+    assert publish_weekly(sample.timeclock(spark, SF_DIR), AS_OF, weekly_path, min_locations=None).count() == 259
+    assert publish_weekly(sample.timeclock(spark, SF_DIR), AS_OF, weekly_path).count() == 0
 
 
 def test_city_discovery_needs_a_match(spark):
@@ -377,3 +378,38 @@ def test_hours_ignore_clock_changes_without_a_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert hours == [2.0, 1.0]
+
+
+def test_month_benchmark_options_and_unknown_names(spark):
+    from catalog.quality_queries import report
+
+    monthly = report(spark, SF_DIR)
+    assert monthly.labor(benchmark="month", by=["industry"], min_locations=10**6).isEmpty()
+    with pytest.raises(ValueError, match="nonsense"):
+        monthly.labor(benchmark="nonsense")
+
+
+def test_labelled_pay_refuses_further_segments(spark):
+    pay = spark.createDataFrame([], "location_id long, segments array<struct<segmented_by:string,segment:string>>")
+    with pytest.raises(ValueError, match="already"):
+        wages.wage_cuts(pay, segments={"state": "state"})
+
+
+def test_event_report_raises_on_a_bad_scope(spark):
+    from laborloom.periods import EventScope
+    from laborloom.plans.event_report import EventReport
+    from laborloom.sources import star_adapter as sample
+
+    nowhere = EventScope(event_start=date(2001, 6, 4), event_end=date(2001, 7, 8), city="NOWHERE AT ALL")
+    report = EventReport(sample.timeclock(spark, SF_DIR), nowhere, sample.AS_OF)
+    with pytest.raises(ValueError, match="no rows"):
+        report.deltas()
+    with pytest.raises(ValueError, match="no city"):
+        report.cities()
+
+
+def test_smallest_of_two_labels(spark):
+    lookup = spark.createDataFrame([("a", "second"), ("a", "first")], "raw string, label string")
+    rows = spark.createDataFrame([("a",), ("b",)], "x string")
+    found = base.standard_label(rows, "x", lookup, "x", "none").collect()
+    assert sorted(r["x"] for r in found) == ["first", "none"]

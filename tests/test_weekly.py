@@ -143,3 +143,38 @@ def test_hot_location_is_split_by_worker(spark):
     plan = qualify.user_weeks(frame)._jdf.queryExecution().toString()
     key = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line][0]
     assert "user_id" in key and "location_id" in key
+
+
+def _steady(spark, moves, weeks=30, workers=8):
+    """One location whose label changes at half time, or workers who change location then."""
+    rows = []
+    for week in range(weeks):
+        day, late = date(2000, 1, 3) + timedelta(weeks=week), week >= weeks // 2
+        for user in range(workers):
+            if moves == "label":
+                rows.append((1, day, user, len(rows), "B" if late else "A"))
+            else:
+                rows += [(1, day, user, 2 * len(rows), "A"), (2, day, user + 100 if not (late and user == 0) else 0, 2 * len(rows) + 1, "B")]
+    rows = [(loc, day, user, shift, Decimal(8), Decimal(10), Decimal(80), None, None, state) for loc, day, user, shift, state in rows]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_a_relabelled_location_stays_one_location(spark):
+    frame = _steady(spark, "label")
+    as_of = date(2000, 8, 20)
+    national = weekly.weekly_table(frame, as_of).agg({"active_location_count": "sum", "jobs_added": "sum"}).first()
+    by_state = weekly.weekly_table(frame, as_of, by=["state"]).agg({"active_location_count": "sum", "jobs_added": "sum"}).first()
+    assert national == by_state
+    assert national["sum(active_location_count)"] == 19
+
+
+def test_workers_are_first_seen_once(spark):
+    frame = _steady(spark, "worker", workers=12)
+    as_of = date(2000, 8, 20)
+    national = weekly.weekly_table(frame, as_of).agg({"users_added": "sum"}).first()[0]
+    by_state = weekly.weekly_table(frame, as_of, by=["state"]).agg({"users_added": "sum"}).first()[0]
+    assert national == by_state == 24
+
+
+def test_history_follows_periods_back(spark):
+    assert weekly.weekly_table(_steady(spark, "label"), date(2000, 8, 20), periods_back=520).count() >= 519
