@@ -11,6 +11,8 @@ from laborloom.sources import star_adapter as sample
 
 START = date(1999, 1, 1)
 BASE = (1999, 1)
+# The published cuts keep the legacy industry.
+PUBLISHED = {"industry": "business_type", "state": "state_cleaned", "msa": "msa"}
 CANONICAL = {"industry": "business_type_new", "state": "state_cleaned", "msa": "msa"}
 
 
@@ -138,11 +140,11 @@ SQL = {
     "wages_by_state": _cut_sql("state_cleaned"),
     "wages_by_msa": _cut_sql("msa"),
     "wages_by_msa_unsuppressed": _cut_sql("msa", ""),
-    "wages_all_cuts": _series_sql(wages.SEGMENTS, _above_base("PARTITION BY segmented_by, segment")),
+    "wages_all_cuts": _series_sql(PUBLISHED, _above_base("PARTITION BY segmented_by, segment")),
     "wages_month_on_month": _series_sql(
         CANONICAL, half_up("wage_rate / lag(wage_rate) OVER s - 1", 6) + " AS mom_pct_change"
     ),
     "wages_year_on_year": _series_sql(
-        wages.SEGMENTS, half_up(f"wage_rate / {_YEAR_AGO} - 1", 6) + " AS yoy_pct_change"
+        PUBLISHED, half_up(f"wage_rate / {_YEAR_AGO} - 1", 6) + " AS yoy_pct_change"
     ),
 }

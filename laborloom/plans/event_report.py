@@ -7,11 +7,26 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 
-from laborloom import schemas
 from laborloom.operators import impact
 from laborloom.periods import EventDates, EventScope, event_dates
 from laborloom.schemas import require
 
+# What the event metrics read of schemas.TIMECLOCK.
+EVENT_COLUMNS = [
+    "location_id",
+    "company_id",
+    "user_id",
+    "event_date",
+    "has_clock_in",
+    "hours_worked",
+    "state",
+    "city",
+    "msa",
+    "employee_count",
+    "location_age",
+    "loc_archived_at",
+]
+
 
 @dataclass(frozen=True)
 class EventReport:
@@ -23,7 +38,7 @@ class EventReport:
     check: bool = True
 
     def __post_init__(self) -> None:
-        require(self.timeclock, schemas.TIMECLOCK, "timeclock")
+        require(self.timeclock, EVENT_COLUMNS, "timeclock")
 
     @property
     def dates(self) -> EventDates:
