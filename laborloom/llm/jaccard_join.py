@@ -15,14 +15,19 @@ from a linked set and at most d = n (1 - t) / t tokens lie in one of the two
 sets alone, so among the first a + d + 2 tokens some neighbours stay
 neighbours. No link is lost, and keys stay linear in the set.
 
-Candidates under a key are first checked against one partner; once links have
-merged, only keys whose documents still lie in different components go on, and
-what is left is checked pair by pair. So a large group of near copies costs
-about its size, not its square, and the components are those of all links.
-Checks are exact, on 64-bit n-gram hashes.
+Candidate pairs under a key are all checked, except those that links have
+connected already. Where the pairs would be many more than the index entries,
+rounds come first in which each document meets a few others of its key, dealt
+by hash: in a large group of near copies that connects nearly all of them, at a
+cost that follows the group's size and not its square. Then come the pairs that
+still lie in different components, so the components are those of all links.
 
-The frequent tokens are the only thing every task holds, ``most_frequent`` at
-most. They steer the order alone; any list gives the same links.
+A pair passes two filters before sets travel: the sizes must allow a link, and
+so must counts of tokens in ``BINS`` hash ranges, whose smaller values bound the
+common tokens from above. The check itself is exact, on 64-bit n-gram hashes.
+
+The listed tokens are the only thing every task holds, ``most_listed`` at most.
+They steer the order alone; any list gives the same links.
 
 Edge cases: null texts and texts without words have an empty set, link with
 nothing and are their own component; a text of fewer words than n is one
@@ -33,6 +38,7 @@ nothing; an empty table gives no rows; other columns do not take part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -42,8 +48,10 @@ from pyspark.sql import functions as F
 from laborloom.llm.common import NO_KEY, by_ids, saved, with_key, without_key
 from laborloom.llm.components import connected_components
 
-KEEP_WORDS = 400_000
+KEEP_WORDS = 200_000
 COUNT_TOKENS = 2_000_000
+BINS = 128
+BIN_LIMIT = 1_000_000  # sets above this size are not judged by their bins, which hold short integers
 
 
 class WordHashes(dict):
@@ -79,30 +87,40 @@ def shingle_set(text: bytes | None, n: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(value)
 
 
-def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, per_cent: int) -> np.ndarray:
-    """Index keys of a set (sorted tokens); ``frequent`` is sorted, ``rank`` orders it."""
+@dataclass(frozen=True)
+class Order:
+    """Tokens of many documents, sorted, with their rank by count and whether they are of the frequent class."""
+
+    tokens: np.ndarray
+    rank: np.ndarray
+    often: np.ndarray
+
+
+def prefix_keys(tokens: np.ndarray, order: Order, per_cent: int) -> np.ndarray:
+    """Index keys of a set (sorted tokens). Tokens that are not listed come first, by hash, then listed ones by count."""
     n = len(tokens)
     missing = n + (-per_cent * n // 100)
     apart = n * (100 - per_cent) // per_cent
     if not missing + apart:
         return tokens[:0]  # so small a set links with its equal only
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        common = frequent[at] == tokens
-    else:
-        at, common = np.zeros(n, np.int64), np.zeros(n, bool)
-    rare = tokens[~common]
+    if not len(order.tokens):
+        return tokens[: missing + 1]
+    at = np.minimum(np.searchsorted(order.tokens, tokens), len(order.tokens) - 1)
+    listed = order.tokens[at] == tokens
+    by_rank = tokens[listed][np.argsort(order.rank[at[listed]], kind="stable")]
+    often = np.sort(order.often[at[listed]])  # the frequent class has the highest ranks
+    rare = np.concatenate([tokens[~listed], by_rank[~often]])
     if len(rare) > missing:
         return rare[: missing + 1]
-    often = tokens[common][np.argsort(rank[at[common]], kind="stable")]
-    often = often[: max(0, min(n, missing + apart + 2) - len(rare))]
-    return np.concatenate([rare, mixed(mixed(often[:-1]) + often[1:])])
+    common = by_rank[often][: max(0, min(n, missing + apart + 2) - len(rare))]
+    return np.concatenate([rare, mixed(mixed(common[:-1]) + common[1:])])
 
 
-def frequent_tokens(texts: DataFrame, n: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of many documents, sorted, with their rank by count.
+def token_order(texts: DataFrame, n: int, frequent_from: int, most: int) -> Order:
+    """The tokens found in most documents.
 
-    Tasks count what they hold, every document of it, and pass on tokens that they met four times or more.
+    Tasks count what they hold, every document of it, in parts of COUNT_TOKENS, and pass on tokens met twice or more in
+    a part.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,7 +128,7 @@ def frequent_tokens(texts: DataFrame, n: int, least: int, most: int) -> tuple[np
 
         def counted() -> pd.DataFrame:
             token, times = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            return pd.DataFrame({"token": token[times > 3].view(np.int64), "n": times[times > 3]})
+            return pd.DataFrame({"token": token[times > 1].view(np.int64), "n": times[times > 1]})
 
         for batch in batches:
             for text in batch["text"]:
@@ -122,30 +140,35 @@ def frequent_tokens(texts: DataFrame, n: int, least: int, most: int) -> tuple[np
         yield counted()
 
     counts = texts.select("text").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.filter(F.col("n") >= least).orderBy(F.col("n").desc(), "token").limit(most).toPandas()
+    top = counts.filter("n > 3").orderBy(F.col("n").desc(), "token").limit(most).toPandas()
     tokens, times = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(tokens)
-    rank = np.empty(len(tokens), np.int64)
-    rank[np.lexsort((tokens, times))] = np.arange(len(tokens))
-    return tokens[order], rank[order]
+    by_token = np.argsort(tokens)
+    rank = np.empty(len(tokens), np.int32)
+    rank[np.lexsort((tokens, times))] = np.arange(len(tokens), dtype=np.int32)
+    return Order(tokens[by_token], rank[by_token], (times >= frequent_from)[by_token])
 
 
-def indexed(texts: DataFrame, n: int, per_cent: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """doc, n_shingles, a 128-bit signature of the set, and its index keys."""
+def indexed(texts: DataFrame, n: int, per_cent: int, order: Order) -> DataFrame:
+    """doc, n_shingles, a 128-bit signature of the set, its index keys, and its counts by hash range."""
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            sizes, one, two, keys = [], [], [], []
+            sizes, one, two, keys, bins = [], [], [], [], []
             for text in batch["text"]:
                 s = shingle_set(text, n, hashes)
                 sizes.append(len(s))
                 one.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)))
                 two.append(int(np.bitwise_xor.reduce(mixed(s + np.uint64(1))).view(np.int64)) if len(s) else 0)
-                keys.append(prefix_keys(s, frequent, rank, per_cent).view(np.int64))
-            yield pd.DataFrame({"doc": batch["doc"], "n_shingles": sizes, "sig_a": one, "sig_b": two, "keys": keys})
-
-    return texts.mapInPandas(index, "doc long, n_shingles long, sig_a long, sig_b long, keys array<long>")
+                keys.append(prefix_keys(s, order, per_cent).view(np.int64))
+                bins.append(np.bincount((s >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS).clip(max=32_767).astype(np.int16))
+            yield pd.DataFrame(
+                {"doc": batch["doc"], "n_shingles": sizes, "sig_a": one, "sig_b": two, "keys": keys, "bins": bins}
+            )
+
+    return texts.mapInPandas(
+        index, "doc long, n_shingles long, sig_a long, sig_b long, keys array<long>, bins array<short>"
+    )
 
 
 def sets_of(texts: DataFrame, n: int) -> DataFrame:
@@ -158,33 +181,56 @@ def sets_of(texts: DataFrame, n: int) -> DataFrame:
     return texts.mapInPandas(shingle, "doc long, tokens array<long>")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    left = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("_a"))
-    right = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("_b"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    union = F.size("_a") + F.size("_b") - both
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= per_cent * union).select("a", "b")
-
-
 def _fits(small: Column, large: Column, per_cent: int) -> Column:
     """Sizes that allow a link."""
     return 100 * F.least(small, large) >= per_cent * F.greatest(small, large)
 
 
+def _both_sides(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """The pairs (a, b) with the columns of both documents, named _a and _b at the end."""
+    left = rows.select(F.col("doc").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = rows.select(F.col("doc").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    return pairs.join(left, "a").join(right, "b")
+
+
+@dataclass(frozen=True)
+class Verifier:
+    """Which candidate pairs link: counts by hash range first, then whole sets of the documents that are left."""
+
+    texts: DataFrame
+    index: DataFrame
+    n: int
+    per_cent: int
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        common = F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y).cast("int"))
+        bound = F.aggregate(common, F.lit(0), lambda total, x: total + x)
+        near = _both_sides(pairs, self.index, "bins", "n_shingles").filter(
+            (100 * bound >= self.per_cent * (F.col("n_shingles_a") + F.col("n_shingles_b") - bound))
+            | (F.greatest("n_shingles_a", "n_shingles_b") > BIN_LIMIT)
+        )
+        near = saved(near.select("a", "b"), "near_pairs")
+        docs = saved(near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "doc"), "near_docs")
+        sets = saved(sets_of(by_ids(self.texts, docs, "doc", "left_semi"), self.n), "near_sets")
+        both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+        union = F.size("tokens_a") + F.size("tokens_b") - both
+        met = _both_sides(near, sets, "tokens").filter(100 * both >= self.per_cent * union)
+        return saved(met.select("a", "b").distinct(), "links")
+
+
 def jaccard_components(
     docs: DataFrame,
     n: int = 4,
     per_cent: int = 85,
     frequent_from: int = 64,
-    most_frequent: int = 200_000,
+    most_listed: int = 1_000_000,
     text: str = "text",
     key: str = "doc_id",
 ) -> DataFrame:
     """One row per document: its number of shingles and the smallest doc_id that links reach."""
     texts = docs.select(with_key(key).alias("doc"), F.col(text).cast("binary").alias("text"))
-    frequent, rank = frequent_tokens(texts, n, frequent_from, most_frequent)
-    index = saved(indexed(texts, n, per_cent, frequent, rank), "set_index")
+    order = token_order(texts, n, frequent_from, most_listed)
+    index = saved(indexed(texts, n, per_cent, order), "set_index")
     full = index.filter((F.col("n_shingles") > 0) & (F.col("doc") != NO_KEY))
     same = ["sig_a", "sig_b", "n_shingles"]
     classes = full.groupBy(*same).agg(F.min("doc").alias("rep"))
@@ -192,15 +238,13 @@ def jaccard_components(
 
     # Keys met in two classes or more, with the documents under them.
     chosen = members.select("rep").distinct()
-    postings = full.join(chosen, full["doc"] == chosen["rep"], "left_semi").select(
-        "doc", F.col("n_shingles").alias("size"), F.explode("keys").alias("token")
-    )
-    shared = postings.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi")
-    hits = saved(postings.join(shared.select("token"), "token").distinct(), "shared_keys")
-    wanted = hits.select("doc").distinct()
-    sets = saved(sets_of(by_ids(texts, saved(wanted, "candidates"), "doc", "left_semi"), n), "candidate_sets")
+    firsts = full.join(chosen, full["doc"] == chosen["rep"], "left_semi")
+    postings = firsts.select("doc", F.explode("keys").alias("token"))
+    shared = postings.groupBy("token").count().filter("count > 1")
+    sizes = firsts.select("doc", F.col("n_shingles").alias("size"))
+    hits = saved(postings.join(shared.select("token"), "token").join(sizes, "doc"), "shared_keys")
 
-    links = _all_links(hits, sets, per_cent)
+    links = _all_links(hits, Verifier(texts, firsts.select("doc", "bins", "n_shingles"), n, per_cent))
     found = connected_components(links, "a", "b")
     merged = (
         members.join(found, members["rep"] == found["node"], "left")
@@ -215,53 +259,46 @@ def jaccard_components(
     )
 
 
-def _all_links(hits: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Links enough to connect whatever links connect: every candidate pair is checked or already connected."""
-    found, total = None, hits.count()
-    labelled = hits.withColumn("comp", F.col("doc"))
-    tried = 0
+def _pairs(entries: DataFrame, on: list[str], per_cent: int) -> DataFrame:
+    """Distinct pairs of documents that share the columns ``on``, lie in two components and may link by size."""
+    one = entries.select(*on, F.col("doc").alias("a"), F.col("size").alias("size_a"), F.col("comp").alias("comp_a"))
+    two = entries.select(*on, F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"))
+    apart = (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))
+    return one.join(two, on).filter(apart & _fits(F.col("size_a"), F.col("size_b"), per_cent)).select("a", "b").distinct()
+
+
+def _all_links(
+    hits: DataFrame, verifier: Verifier, crowd: int = 32, share: int = 2, per_entry: int = 24, turns: int = 12
+) -> DataFrame:
+    """Links that connect whatever links connect: every candidate pair is checked or connected by others.
+
+    While the open pairs exceed ``per_entry`` for each index entry, documents under crowded keys (more than ``crowd``)
+    first meet in groups of about four, under one ``share``-th of those keys in each round.
+    """
+    entries, total, found, turn = hits.withColumn("comp", F.col("doc")), hits.count(), None, 0
     while True:
-        # Documents of a key whose components differ; per component the one first in this round's order.
-        turn = F.xxhash64("doc", F.lit(tried)) if tried else F.col("doc")
-        mixed_keys = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        rest = saved(labelled.join(mixed_keys.select("token", "lo"), "token"), "open_keys")
-        heads = rest.groupBy("token", "comp", "lo").agg(F.min_by(F.struct("doc", "size"), turn).alias("head"))
-        hubs = heads.filter("comp = lo").select("token", F.col("head").alias("hub"))
-        star = (
-            heads.filter("comp <> lo")
-            .join(hubs, "token")
-            .filter(_fits(F.col("head.size"), F.col("hub.size"), per_cent))
-            .select(F.col("hub.doc").alias("a"), F.col("head.doc").alias("b"), "comp")
-            # One partner for each component and round.
-            .groupBy("comp")
-            .agg(F.mode(F.struct("a", "b"), deterministic=True).alias("pair"))
-            .select("pair.*")
-            .distinct()
-        )
-        fresh = saved(linked(star, sets, per_cent), "links")
-        added = fresh.count()
-        found = fresh if found is None else found.unionByName(fresh)
-        tried += 1
-        parts = connected_components(found, "a", "b")
-        labelled = (
-            rest.select("token", "doc", "size")
-            .join(parts, rest["doc"] == parts["node"], "left")
+        by_part = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+        counts = by_part.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+        open_keys = saved(counts.filter(F.col("k") * F.col("k") > F.col("kk")), "open_keys")
+        entries = saved(entries.join(open_keys.select("token", "k"), "token"), "open_entries")
+        pairs = open_keys.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
+        if pairs <= per_entry * total or turn >= turns:
+            break
+        turn += 1
+        chosen = (F.col("k") > crowd) & (F.pmod(F.xxhash64("token", F.lit(turn)), F.lit(share)) == 0)
+        groups = F.pmod(F.xxhash64("doc", "token", F.lit(turn)), F.ceil(F.col("k") / 4))
+        meetings = _pairs(entries.filter(chosen).withColumn("group", groups), ["token", "group"], verifier.per_cent)
+        fresh = verifier.links(meetings)
+        if fresh.isEmpty():
+            entries = entries.drop("k")
+            continue
+        # Stars so far and the new links connect what all links connect.
+        parts = connected_components(fresh if found is None else found.unionByName(fresh), "a", "b")
+        found = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        entries = (
+            entries.select("token", "doc", "size")
+            .join(parts, entries["doc"] == parts["node"], "left")
             .select("token", "doc", "size", F.coalesce("component", "doc").alias("comp"))
         )
-        open_now = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-        open_now = open_now.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        pairs = open_now.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
-        if pairs <= total or not added:
-            break
-    if not pairs:
-        return found
-    one = labelled.select("token", F.col("doc").alias("a"), F.col("size").alias("size_a"), F.col("comp").alias("comp_a"))
-    two = labelled.select("token", F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"))
-    rest = (
-        one.join(two, "token")
-        .filter((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")))
-        .filter(_fits(F.col("size_a"), F.col("size_b"), per_cent))
-        .select("a", "b")
-        .distinct()
-    )
-    return found.unionByName(saved(linked(rest, sets, per_cent), "links"))
+    last = verifier.links(_pairs(entries, ["token"], verifier.per_cent))
+    return last if found is None else found.unionByName(last)
