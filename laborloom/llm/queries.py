@@ -75,4 +75,28 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
 }
-SQL: dict[str, str] = {}
+# The learned, tokenized, hashed or approximate results have no SQL form; tests hold them against plain versions.
+SQL: dict[str, str] = {
+    "op8_jaccard_join": """
+        WITH RECURSIVE split AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS s
+            FROM split),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        common AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+            WHERE 100 * c >= 85 * (p.n + q.n - c)),
+        steps AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reached AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION SELECT r.a, s.y FROM reached r JOIN steps s ON r.b = s.x)
+        SELECT d.doc_id, coalesce(max(n), 0) AS n_shingles, min(b) AS component_id
+        FROM documents d JOIN reached ON a = d.doc_id LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id""",
+}

@@ -248,7 +248,7 @@ def test_jaccard_components(spark, monkeypatch, frequent_from, listed):
 def test_jaccard_rounds_lose_nothing(spark, monkeypatch):
     """Even when every pair counts as too many, so that documents meet in rounds first."""
     whole = jaccard_join._all_links
-    monkeypatch.setattr(jaccard_join, "_all_links", lambda hits, verifier: whole(hits, verifier, crowd=2, share=2, per_entry=0))
+    monkeypatch.setattr(jaccard_join, "_all_links", lambda hits, verifier: whole(hits, verifier, crowd=2, share=2, per_entry=0, turns=2))
     made = near_copies(9, groups=3, copies=20)
     table = spark.createDataFrame(list(made.items()), "doc_id long, text string")
     found = jaccard_join.jaccard_components(table).collect()
@@ -378,3 +378,10 @@ def test_vector_search(spark, n):
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_matches_sql(spark, duck, name):
+    from catalog.compare import compare
+
+    assert compare(spark, duck, SF_DIR, queries.QUERIES[name], queries.SQL[name]).startswith("ok")
