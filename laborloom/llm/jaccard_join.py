@@ -259,39 +259,64 @@ def jaccard_components(
     )
 
 
-def _pairs(entries: DataFrame, on: list[str], per_cent: int) -> DataFrame:
-    """Distinct pairs of documents that share the columns ``on``, lie in two components and may link by size."""
-    one = entries.select(*on, F.col("doc").alias("a"), F.col("size").alias("size_a"), F.col("comp").alias("comp_a"))
-    two = entries.select(*on, F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"))
-    apart = (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))
-    return one.join(two, on).filter(apart & _fits(F.col("size_a"), F.col("size_b"), per_cent)).select("a", "b").distinct()
+def _pairs(entries: DataFrame, on: list[str], per_cent: int, low: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct pairs of documents that share the columns ``on``, lie in two components and may link by size.
+
+    ``low``: columns with some of each document's own tokens. A pair that has one of them in common, smaller than the
+    token at hand, is left to the smallest such token, where it meets too.
+    """
+    kept = [*on, *low]
+    one = entries.select(*kept, F.col("doc").alias("a"), F.col("size").alias("size_a"), F.col("comp").alias("comp_a"))
+    two = entries.select(*kept, F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"))
+    two = two.withColumnsRenamed({c: f"{c}_b" for c in low})
+    met = (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))
+    for c in low:
+        earlier = F.col(c).isin(*[F.col(f"{d}_b") for d in low]) & (F.col(c) < one["token"])
+        met = met & ~F.coalesce(earlier, F.lit(False))
+    return one.join(two, on).filter(met & _fits(F.col("size_a"), F.col("size_b"), per_cent)).select("a", "b").distinct()
+
+
+def _with_low(entries: DataFrame, most: int = 4) -> tuple[DataFrame, tuple[str, ...]]:
+    """Entries with the smallest tokens of their document as columns."""
+    names = tuple(f"low{k}" for k in range(most))
+    each = entries.groupBy("doc").agg(F.sort_array(F.collect_set("token")).alias("own"))
+    lows = each.select("doc", *[F.get("own", F.lit(k)).alias(n) for k, n in enumerate(names)])
+    return entries.join(lows, "doc"), names
+
+
+def _final_pairs(entries: DataFrame, per_cent: int) -> DataFrame:
+    marked, names = _with_low(entries)
+    return _pairs(marked, ["token"], per_cent, names)
 
 
 def _all_links(
-    hits: DataFrame, verifier: Verifier, crowd: int = 32, share: int = 2, per_entry: int = 24, turns: int = 12
+    hits: DataFrame, verifier: Verifier, crowd: int = 32, share: int = 4, per_entry: int = 24, turns: int = 12
 ) -> DataFrame:
     """Links that connect whatever links connect: every candidate pair is checked or connected by others.
 
     While the open pairs exceed ``per_entry`` for each index entry, documents under crowded keys (more than ``crowd``)
-    first meet in groups of about four, under one ``share``-th of those keys in each round.
+    first meet in groups of about four, under one ``share``-th of those keys in each round, as long as each round at
+    least halves the open pairs.
     """
     entries, total, found, turn = hits.withColumn("comp", F.col("doc")), hits.count(), None, 0
+    before = float("inf")
     while True:
         by_part = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
         counts = by_part.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         open_keys = saved(counts.filter(F.col("k") * F.col("k") > F.col("kk")), "open_keys")
         entries = saved(entries.join(open_keys.select("token", "k"), "token"), "open_entries")
         pairs = open_keys.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
-        if pairs <= per_entry * total or turn >= turns:
+        pairs = float(pairs)
+        if pairs <= per_entry * total or turn >= turns or pairs > before / 2:
             break
-        turn += 1
+        before, turn = pairs, turn + 1
         chosen = (F.col("k") > crowd) & (F.pmod(F.xxhash64("token", F.lit(turn)), F.lit(share)) == 0)
         groups = F.pmod(F.xxhash64("doc", "token", F.lit(turn)), F.ceil(F.col("k") / 4))
         meetings = _pairs(entries.filter(chosen).withColumn("group", groups), ["token", "group"], verifier.per_cent)
         fresh = verifier.links(meetings)
         if fresh.isEmpty():
             entries = entries.drop("k")
-            continue
+            break
         # Stars so far and the new links connect what all links connect.
         parts = connected_components(fresh if found is None else found.unionByName(fresh), "a", "b")
         found = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -300,5 +325,5 @@ def _all_links(
             .join(parts, entries["doc"] == parts["node"], "left")
             .select("token", "doc", "size", F.coalesce("component", "doc").alias("comp"))
         )
-    last = verifier.links(_pairs(entries, ["token"], verifier.per_cent))
+    last = verifier.links(_final_pairs(entries, verifier.per_cent))
     return last if found is None else found.unionByName(last)
