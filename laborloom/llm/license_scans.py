@@ -1,7 +1,8 @@
 """License scans: MinHash bands over overlapping windows find templates, exact containment confirms them.
 
-A text is a list of words (lower case, signs at their ends dropped), a template
-likewise, both seen as five-word shingles. Templates of like size share blocks
+A text is a list of words (lower case, signs at their ends dropped, words of
+signs alone left out, so comment markers, bullets and rules do not break a
+passage), a template likewise, both seen as five-word shingles. Templates of like size share blocks
 of g shingles, and a window is so many blocks that wherever a template lies,
 some window holds all of it. A window that holds ``share`` of a template with n
 shingles has Jaccard similarity s of at least share n / (window + (1 - share)
@@ -12,6 +13,9 @@ the template's shingles that lie in the window, exactly.
 Templates are a parameter of bounded size and travel with the tasks; documents
 are scanned in one pass over whole texts, no shuffle.
 
+Reported positions count the text's words as separated by white space, those of
+signs alone included.
+
 Edge cases: null texts and texts of fewer than five words match nothing; a
 template of fewer than five words is refused; of overlapping windows with one
 template the best is reported, the first of equals; equal rows give equal
@@ -46,11 +50,16 @@ TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
 }
 SHINGLE = 5
-EDGES = "\"'`.,;:!?()[]{}<>*#|"
+EDGES = "\"'`.,;:!?()[]{}<>*#|/\\-%=~_+@$&^“”‘’«»–—…•·"
 
 
 def normal_words(text: str | None) -> list[str]:
-    return [w.strip(EDGES) or w for w in (text or "").lower().split()]
+    return [s for w in (text or "").lower().split() if (s := w.strip(EDGES))]
+
+
+def places_of(text: str | None) -> list[int]:
+    """Place of each normal word among the words of the text."""
+    return [i for i, w in enumerate((text or "").lower().split()) if w.strip(EDGES)]
 
 
 @dataclass(frozen=True)
@@ -186,7 +195,12 @@ def scan_licenses(
                     if match[0] >= share:
                         found.setdefault((k, group.names[t]), []).append(match)
             keys = batch["key"].tolist()
-            rows = [(keys[k], name, *m) for (k, name), ms in sorted(found.items()) for m in best_matches(ms)]
+            places = {k: places_of(batch["text"].iloc[k]) for k, _ in found}
+            rows = [
+                (keys[k], name, held, places[k][first], places[k][end - 1] + 1)
+                for (k, name), ms in sorted(found.items())
+                for held, first, end in best_matches(ms)
+            ]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     rows = docs.select(with_key(key).alias("key"), docs[text].alias("text")).mapInPandas(scan, SCHEMA)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import textwrap
 import zlib
 
 import numpy as np
@@ -223,6 +224,23 @@ def test_licenses(spark, docs, no_docs, corpus):
     assert license_scans.scan_licenses(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("marker", ["#", "*", "//"])
+def test_licenses_in_wrapped_comments(spark, marker):
+    """A header wrapped behind comment markers is found whole, at its places among the words of the text."""
+    names = ["apache-2.0-notice", "mit-grant", "gpl-notice"]
+    made = {}
+    for k, name in enumerate(names):
+        lines = [f"{marker} {line}" for line in textwrap.wrap(license_scans.TEMPLATES[name], 70)]
+        made[k] = "\n".join(["import os here", marker, *lines, marker, "def main(): pass"])
+    table = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    found = {(r["doc_id"], r["license"]): r for r in license_scans.scan_licenses(table).collect()}
+    for k, name in enumerate(names):
+        words = made[k].split()
+        got = found[k, name]
+        assert got["containment"] == 1.0
+        assert (got["start_word"], got["end_word"]) == (5, len(words) - 4)
+
+
 def near_copies(seed, groups=6, copies=12, length=60):
     rng = np.random.default_rng(seed)
     out = {}
