@@ -11,7 +11,15 @@ collide with probability ``sure``. Candidates are then checked: the share of
 the template's shingles that lie in the window, exactly.
 
 Templates are a parameter of bounded size and travel with the tasks; documents
-are scanned in one pass over whole texts, no shuffle.
+are scanned in one pass over whole texts, no shuffle. A text goes through the
+bands of a group of templates only if it has as many of the group's shingles as
+``share`` of its shortest template; no match is lost by that.
+
+The default set does not depend on any corpus: notices and the full texts in
+license_texts. Each template is reported for itself: where licenses share
+wording (a BSD text of three clauses holds most of the one of two, an AGPL text
+most of the GPL's), each that reaches ``share`` is, and containment tells them
+apart. Names alone, such as SPDX identifiers, are below five words.
 
 Reported positions count the text's words as separated by white space, those of
 signs alone included.
@@ -27,6 +35,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil, floor, log, log2
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -35,20 +44,56 @@ from pyspark.sql import DataFrame
 from laborloom.llm.common import with_key, without_key
 
 # Notices of common licenses, as their texts ask for them or as they are usually cited.
-TEMPLATES = {
+NOTICES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": "Unless required by applicable law or agreed to in writing, software distributed under the License is "
     'distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "mit": "Released under the MIT License.",
+    "mit-licensed": "Licensed under the MIT License.",
+    "mit-terms": "under the terms of the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
     "documentation files, to deal in the Software without restriction",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
     "Public License as published by the Free Software Foundation",
+    "gpl-2.0-only-notice": "it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "lgpl-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+    "General Public License as published by the Free Software Foundation",
+    "agpl-notice": "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "agpl-3.0-section-13": "Notwithstanding any other provision of this License, if you modify the Program, your modified version "
+    "must prominently offer all users interacting with it remotely through a computer network",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+    "was not distributed with this file, You can obtain one at",
+    "epl-2.0-notice": "made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "epl-2.0-notice-v": "made available under the terms of the Eclipse Public License v2.0",
+    "epl-1.0-notice": "made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
     "following conditions are met",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "bsd-style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
+    "bsl-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "cc0-1.0-notice": "has waived all copyright and related or neighboring rights to",
+    **{f"cc-{kind}-4.0": f"Licensed under CC {kind.upper()} 4.0." for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")},
+    **{
+        f"cc-{kind}-4.0-notice": f"licensed under a Creative Commons {name} 4.0 International License"
+        for kind, name in (
+            ("by", "Attribution"),
+            ("by-sa", "Attribution-ShareAlike"),
+            ("by-nc", "Attribution-NonCommercial"),
+            ("by-nd", "Attribution-NoDerivatives"),
+            ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"),
+            ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"),
+        )
+    },
 }
+
+
+def full_texts() -> dict[str, str]:
+    """The license texts beside this module, named after their files; read on the driver only."""
+    folder = Path(__file__).resolve().parent / "license_texts"
+    return {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted(folder.glob("*.txt"))}
+
+
+TEMPLATES = NOTICES | full_texts()
 SHINGLE = 5
 EDGES = "\"'`.,;:!?()[]{}<>*#|/\\-%=~_+@$&^“”‘’«»–—…•·"
 
@@ -72,6 +117,8 @@ class Bands:
     shingles: tuple[frozenset, ...]
     seeds: np.ndarray
     values: np.ndarray
+    hashes: np.ndarray
+    least: int
 
 
 def hashes_of(words: list[str], known: dict[str, int]) -> np.ndarray:
@@ -114,7 +161,11 @@ def banded(templates: dict[str, str], share: float, sure: float) -> list[Bands]:
         bands = 1 if alike >= 1 else ceil(log(1 - sure) / log(1 - alike))
         seeds = np.random.default_rng(block).integers(1, 1 << 62, bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         values = [(hashes_of(normal_words(templates[n]), {})[:, None] * seeds >> np.uint64(32)).min(axis=0) for n in names]
-        out.append(Bands(block, blocks, tuple(names), tuple(sets[n] for n in names), seeds, np.array(values, np.uint32)))
+        own = np.unique(np.concatenate([hashes_of(normal_words(templates[n]), {}) for n in names]))
+        # A text that holds ``share`` of any template here has at least so many of these shingles.
+        least = max(ceil(share * shortest - 1e-9), 1)
+        sets_of = tuple(sets[n] for n in names)
+        out.append(Bands(block, blocks, tuple(names), sets_of, seeds, np.array(values, np.uint32), own, least))
     return out
 
 
@@ -124,6 +175,25 @@ def windows_of(n: int, group: Bands) -> list[tuple[int, int]]:
     return [(s, min(s + group.blocks * group.block, n)) for s in starts]
 
 
+MARKS = 1 << 22
+
+
+def marks_of(groups: list[Bands]) -> np.ndarray:
+    """Which low bits of a hash some template's shingle has: most other shingles are told apart by this alone."""
+    marks = np.zeros(MARKS, bool)
+    for group in groups:
+        marks[group.hashes & np.uint64(MARKS - 1)] = True
+    return marks
+
+
+def worth_scanning(hashes: np.ndarray, sizes: np.ndarray, groups: list[Bands], marks: np.ndarray) -> list[np.ndarray]:
+    """Per group, the texts with enough of its templates' shingles; others cannot hold ``share`` of any."""
+    hits = np.flatnonzero(marks[hashes & np.uint64(MARKS - 1)])
+    owner = np.searchsorted(np.cumsum(sizes), hits, side="right")
+    met = [np.bincount(owner[np.isin(hashes[hits], g.hashes)], minlength=len(sizes)) for g in groups]
+    return [np.flatnonzero(m >= g.least) for m, g in zip(met, groups, strict=True)]
+
+
 def candidates(hashes: np.ndarray, sizes: np.ndarray, group: Bands) -> list[tuple[int, int, int]]:
     """(text, window, template) of every band collision; ``hashes`` holds the texts' shingles end to end."""
     used = np.flatnonzero(sizes)
@@ -181,14 +251,18 @@ def scan_licenses(
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
+        marks = marks_of(groups)
         for batch in batches:
             words = [normal_words(t) for t in batch["text"]]
             each = [hashes_of(w, known) for w in words]
             sizes = np.array([len(h) for h in each], np.int64)
             hashes = np.concatenate(each) if each else np.zeros(0, np.uint64)
             found: dict[tuple[int, str], list] = {}
-            for group in groups:
-                for k, number, t in candidates(hashes, sizes, group):
+            for group, kept in zip(groups, worth_scanning(hashes, sizes, groups, marks), strict=True):
+                if not len(kept):
+                    continue
+                for at, number, t in candidates(np.concatenate([each[k] for k in kept]), sizes[kept], group):
+                    k = int(kept[at])
                     first = number * group.block
                     window = (first, min(first + group.block * group.blocks, int(sizes[k])))
                     match = confirm(words[k], window, group.shingles[t])

@@ -241,6 +241,20 @@ def test_licenses_in_wrapped_comments(spark, marker):
         assert (got["start_word"], got["end_word"]) == (5, len(words) - 4)
 
 
+def test_license_families(spark):
+    """Full texts and notices of the common families, inside other text and wrapped as in source files."""
+    around = "\n".join(f"line {i} of other text" for i in range(300))
+    families = "apache-2.0 bsd-2-clause bsd-3-clause cc-by-4.0 cc-by-sa-4.0 cc0-1.0 gpl-2.0 gpl-3.0 isc lgpl-2.1 lgpl-3.0 mit mpl-2.0 unlicense"
+    wanted = [f"{f}-text" for f in families.split()]
+    wanted += ["lgpl-notice", "agpl-notice", "mpl-2.0-notice", "epl-2.0-notice", "cc-by-4.0-notice", "cc-by-sa-4.0-notice"]
+    texts = license_scans.TEMPLATES
+    made = {k: f"{around}\n" + "\n".join(f" * {x}" for x in texts[n].splitlines()) + f"\n{around}" for k, n in enumerate(wanted)}
+    table = spark.createDataFrame([*made.items(), (len(wanted), around)], "doc_id long, text string")
+    found = {(r["doc_id"], r["license"]): r["containment"] for r in license_scans.scan_licenses(table).collect()}
+    assert [found.get((k, name)) for k, name in enumerate(wanted)] == [1.0] * len(wanted)
+    assert not any(k == len(wanted) for k, _ in found)
+
+
 def near_copies(seed, groups=6, copies=12, length=60):
     rng = np.random.default_rng(seed)
     out = {}
