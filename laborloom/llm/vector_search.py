@@ -9,15 +9,17 @@ one. The ratio is measured, not set: on the fitted sample it is the smallest
 that reaches the target recall. Taken lists are read in full and distances are
 exact.
 
-Centroids are fitted on about ``fit_rows`` vectors chosen by hash, every vector
-is indexed. A list is dealt in parts of about ``part_rows`` vectors and its
-queries in parts too, so many equal vectors, which share a list, spread over
-tasks. What every task holds is at most ``most_lists`` centroids.
+Rows equal in id and vector are collapsed first. Centroids are fitted on about
+``fit_rows`` of these rows, chosen by a hash of both, and every one is indexed.
+A list is dealt in parts of about ``part_rows`` rows by that hash and its
+queries in parts too, so many equal vectors, or many vectors of one id, which
+share a list, spread over tasks. Each part gives its k nearest distinct ids. What every task holds is at most ``most_lists`` centroids.
 
 Edge cases: vectors that are null, zero, not of the most common length, or
 that hold null or non-finite components take no part; equal distances go to the
-smaller vec_id; rows that share a vec_id are no candidates of each other, and
-the smallest vector of a repeated query id is searched; tables with few vectors
+smaller vec_id; rows that share a vec_id are no candidates of each other, count
+once with their nearest vector, and the smallest vector of a repeated query id
+is searched; a query gets k neighbours or, if there are fewer, all candidates; tables with few vectors
 have one list and exact results; other columns do not take part.
 """
 
@@ -91,8 +93,9 @@ def lists_of(x: np.ndarray, centroids: np.ndarray, replicas: int, closure: float
     return row, near[row, place]
 
 
-def walk(query: np.ndarray, lists: Lists, ratio: float) -> list[tuple[float, int]]:
-    """(distance, list) in ascending order: best-first over the graph until nothing within the ratio is left to open."""
+def walk(query: np.ndarray, lists: Lists, ratio: float, ids: np.ndarray, enough: int) -> list[tuple[float, int]]:
+    """(distance, list) in ascending order: best-first over the graph until nothing within the ratio is left to open
+    and the opened lists hold ``enough`` by ``ids``, an amount per list."""
     centroids, graph = lists.centroids, lists.graph
 
     def distances(of: np.ndarray) -> np.ndarray:
@@ -103,13 +106,16 @@ def walk(query: np.ndarray, lists: Lists, ratio: float) -> list[tuple[float, int
     seen[entries] = True
     heap = [(float(d), int(c)) for d, c in zip(distances(entries), entries, strict=True)]
     heapq.heapify(heap)
-    found, best = [], min(heap)[0]
+    found, best, held = [], min(heap)[0], 0
     # A little further than the ratio is opened, since the way to a near centroid may lead over a farther one.
-    while heap and (heap[0][0] <= best * ratio * 1.1 + 1e-12 or len(found) < 4):
+    while heap and (heap[0][0] <= best * ratio * 1.1 + 1e-12 or len(found) < 4 or held < enough):
         d, c = heapq.heappop(heap)
         best = min(best, d)
         found.append((d, c))
+        held += ids[c]
         fresh = graph[c][~seen[graph[c]]]
+        if not heap and not len(fresh) and held < enough:
+            fresh = np.flatnonzero(~seen)  # parts of the graph that no way leads to
         if len(fresh):
             seen[fresh] = True
             for near, other in zip(distances(fresh), fresh, strict=True):
@@ -120,6 +126,8 @@ def walk(query: np.ndarray, lists: Lists, ratio: float) -> list[tuple[float, int
 def fit_lists(
     x: np.ndarray, k: int, neighbours: int, recall: float, replicas: int, closure: float, degree: int, seed: int
 ) -> Lists:
+    # Copies would be tried again and again and answer each other; without them row order does not count either.
+    x = np.unique(x, axis=0)
     centroids = balanced_centroids(x, k, seed)
     tried = x[np.random.default_rng(seed + 1).choice(len(x), min(300, len(x)), replace=False)]
     d = squared(tried, x)
@@ -156,30 +164,38 @@ def nearest_vectors(
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), F.col("d").desc()).first()
     if lengths is None:
         return vectors.sparkSession.createDataFrame([], RESULT)
-    rows, n = rows.filter(F.size("v") == lengths["d"]), lengths["count"]
-    sample = np.array(sample_of(rows.select("vec_id", "v"), "vec_id", fit_rows).select("v").toPandas()["v"].tolist(), float)
+    rows = rows.filter(F.size("v") == lengths["d"]).groupBy("vec_id", "v").agg(F.max("is_query").alias("is_query"))
+    rows = saved(rows.withColumn("mark", F.xxhash64("vec_id", "v")), "vectors")
+    n = rows.count()
+    sample = np.array(sample_of(rows.select("mark", "v"), "mark", fit_rows).select("v").toPandas()["v"].tolist(), float)
     lists = fit_lists(sample, min(most_lists, -(-n // list_rows)), k, recall, replicas, closure, degree, seed)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 row, own = lists_of(np.array(batch["v"].tolist(), float), lists.centroids, lists.replicas, lists.closure)
-                yield pd.DataFrame({"list": own, "vec_id": batch["vec_id"].to_numpy()[row], "v": batch["v"].to_numpy()[row]})
+                yield pd.DataFrame({"list": own, **{c: batch[c].to_numpy()[row] for c in ("vec_id", "mark", "v")}})
 
     kind = vectors.schema[vector].dataType.simpleString()
-    postings = saved(rows.select("vec_id", "v").mapInPandas(post, f"list int, vec_id long, v {kind}"), "postings")
+    postings = saved(rows.select("vec_id", "mark", "v").mapInPandas(post, f"list int, vec_id long, mark long, v {kind}"), "postings")
     sizes = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}
+    # An id in m lists counts 1/m in each, so lists whose counts sum to k + 1 hold that many ids at least.
+    spread = postings.groupBy("vec_id").agg(F.collect_set("list").alias("lists"))
+    spread = spread.select(F.explode("lists").alias("list"), F.floor(F.lit(ONE) / F.size("lists")).alias("part"))
+    ids = np.zeros(len(lists.centroids), np.int64)
+    for r in spread.groupBy("list").agg(F.sum("part").alias("ids")).collect():
+        ids[r["list"]] = r["ids"]
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for vec_id, v in zip(batch["vec_id"], batch["v"], strict=True):
-                found, held = walk(np.array(v, float), lists, lists.ratio), 0
+                found, held = walk(np.array(v, float), lists, lists.ratio, ids, (k + 1) * ONE), 0
                 for d, c in found:
-                    # Whatever the ratio, enough lists for the answer to be full, replicas counted.
-                    if d <= found[0][0] * lists.ratio + 1e-12 or held < lists.replicas * (k + 1):
+                    # Whatever the ratio, enough lists for the answer to be full, the query's own id counted.
+                    if d <= found[0][0] * lists.ratio + 1e-12 or held < (k + 1) * ONE:
                         out.append((c, vec_id, v))
-                        held += sizes.get(c, 0)
+                        held += ids[c]
             yield pd.DataFrame(out, columns=["list", "query_id", "q"])
 
     queries = rows.filter("is_query").groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -190,7 +206,7 @@ def nearest_vectors(
     plan = vectors.sparkSession.createDataFrame(deals, "list int, parts int, query_parts int")
     dealt = (
         postings.join(plan, "list")
-        .withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+        .withColumn("part", F.pmod(F.col("mark"), F.col("parts")))
         .withColumn("query_part", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
         .select("list", "part", "query_part", "vec_id", "v")
     )
@@ -204,11 +220,14 @@ def nearest_vectors(
     def compare(held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(held) and len(wanted):
-            ids, x = held["vec_id"].to_numpy(), np.array(held["v"].tolist(), float)
+            held = held.sort_values("vec_id")
+            ids, first = np.unique(held["vec_id"].to_numpy(), return_index=True)
+            x = np.array(held["v"].tolist(), float)
             for query_id, q in zip(wanted["query_id"], wanted["q"], strict=True):
-                d = np.sqrt(((x - np.array(q, float)) ** 2).sum(axis=1))
+                # Of each id the nearest row.
+                d = np.minimum.reduceat(np.sqrt(((x - np.array(q, float)) ** 2).sum(axis=1)), first)
                 d[ids == query_id] = np.inf
-                # Rows as near as the k-th at least, then ties by id.
+                # Ids as near as the k-th at least, then ties by id.
                 limit = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
                 near = np.flatnonzero((d <= limit) & np.isfinite(d))
                 near = near[np.lexsort((ids[near], d[near]))][:k]
@@ -217,11 +236,12 @@ def nearest_vectors(
 
     on = ["list", "part", "query_part"]
     met = dealt.groupBy(*on).cogroup(asking.groupBy(*on)).applyInPandas(compare, "query_id long, vec_id long, score double")
-    # A vector in several lists is found several times.
+    # An id in several lists or parts is found several times.
     once = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+ONE = 1 << 20
 RESULT = "query_id long, rank int, vec_id long, score double"

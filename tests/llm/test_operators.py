@@ -407,6 +407,35 @@ def test_vector_search(spark, n):
     assert vector_search.nearest_vectors(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize(("list_rows", "part_rows"), [(10_000, 10_000), (10_000, 40), (40, 50)])
+def test_vector_search_with_repeated_ids(spark, list_rows, part_rows):
+    """Copies and other vectors of an id fill no more than one of the k places, and never leave a query short."""
+    rng = np.random.default_rng(4)
+    points = rng.standard_normal((400, 8)).astype(np.float32)
+    vectors = [(i, p.tolist()) for i, p in enumerate(points)]
+    vectors += [(7, vectors[0][1])] * 30  # copies of one row
+    vectors += [(8, (points[i] + rng.standard_normal(8) * 0.01).astype(np.float32).tolist()) for i in range(400)]
+    vectors += [(9, (points[100] + rng.standard_normal(8) * 0.001).astype(np.float32).tolist()) for _ in range(300)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(5)
+    found = vector_search.nearest_vectors(table, F.col("vec_id") % 100 == 0, list_rows=list_rows, part_rows=part_rows).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    hits = []
+    for q in (0, 100, 200, 300):
+        least = {}
+        for i, v in vectors:
+            if i != q:
+                least[i] = min(least.get(i, np.inf), float(np.sqrt(((np.array(v, float) - points[q]) ** 2).sum())))
+        near = sorted(least, key=lambda i: (least[i], i))[:10]
+        ids = [i for i, _ in got[q]]
+        assert len(ids) == len({*ids}) == 10
+        hits.append(len({*ids} & {*near}) / 10)
+        if list_rows > 1_000:
+            assert ids == near and np.allclose([d for _, d in got[q]], [least[i] for i in near])
+    assert np.mean(hits) >= 0.9
+
+
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert set(queries.SQL) <= set(queries.QUERIES)
