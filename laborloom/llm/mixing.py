@@ -9,7 +9,7 @@ quota takes blocks along that order, starting over when the shard is used up.
 No step lists the blocks: a divisor just too large gives every source all seats
 but the last few, and only quotients between it and a divisor just too small
 are ranked. Window functions see one shard, one source's shards, or one row per
-source, never the documents of a source.
+source, never the documents of a source; documents without words are in none.
 
 Edge cases: null and empty texts have size 0 and are taken 0 times; the null
 source is a source and comes last; sources without words get target 0; ties of
@@ -127,17 +127,21 @@ def mix(
     shards = seats(shards.withColumn("_claim", F.col("_words").cast("double")), ["place"], "_claim", "_quota", ["_shard"])
     take = F.least(F.col("seats") * block_words, F.floor(F.col("_words") * most)).cast("long")
     shards = saved(shards.select("place", "_shard", "_words", take.alias("_take")), "shard_plan")
-    # Rows of a shard in seeded order, laid end to end; the quota goes around that circle.
+    # Rows of a shard in seeded order, laid end to end; the quota goes around that circle. Rows without words have no
+    # place on it, and as shards are counted by words, they could be any number in one: they stay out of the window.
     order = Window.partitionBy("place", "_shard").orderBy("__tag", key).rowsBetween(Window.unboundedPreceding, 0)
     passes = F.floor(F.col("_take") / F.greatest("_words", F.lit(1)))
     last = F.col("_take") - passes * F.col("_words")
     part = F.greatest(F.lit(0), F.least(F.col("size"), last - F.col("_before")))
     decided = (
-        dealt.join(shards, ["place", "_shard"])
+        dealt.filter(F.col("size") > 0)
+        .join(shards, ["place", "_shard"])
         .withColumn("_before", F.sum("size").over(order) - F.col("size"))
         .withColumn("taken", (passes * F.col("size") + part).cast("long"))
     )
-    return decided.select(
+    columns = [key, "source", "size", "source_size", "target", "taken", "__tag"]
+    empty = dealt.filter(F.col("size") == 0).withColumn("taken", F.lit(0).cast("long"))
+    return decided.select(*columns).unionByName(empty.select(*columns)).select(
         key,
         "source",
         "size",

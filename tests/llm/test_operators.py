@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import textwrap
 import zlib
 
@@ -152,6 +153,23 @@ def test_mix_meets_targets(spark, docs, no_docs, corpus):
     assert again[0] == again[1]
 
 
+def test_mix_keeps_rows_without_words_out_of_windows(spark):
+    made = [(i, None if i % 2 else " \t", "s0") for i in range(400)] + [(400 + i, "some words here " * (i + 1), f"s{i % 3}") for i in range(40)]
+    table = spark.createDataFrame([*made, (None, "", None)], "doc_id long, text string, source string")
+    mixed = mixing.mix(table)
+    check_mix(table, mixed)
+    assert mixed.count() == 441 and mixed.filter("size = 0").filter("taken = 0 and part_words = 0").count() == 401
+    lines = mixed._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    window = next(i for i, line in enumerate(lines) if "Window [sum(size#" in line)
+    depth = len(lines[window]) - len(lines[window].lstrip(" :+-"))
+    below = []
+    for line in lines[window + 1 :]:
+        if len(line) - len(line.lstrip(" :+-")) <= depth:
+            break
+        below.append(line)
+    assert any("Filter" in line and re.search(r"size#\d+L? > 0", line) for line in below)
+
+
 def test_mixed_documents_carry_the_words_taken(spark, docs):
     taken = mixing.mix(docs).agg(F.sum("taken")).first()[0]
     out = mixing.mixed_documents(docs)
