@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborloom.llm import jaccard_join, language_id, license_scans, mixing, packing, quality_ranking, quality_rules, secret_scans, toxicity, vector_search
+from laborloom.llm import (
+    chat_trees,
+    jaccard_join,
+    language_id,
+    license_scans,
+    mixing,
+    packing,
+    quality_ranking,
+    quality_rules,
+    secret_scans,
+    toxicity,
+    vector_search,
+)
 from laborloom.llm.common import table
 
 
@@ -63,6 +75,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = rows.unionByName(chat_trees.planted(spark))
+    return chat_trees.conversation_digests(chat_trees.format_conversations(both))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scans": op2_secret_scans,
@@ -74,6 +92,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op13_chat_formatting": op13_chat_formatting,
 }
 # The learned, tokenized, hashed or approximate results have no SQL form; tests hold them against plain versions.
 SQL: dict[str, str] = {
