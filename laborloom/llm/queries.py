@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from laborloom.llm import (
     chat_trees,
+    hard_negatives,
     jaccard_join,
     language_id,
     license_scans,
@@ -75,6 +76,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, shifted)
+
+
 def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     both = rows.unionByName(chat_trees.planted(spark))
@@ -92,6 +98,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_chat_formatting": op13_chat_formatting,
 }
 # The learned, tokenized, hashed or approximate results have no SQL form; tests hold them against plain versions.
@@ -118,4 +125,27 @@ SQL: dict[str, str] = {
             UNION SELECT r.a, s.y FROM reached r JOIN steps s ON r.b = s.x)
         SELECT d.doc_id, coalesce(max(n), 0) AS n_shingles, min(b) AS component_id
         FROM documents d JOIN reached ON a = d.doc_id LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id""",
+    "op11_hard_negatives": """
+        WITH scaled AS (
+            SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+                list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        firsts AS (SELECT vec_id, min({'label': label, 'v': v}) AS r FROM scaled GROUP BY vec_id),
+        rows_ AS (SELECT vec_id, r.label AS label, CAST(r.v AS DOUBLE[]) AS v FROM firsts),
+        scores AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike,
+                CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+            FROM rows_ a JOIN rows_ b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE alike
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        ranked AS (
+            SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+                row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+            FROM positives p JOIN scores s USING (anchor_id)
+            WHERE NOT alike AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM ranked WHERE rank <= 3""",
 }
