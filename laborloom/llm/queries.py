@@ -13,6 +13,7 @@ from laborloom.llm import (
     license_scans,
     mixing,
     packing,
+    pair_search,
     quality_ranking,
     quality_rules,
     secret_scans,
@@ -81,6 +82,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, shifted)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     both = rows.unionByName(chat_trees.planted(spark))
@@ -99,6 +104,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_ranked_search": op12_ranked_search,
     "op13_chat_formatting": op13_chat_formatting,
 }
 # The learned, tokenized, hashed or approximate results have no SQL form; tests hold them against plain versions.
@@ -148,4 +154,31 @@ SQL: dict[str, str] = {
             WHERE NOT alike AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
         SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
         FROM ranked WHERE rank <= 3""",
+    "op12_ranked_search": """
+        WITH split AS (
+            SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+            FROM documents),
+        totals AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM split WHERE len(w) > 0),
+        tf AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(w) AS t FROM split) GROUP BY d, t),
+        asked AS (SELECT item_id, min(text) AS text FROM benchmark GROUP BY item_id),
+        wanted AS (
+            SELECT item_id, t, count(*) AS times FROM (
+                SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM asked)
+            GROUP BY item_id, t),
+        weights AS (
+            SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM tf, totals GROUP BY t, docs),
+        scores AS (
+            SELECT item_id, d, CAST(sum(times * weights.w * ((1000000000 * tf) //
+                (1000 * tf + 12 * (100 - 25 + (25 * len(s.w) * docs) // terms)))) AS BIGINT) AS score
+            FROM wanted JOIN tf USING (t) JOIN weights USING (t) JOIN split s USING (d), totals GROUP BY item_id, d),
+        ranked AS (
+            SELECT item_id, doc_id, score,
+                row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank
+            FROM scores JOIN split USING (d) WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20""",
 }
