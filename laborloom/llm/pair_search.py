@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from laborloom.llm.common import saved, with_key, without_key
 
-PART = 4_000_000  # bytes tokenized at once
+PART = 2_000_000  # bytes tokenized at once
 FORWARD = "mark long, doc long, n long, terms array<int>, times array<int>"
 INDEX = "shard int, a int, b int, docs array<int>, impacts array<int>, most long, ids array<long>"
 HITS = "item int, doc long, score long"
@@ -347,7 +347,7 @@ def ranked_search(
     item_key: str = "item_id",
     item_text: str = "text",
     block_items: int = 2_000,
-    shard_postings: int = 2_000_000,
+    shard_postings: int = 1_000_000,
     pairs: int = 3,
 ) -> DataFrame:
     """item_id, rank, doc_id and score of the k best documents of each item."""
