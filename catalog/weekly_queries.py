@@ -44,6 +44,7 @@ QUERIES = {
     "weekly_table_by_msa": lambda s, d: _table(s, d, by=["msa"]),
     "weekly_table_by_city": lambda s, d: _table(s, d, by=["city"]),
     "weekly_table_by_city_suppressed": lambda s, d: _table(s, d, by=["city"], min_locations=2),
+    "weekly_table_all_cuts": lambda s, d: _table(s, d, cuts=weekly.CUTS),
     "weekly_table_four_week_lookback": lambda s, d: _table(s, d, lookback_weeks=4),
     "weekly_table_literal_survival": lambda s, d: _table(s, d, literal_survival=True),
     "weekly_table_one_msa": lambda s, d: weekly.weekly_table(
@@ -202,6 +203,16 @@ def _table_sql(body: str = "SELECT * FROM report", **options) -> str:
     return using("timeclock", body, **_table_ctes(**options))
 
 
+def _all_cuts_sql(cuts: dict[str, str | None]) -> str:
+    """The tables of all cuts, each from its own definitions, one below the other."""
+    parts = []
+    for name, column in cuts.items():
+        ctes = ", ".join(f"{cte} AS ({text})" for cte, text in _table_ctes(by=column or "").items())
+        shown = f"{column} AS segment, * EXCLUDE ({column})" if column else f"'{name}' AS segment, *"
+        parts.append(f"SELECT '{name}' AS segmented_by, {shown} FROM (WITH {ctes} SELECT * FROM report)")
+    return using("timeclock", " UNION ALL BY NAME ".join(parts))
+
+
 def _change_sql(by: str = "") -> str:
     key = f"{by}, " if by else ""
     over = f"OVER ({f'PARTITION BY {by} ' if by else ''}ORDER BY period_start)"
@@ -234,6 +245,7 @@ SQL = {
     "weekly_table_by_msa": _table_sql(by="msa"),
     "weekly_table_by_city": _table_sql(by="city"),
     "weekly_table_by_city_suppressed": _table_sql("SELECT * FROM report WHERE active_location_count >= 2", by="city"),
+    "weekly_table_all_cuts": _all_cuts_sql(weekly.CUTS),
     "weekly_table_four_week_lookback": _table_sql(lookback=4),
     "weekly_table_literal_survival": _table_sql(literal=True),
     "weekly_table_one_msa": using(

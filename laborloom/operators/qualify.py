@@ -59,17 +59,17 @@ def user_weeks(
     This is the only aggregate over raw events the weekly metrics need. Its key
     contains the worker, so a very large location spreads over many tasks and
     map-side partial aggregation collapses repeated shifts before the shuffle.
-    ``by`` names location attributes such as state, city or msa. They are not part of the key: a location whose label
-    changes stays one location, and ``labels`` carries those of its latest day.
+    ``by`` names location attributes such as state, city or msa. They widen the key, which keeps the aggregate's buffers
+    of fixed width (a hash aggregate, no sort of events); a worker has several rows in the week in which a label changes.
     """
     hours, rate, pay = F.col("hours_worked"), F.col("hourly_wage_rate"), F.col("total_wages_earned")
     payable = pay.isNotNull() & hours.isNotNull() & rate.between(*wage_band)
     week = week_start("event_date", first)
     closing = week_start(F.col("loc_archived_at").cast("date"), first) == week
-    labels = [F.max(F.struct("event_date", *by)).alias("labels")] if by else []
+    last_day = [F.max(F.unix_date("event_date")).alias("last_day")] if by else []
     return (
         timeclock.filter(F.col("location_id").isNotNull() & F.col("event_date").isNotNull())
-        .groupBy("location_id", week.alias("week_start"), "user_id")
+        .groupBy("location_id", week.alias("week_start"), "user_id", *by)
         .agg(
             F.count("shift_id").alias("shift_rows"),
             F.sum(F.when(F.col("shift_id").isNotNull(), hours)).alias("shift_hours"),
@@ -79,19 +79,38 @@ def user_weeks(
             F.sum(F.when(payable, hours)).alias("pay_hours"),
             F.count(F.when(payable, 1)).alias("pay_rows"),
             F.max(F.when(closing, 1).otherwise(0)).alias("closing"),
-            *labels,
+            *last_day,
         )
     )
 
 
-def location_weeks(weeks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Location-week totals of :func:`user_weeks`.
+def location_labels(weeks: DataFrame, by: Sequence[str], apart: bool = False) -> DataFrame:
+    """The ``by`` labels of each location-week: those of its latest day, the largest of equals.
 
-    Workers are already unique per location-week, so plain counts replace
-    distinct counts. A location-week has one set of ``by`` labels, that of its latest day (the largest of equals).
+    With ``apart`` each label is settled by itself. Days are first reduced to one number for each set of labels, so only
+    about one narrow row for a location-week meets the comparison of whole labels.
     """
-    labels = [F.max("labels").alias("labels")] if by else []
-    totals = weeks.groupBy("location_id", "week_start").agg(
+    days = weeks.groupBy("location_id", "week_start", *by).agg(F.max("last_day").alias("last_day"))
+    groups = [[name] for name in by] if apart else [list(by)]
+    latest = [F.max(F.struct("last_day", *group)).alias(f"latest_{k}") for k, group in enumerate(groups)]
+    chosen = [F.col(f"latest_{k}")[name].alias(name) for k, group in enumerate(groups) for name in group]
+    return days.groupBy("location_id", "week_start").agg(*latest).select("location_id", "week_start", *chosen)
+
+
+def location_weeks(weeks: DataFrame, by: Sequence[str] = (), apart: bool = False) -> DataFrame:
+    """Location-week totals of :func:`user_weeks`, with the labels of :func:`location_labels`.
+
+    Workers are unique per location-week, so plain counts replace distinct
+    counts; with ``by`` the rows of a worker are added up first, in the same
+    shuffle.
+    """
+    keys = ["location_id", "week_start"]
+    if by:
+        measures = ("hours", "rated_hours", "pay", "pay_hours", "shift_rows")
+        sums = [F.sum(name).alias(name) for name in measures]
+        # By location and week, which serves both aggregates.
+        weeks, split = weeks.repartition(*keys).groupBy(*keys, "user_id").agg(*sums, F.max("closing").alias("closing")), weeks
+    totals = weeks.groupBy(*keys).agg(
         F.count("user_id").alias("weekly_employees"),
         F.sum("hours").alias("hours"),
         F.sum("rated_hours").alias("rated_hours"),
@@ -100,9 +119,8 @@ def location_weeks(weeks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum("shift_rows").alias("shift_rows"),
         F.sum(F.when(F.col("user_id").isNotNull(), F.col("shift_rows"))).alias("user_shift_rows"),
         F.max("closing").alias("archived_this_week"),
-        *labels,
     )
-    return totals.select("*", *[F.col("labels")[name].alias(name) for name in by]).drop("labels")
+    return totals.join(location_labels(split, by, apart), keys) if by else totals
 
 
 def history_window() -> WindowSpec:

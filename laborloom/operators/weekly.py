@@ -11,11 +11,15 @@ window per (location, worker). No event row ever meets a date range join.
 Labels (``by``) take part in no window: locations qualify, gain and lose
 workers and survive as locations, and a location-week counts under the label it
 has then. A worker is first seen once, anywhere.
+
+``cuts`` gives several tables in one pass: national, by state and so on share
+the aggregate over events, the location windows and the worker windows; only
+what those have reduced is counted once for each cut.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +33,10 @@ from laborloom.periods import week_floor
 
 WEEK, YEAR = 7, 364
 
+# Cut name -> location attribute, None for all locations together.
+CUTS: dict[str, str | None] = {"national": None, "state": "state", "msa": "msa", "city": "city"}
+CUT_KEYS = ("segmented_by", "segment")
+
 
 class _Spine:
     """First and last complete week of the report as literals."""
@@ -46,7 +54,25 @@ def _is(flag: str) -> Column:
     return F.col(f"qualified_for_{flag}") == 1
 
 
-def location_measures(flagged: DataFrame, spine: _Spine, by: Sequence[str] = (), literal_survival: bool = False) -> DataFrame:
+def _in_each_cut(rows: DataFrame, cuts: Mapping[str, str | None] | None) -> DataFrame:
+    """Each row once for each cut, its label in place of the attributes; unchanged without cuts."""
+    if not cuts:
+        return rows
+    labels = [
+        F.struct(F.lit(name).alias("segmented_by"), (F.lit(name) if column is None else F.col(column).cast("string")).alias("segment"))
+        for name, column in cuts.items()
+    ]
+    spread = rows.withColumn("cut", F.explode(F.array(*labels)))
+    return spread.withColumns({key: F.col(f"cut.{key}") for key in CUT_KEYS}).drop("cut", *[c for c in cuts.values() if c])
+
+
+def location_measures(
+    flagged: DataFrame,
+    spine: _Spine,
+    by: Sequence[str] = (),
+    literal_survival: bool = False,
+    cuts: Mapping[str, str | None] | None = None,
+) -> DataFrame:
     """Per period: everything that adds up over locations.
 
     A location-week contributes to its own period and, when it is an outlook
@@ -63,7 +89,7 @@ def location_measures(flagged: DataFrame, spine: _Spine, by: Sequence[str] = (),
     lanes = F.when(_is("outlook") & spine.holds(F.col("week_start")), F.array(F.lit(0), F.lit(1))).otherwise(
         F.array(F.lit(0))
     )
-    rows = ahead.withColumn("lane", F.explode(lanes))
+    rows = _in_each_cut(ahead.withColumn("lane", F.explode(lanes)), cuts)
     now = F.col("lane") == 0
     later = F.col("lane") == 1
 
@@ -128,14 +154,14 @@ def job_flows(flagged_users: DataFrame, spine: _Spine, lookback_weeks: int = 1)
     )
 
 
-def worker_measures(flows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def worker_measures(flows: DataFrame, by: Sequence[str] = (), cuts: Mapping[str, str | None] | None = None) -> DataFrame:
     """Per period: distinct-worker counts.
 
     Rows are first reduced to one per (period, worker), so each count below is
     a plain sum and no multi-way distinct expansion is needed.
     """
     lanes = F.when(F.col("leaves_next"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = flows.withColumn("lane", F.explode(lanes))
+    rows = _in_each_cut(flows.withColumn("lane", F.explode(lanes)), cuts)
     now = F.col("lane") == 0
 
     def ever(condition: Column) -> Column:
@@ -152,10 +178,10 @@ def worker_measures(flows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         ever(now & _is("wages") & (F.col("pay_rows") > 0)).alias("paid"),
         F.sum(F.when(now & F.col("joined"), F.col("shift_hours"))).alias("new_hours"),
     )
-    # Once per worker, anywhere: the earliest week, and the smallest label where a worker is first seen in two.
-    here = F.struct("period_start", *by)
-    first_seen = F.min(F.when(F.col("seen") == 1, here)).over(Window.partitionBy("user_id"))
-    debut = (F.col("seen") == 1) & first_seen.eqNullSafe(here)
+    # Once per worker (in each cut), anywhere: the earliest week, and the smallest label where a worker is first seen in two.
+    whole = [CUT_KEYS[0]] if cuts else []
+    by_time = Window.partitionBy(*whole, "user_id").orderBy(F.col("seen").desc(), "period_start", *by)
+    debut = (F.col("seen") == 1) & (F.row_number().over(by_time) == 1)
     return (
         worker_period.withColumn("first_week", F.when(debut, 1).otherwise(0))
         .groupBy(*by, "period_start")
@@ -181,11 +207,14 @@ def period_measures(
     rules: Sequence[QualRule] = RULES,
     frame: str = "rows",
     literal_survival: bool = False,
+    cuts: Mapping[str, str | None] | None = None,
 ) -> DataFrame:
-    """Raw weekly measures per period, before ratios and the report spine."""
+    """Raw weekly measures per period, before ratios and the report spine; with ``cuts`` per cut, label and period."""
     spine = _Spine(as_of, periods_back, first)
-    weeks = computed_once(user_weeks(timeclock, by, first), "user-weeks")
-    flagged = computed_once(qualified_weeks(location_weeks(weeks, by), rules, frame), "location-weeks")
+    labels = sorted({column for column in cuts.values() if column}) if cuts else list(by)
+    weeks = computed_once(user_weeks(timeclock, labels, first), "user-weeks")
+    located_weeks = location_weeks(weeks, labels, apart=bool(cuts))
+    flagged = computed_once(qualified_weeks(located_weeks, rules, frame), "location-weeks")
     marks = archive_marks(timeclock, as_of, first).withColumn("archive_mark", F.lit(True))
     worker_rows = (
         weeks.filter(F.col("user_id").isNotNull())
@@ -193,10 +222,17 @@ def period_measures(
         .withColumn("archive_mark", F.lit(False))
         .unionByName(marks, allowMissingColumns=True)
     )
-    flows = job_flows(_with_flags(worker_rows, flagged, by), spine, lookback_weeks)
-    located = location_measures(flagged, spine, by, literal_survival)
-    workers = worker_measures(flows, by)
+    flows = job_flows(_with_flags(worker_rows, flagged, labels), spine, lookback_weeks)
+    by = CUT_KEYS if cuts else by
+    located = location_measures(flagged, spine, by, literal_survival, cuts)
+    workers = worker_measures(flows, by, cuts)
     merged = located.unionByName(workers, allowMissingColumns=True)
+    for name in [name for name, column in (cuts or {}).items() if column is None]:
+        # The national table has a row for every week.
+        every = weekly_spine(timeclock.sparkSession, as_of, periods_back, first).select(
+            *[F.lit(name).alias(key) for key in CUT_KEYS], "period_start"
+        )
+        merged = merged.unionByName(every, allowMissingColumns=True)
     names = [name for name in merged.columns if name not in (*by, "period_start")]
     # One row per period and side; both sides are already period aggregates.
     return merged.groupBy(*by, "period_start").agg(*[F.max(name).alias(name) for name in names])
@@ -213,16 +249,22 @@ def weekly_table(
     frame: str = "rows",
     literal_survival: bool = False,
     min_locations: int | None = None,
+    cuts: Mapping[str, str | None] | None = None,
 ) -> DataFrame:
     """The weekly table: one row per complete week, or per week and ``by`` key.
 
     Without ``by`` every week of the spine appears, with NULLs where nothing
     happened; with ``by`` only combinations that have activity do. For
     publication ``min_locations`` drops rows with fewer qualified locations.
+
+    ``cuts`` (such as CUTS, instead of ``by``) stacks several tables, told apart by ``segmented_by`` and ``segment``.
     """
+    if by and cuts:
+        raise ValueError("give by or cuts, not both")
     measures = period_measures(
-        timeclock, as_of, by, first, periods_back, lookback_weeks, rules, frame, literal_survival
+        timeclock, as_of, by, first, periods_back, lookback_weeks, rules, frame, literal_survival, cuts
     )
+    by = CUT_KEYS if cuts else by
     spine = (
         weekly_spine(timeclock.sparkSession, as_of, periods_back, first)
         .filter(F.col("period_start") >= F.lit(as_of - timedelta(days=7 * periods_back)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -29,9 +29,13 @@ def publish_weekly(
     path: str,
     by: Sequence[str] = (),
     min_locations: int | None = MIN_LOCATIONS,
+    cuts: Mapping[str, str | None] | None = None,
 ) -> DataFrame:
-    """Rebuild the weekly table, national or by location attribute; ``min_locations=None`` keeps thin groups."""
-    replace_table(weekly_table(timeclock, as_of, by, min_locations=min_locations), path)
+    """Rebuild the weekly table, national, by location attribute or in all ``cuts`` at once.
+
+    ``min_locations=None`` keeps thin groups.
+    """
+    replace_table(weekly_table(timeclock, as_of, by, min_locations=min_locations, cuts=cuts), path)
     return timeclock.sparkSession.read.parquet(path)
 
 

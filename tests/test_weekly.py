@@ -178,3 +178,55 @@ def test_workers_are_first_seen_once(spark):
 
 def test_history_follows_periods_back(spark):
     assert weekly.weekly_table(_steady(spark, "label"), date(2000, 8, 20), periods_back=520).count() >= 519
+
+
+CUTS = {"national": None, "state": "state", "area": "msa"}
+
+
+def _with_areas(frame):
+    """Areas change with the day, so a location's label changes within weeks; some are null."""
+    from pyspark.sql import functions as F
+
+    day = F.dayofyear("event_date")
+    area = F.when(day % 50 == 0, None).otherwise(F.concat(F.lit("area "), (F.col("location_id") % 2 + F.floor(day / 45)).cast("string")))
+    return frame.withColumn("msa", area)
+
+
+def test_all_cuts_equal_the_separate_tables(clock):
+    from pyspark.sql import functions as F
+
+    frame = _with_areas(clock[0])
+    cuts = weekly.weekly_table(frame, AS_OF, cuts=CUTS)
+    expected = weekly.weekly_table(frame, AS_OF).select(F.lit("national").alias("segmented_by"), F.lit("national").alias("segment"), "*")
+    for name, column in (("state", "state"), ("area", "msa")):
+        one = weekly.weekly_table(frame, AS_OF, by=[column]).withColumnRenamed(column, "segment")
+        expected = expected.unionByName(one.withColumn("segmented_by", F.lit(name)))
+    assert _bag(cuts.collect(), cuts.columns) == _bag(expected.collect(), expected.columns)
+    few = weekly.weekly_table(frame, AS_OF, cuts=CUTS, min_locations=2)
+    assert 0 < few.count() < cuts.count()
+    with pytest.raises(ValueError):
+        weekly.weekly_table(frame, AS_OF, by=["state"], cuts=CUTS)
+
+
+def test_all_cuts_scan_the_events_twice(clock, monkeypatch, tmp_path):
+    _with_areas(clock[0]).write.parquet(str(tmp_path / "events"))
+    frame = clock[0].sparkSession.read.parquet(str(tmp_path / "events"))
+    scans, stage = [], weekly.computed_once
+
+    def watched(df, name):
+        scans.append(df._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet"))
+        return stage(df, name)
+
+    monkeypatch.setattr(weekly, "computed_once", watched)
+    table = weekly.weekly_table(frame, AS_OF, cuts=CUTS)
+    lines = [x for x in table._jdf.queryExecution().sparkPlan().toString().split("\n") if "FileScan parquet" in x]
+    # One scan for the worker-weeks, one (of three columns) for the archiving marks; the rest reads staged tables.
+    assert scans[0] == 1
+    assert len([x for x in lines if "/events" in x and "archived_at" in x]) == 1
+    assert not any("shift_id" in x for x in lines)
+
+
+def test_labels_do_not_make_the_event_aggregate_sort(clock):
+    weeks = qualify.user_weeks(_with_areas(clock[0]), ["state", "msa"])
+    plan = weeks._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
