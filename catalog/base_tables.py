@@ -12,7 +12,7 @@ from laborloom.functions import labels
 from laborloom.functions.labels import age_years, size_band
 from laborloom.operators import base, classify
 from laborloom.sources import star_adapter as sample
-from laborloom.sources.scan import between_dates, union_years
+from laborloom.sources.scan import between_dates, date_span, union_years
 
 HORIZON = date(1996, 1, 1)
 
@@ -125,9 +125,12 @@ def _naics(spark, sf):
 
 
 def _union_years(spark, sf):
+    """Every year the events have, as if each were a table of its own."""
+    events = sample.shift_events(spark, sf)
+    first, last = date_span(events, "event_date")
     years = {
-        year: between_dates(sample.shift_events(spark, sf), "event_date", date(year, 1, 1), date(year, 12, 31))
-        for year in (1999, 2000)
+        year: between_dates(events, "event_date", date(year, 1, 1), date(year, 12, 31))
+        for year in range(first.year, last.year + 1)
     }
     return union_years(years).groupBy("yr", "location_id").agg(F.count(F.lit(1)).alias("shifts"))
 
@@ -272,6 +275,6 @@ SQL = {
     "yearly_tables_union": using(
         "shift_events",
         """SELECT CAST(year(event_date) AS INTEGER) AS yr, location_id, count(*) AS shifts FROM shift_events
-           WHERE year(event_date) IN (1999, 2000) GROUP BY ALL""",
+           GROUP BY ALL""",
     ),
 }

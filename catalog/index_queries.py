@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from catalog.adapter_sql import half_up, quotient, sunday, using
 from catalog.common import AS_OF, LABOR_START, WINDOW_ROWS, WINDOWS, doubles, rounded
-from laborloom.functions.calendar import dates_per_key, in_windows
+from laborloom.functions.calendar import dates_per_key
 from laborloom.operators import benchmark as bm
 from laborloom.operators import index as ix
 from laborloom.operators import quality as qa
 from laborloom.operators.reuse import shared_path
 from laborloom.plans.publish import publish_benchmarks
+from laborloom.periods import sunday_window
 from laborloom.sources import star_adapter as sample
+from laborloom.sources.scan import date_span
 
 LEVELS = list(bm.LEVELS)
 
@@ -51,10 +53,11 @@ def _monthly(spark, sf, **options):
 
 
 def _grid(spark, sf):
-    """Complete location-by-day grid of the benchmark windows with its gaps as zero."""
-    first, last = date(2001, 1, 7), date(2001, 2, 3)
+    """Complete location-by-day grid, from the first to the last day of the events, with its gaps as zero."""
+    events = sample.shift_events(spark, sf)
+    first, last = date_span(events, "event_date")
     keys = sample.locations(spark, sf).select("location_id")
-    days = bm.location_days(sample.shift_events(spark, sf, first, last), labels=())
+    days = bm.location_days(events, labels=())
     grid = dates_per_key(keys, first, last).join(days, ["location_id", "event_date"], "left")
     return grid.groupBy("event_date").agg(
         F.count(F.lit(1)).alias("locations"),
@@ -64,14 +67,14 @@ def _grid(spark, sf):
 
 
 def _published(spark, sf):
-    """The benchmark table after a round through the partitioned sink."""
+    """The benchmark table of every year after a round through the partitioned sink."""
     path = shared_path(spark, "benchmarks")
     if path is None:
         raise ValueError("set spark.checkpoint.dir: the query goes through a written table")
-    stored = publish_benchmarks(_events(spark, sf), WINDOWS, path)
-    return stored.filter(F.col("yr") == max(WINDOWS)).select(
-        "yr", "location_id", "day_of_week", "days_with_data", "denominator_clock_ins", "total_clock_ins_4weeks"
-    )
+    events = sample.shift_events(spark, sf)
+    first, last = date_span(events, "event_date")
+    stored = publish_benchmarks(events, {y: sunday_window(y) for y in range(first.year, last.year + 1)}, path)
+    return rounded(stored, 6, "total_hours_scheduled_4weeks", "total_hours_worked_4weeks", *LEVELS)
 
 
 def _month_labor(spark, sf, **options):
@@ -95,7 +98,7 @@ QUERIES = {
     "labor_index_month_benchmark_suppressed": lambda s, d: _month_labor(s, d, by=["industry"], min_locations=3),
     "large_moves_by_industry": lambda s, d: ix.large_moves(_monthly(s, d, by=["industry"]), by=["industry"]),
     "location_days": lambda s, d: doubles(
-        bm.location_days(_events(s, d).filter(in_windows("event_date", WINDOWS))),
+        bm.location_days(sample.shift_events(s, d)),
         "total_hours_scheduled",
         "total_hours_worked",
     ),
@@ -179,6 +182,11 @@ _HOURS_AS_DOUBLE = (
 
 
 _WIN = f"SELECT * FROM (VALUES {WINDOW_ROWS}) AS w(yr, lo, hi)"
+# 28 days from the first Sunday on or after January 4, for every year of the events.
+_EVERY_WIN = """
+    SELECT yr, lo, CAST(lo + 27 AS DATE) AS hi FROM (
+        SELECT yr, CAST(make_date(yr, 1, 4) + CAST((7 - dayofweek(make_date(yr, 1, 4))) % 7 AS INTEGER) AS DATE) AS lo
+        FROM (SELECT unnest(range(min(year(event_date)), max(year(event_date)) + 1)) AS yr FROM shift_events))"""
 _IN_WIN = "WHERE EXISTS (FROM win WHERE event_date BETWEEN lo AND hi)"
 _WIN_DAYS = _days(_IN_WIN)
 _BENCH = (
@@ -311,7 +319,7 @@ SQL = {
         **_chain(extra="industry, "),
         rep=_report("industry, "),
     ),
-    "location_days": using("shift_events", f"SELECT {_HOURS_AS_DOUBLE} FROM days", win=_WIN, days=_WIN_DAYS),
+    "location_days": using("shift_events", f"SELECT {_HOURS_AS_DOUBLE} FROM days", days=_days("")),
     "weekday_benchmark": using("shift_events", _BENCH_LEVELS, win=_WIN, days=_WIN_DAYS, totals=_BENCH),
     "month_benchmark": using(
         "shift_events",
@@ -399,14 +407,7 @@ SQL = {
         + " FROM days GROUP BY ALL",
         days=_days("WHERE event_date BETWEEN DATE '2000-01-09' AND DATE '2000-02-05'"),
     ),
-    "benchmarks_published": using(
-        "shift_events",
-        """SELECT yr, location_id, day_of_week, days_with_data, denominator_clock_ins, total_clock_ins_4weeks
-           FROM totals WHERE yr = 2001""",
-        win=_WIN,
-        days=_WIN_DAYS,
-        totals=_BENCH,
-    ),
+    "benchmarks_published": using("shift_events", _BENCH_LEVELS, win=_EVERY_WIN, days=_WIN_DAYS, totals=_BENCH),
     "january_team_sizes": using(
         "shift_events",
         f"""SELECT location_id, {half_up('avg(n)', 6)} AS avg_weekly_users, count(*) AS active_weeks
@@ -419,9 +420,10 @@ SQL = {
         """SELECT CAST(d AS DATE) AS event_date, count(*) AS locations,
                   count(*) FILTER (has_clock_in = 1) AS open_locations,
                   CAST(sum(coalesce(users_with_clock_in, 0)) AS BIGINT) AS users
-           FROM locations l, generate_series(DATE '2001-01-07', DATE '2001-02-03', INTERVAL 1 DAY) AS g(d)
+           FROM locations l CROSS JOIN (
+               SELECT unnest(generate_series(min(event_date), max(event_date), INTERVAL 1 DAY)) AS d FROM shift_events)
            LEFT JOIN days ON days.location_id = l.location_id AND days.event_date = CAST(d AS DATE)
            GROUP BY ALL""",
-        days=_days("WHERE event_date BETWEEN DATE '2001-01-07' AND DATE '2001-02-03'", labels=""),
+        days=_days("", labels=""),
     ),
 }

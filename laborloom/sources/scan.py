@@ -25,6 +25,13 @@ def between_dates(df: DataFrame, column: str, start: date | None = None, end: da
     return df
 
 
+def date_span(df: DataFrame, column: str) -> tuple[date, date] | None:
+    """First and last day of a date or timestamp column, None for a table without any; reads that column alone."""
+    day = F.to_date(column)
+    first, last = df.agg(F.min(day), F.max(day)).first()
+    return None if first is None else (first, last)
+
+
 def scan(
     spark: SparkSession,
     path: str,
