@@ -5,6 +5,7 @@ from __future__ import annotations
 from catalog import (
     base_tables,
     calendar_queries,
+    distinct_queries,
     impact_queries,
     index_queries,
     quality_queries,
@@ -22,6 +23,7 @@ MODULES = (
     base_tables,
     calendar_queries,
     quality_queries,
+    distinct_queries,
 )
 
 
