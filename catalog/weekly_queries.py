@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from catalog.adapter_sql import half_up, monday, quotient, rounded as ratio_sql, sunday, using
 from catalog.common import AS_OF, rounded
 from laborloom.operators import impact, qualify, weekly
+from laborloom.operators.reuse import shared_path
 from laborloom.periods import EventScope, week_floor
+from laborloom.plans.weekly_store import WeeklyStore
 from laborloom.sources import star_adapter as sample
+from laborloom.sources.scan import date_span
 
 FLAGS = [rule.column for rule in qualify.RULES]
 CHANGE_METRICS = ("hours_worked", "total_shifts", "active_users")
@@ -33,6 +36,20 @@ def _relabelled(spark, sf):
     return events.withColumn("state", F.when(moved, F.concat(F.lit("NEW "), "state")).otherwise(F.col("state")))
 
 
+def _refreshed(spark, sf):
+    """The stored table, built as it was four weeks earlier and then given the weeks since."""
+    path = shared_path(spark, "weekly-store")
+    if path is None:
+        raise ValueError("set spark.checkpoint.dir: the query goes through written tables")
+    events, earlier = sample.timeclock(spark, sf), AS_OF - timedelta(days=28)
+    early = events.filter(F.col("event_date") <= F.lit(earlier))
+    WeeklyStore(spark, path, earlier, files_per_partition=1).build(early)
+    store = WeeklyStore(spark, path, AS_OF, files_per_partition=1)
+    _, last = date_span(events, "event_date")
+    store.refresh(events, [earlier + timedelta(days=k) for k in range((last - earlier).days + 1)])
+    return store.report()
+
+
 QUERIES = {
     "location_qualification": _flags,
     "location_qualification_calendar": lambda s, d: _flags(s, d, frame="calendar"),
@@ -45,6 +62,7 @@ QUERIES = {
     "weekly_table_by_city": lambda s, d: _table(s, d, by=["city"]),
     "weekly_table_by_city_suppressed": lambda s, d: _table(s, d, by=["city"], min_locations=2),
     "weekly_table_all_cuts": lambda s, d: _table(s, d, cuts=weekly.CUTS),
+    "weekly_table_refreshed": _refreshed,
     "weekly_table_four_week_lookback": lambda s, d: _table(s, d, lookback_weeks=4),
     "weekly_table_literal_survival": lambda s, d: _table(s, d, literal_survival=True),
     "weekly_table_one_msa": lambda s, d: weekly.weekly_table(
@@ -246,6 +264,7 @@ SQL = {
     "weekly_table_by_city": _table_sql(by="city"),
     "weekly_table_by_city_suppressed": _table_sql("SELECT * FROM report WHERE active_location_count >= 2", by="city"),
     "weekly_table_all_cuts": _all_cuts_sql(weekly.CUTS),
+    "weekly_table_refreshed": _table_sql(),
     "weekly_table_four_week_lookback": _table_sql(lookback=4),
     "weekly_table_literal_survival": _table_sql(literal=True),
     "weekly_table_one_msa": using(

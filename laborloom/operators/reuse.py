@@ -29,3 +29,10 @@ def computed_once(df: DataFrame, name: str) -> DataFrame:
         return df
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Like :func:`computed_once`, but where a shared folder is required."""
+    if shared_path(df.sparkSession, name) is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return computed_once(df, name)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from laborloom.functions.calendar import week_start, weekly_spine
@@ -154,11 +154,14 @@ def job_flows(flagged_users: DataFrame, spine: _Spine, lookback_weeks: int = 1)
     )
 
 
-def worker_measures(flows: DataFrame, by: Sequence[str] = (), cuts: Mapping[str, str | None] | None = None) -> DataFrame:
+def worker_measures(
+    flows: DataFrame, by: Sequence[str] = (), cuts: Mapping[str, str | None] | None = None, debuts: bool = True
+) -> DataFrame:
     """Per period: distinct-worker counts.
 
     Rows are first reduced to one per (period, worker), so each count below is
-    a plain sum and no multi-way distinct expansion is needed.
+    a plain sum and no multi-way distinct expansion is needed. ``debuts=False`` leaves out ``workers_new``, the one
+    count that depends on a worker's whole history.
     """
     lanes = F.when(F.col("leaves_next"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     rows = _in_each_cut(flows.withColumn("lane", F.explode(lanes)), cuts)
@@ -182,14 +185,15 @@ def worker_measures(flows: DataFrame, by: Sequence[str] = (), cuts: Mapping[str,
     whole = [CUT_KEYS[0]] if cuts else []
     by_time = Window.partitionBy(*whole, "user_id").orderBy(F.col("seen").desc(), "period_start", *by)
     debut = (F.col("seen") == 1) & (F.row_number().over(by_time) == 1)
+    if debuts:
+        worker_period = worker_period.withColumn("first_week", F.when(debut, 1).otherwise(0))
     return (
-        worker_period.withColumn("first_week", F.when(debut, 1).otherwise(0))
-        .groupBy(*by, "period_start")
+        worker_period.groupBy(*by, "period_start")
         .agg(
             F.sum("active").alias("active_workers"),
             F.sum("added").alias("workers_added"),
             F.sum("gone").alias("workers_gone"),
-            F.sum("first_week").alias("workers_new"),
+            *([F.sum("first_week").alias("workers_new")] if debuts else []),
             F.sum("archived").alias("workers_archived"),
             F.sum("paid").alias("workers_paid"),
             F.sum("new_hours").alias("hours_new"),
@@ -197,6 +201,46 @@ def worker_measures(flows: DataFrame, by: Sequence[str] = (), cuts: Mapping[str,
     )
 
 
+def first_seen(flagged_users: DataFrame, by: Sequence[str] = (), cuts: Mapping[str, str | None] | None = None) -> DataFrame:
+    """``user_id``, ``first_week`` and the label there, for every worker (in each cut) seen at a turnover location.
+
+    The earliest week, and the smallest label where a worker is first seen in two.
+    """
+    seen = flagged_users.filter(_is("turnover") & ~F.col("archive_mark"))
+    rows = _in_each_cut(seen, cuts).groupBy(*by, "user_id").agg(F.min("week_start").alias("first_week"))
+    whole = [CUT_KEYS[0]] if cuts else []
+    if not by:
+        return rows
+    inner = [name for name in by if name not in whole]
+    earliest = rows.groupBy(*whole, "user_id").agg(F.min(F.struct("first_week", *inner)).alias("m"))
+    return earliest.select(*whole, "user_id", "m.*")
+
+
+def worker_rows(weeks: DataFrame, marks: DataFrame) -> DataFrame:
+    """Worker-weeks and archiving marks as one table."""
+    return (
+        weeks.filter(F.col("user_id").isNotNull())
+        .select("location_id", "week_start", "user_id", "shift_rows", "shift_hours", "pay_rows")
+        .withColumn("archive_mark", F.lit(False))
+        .unionByName(marks.withColumn("archive_mark", F.lit(True)), allowMissingColumns=True)
+    )
+
+
+def one_row_per_period(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Parts that have some of the measures each, one row per period and part, side by side."""
+    names = [name for name in parts.columns if name not in (*by, "period_start")]
+    return parts.groupBy(*by, "period_start").agg(*[F.max(name).alias(name) for name in names])
+
+
+def national_weeks(spark: SparkSession, as_of: date, periods_back: int, first: str, cuts: Mapping[str, str | None]) -> DataFrame:
+    """The weeks of the spine under each national cut, which has a row for every week."""
+    spine = weekly_spine(spark, as_of, periods_back, first)
+    names = F.array(*[F.lit(name) for name, column in cuts.items() if column is None]).cast("array<string>")
+    return spine.select(F.explode(names).alias("segmented_by"), "period_start").select(
+        "segmented_by", F.col("segmented_by").alias("segment"), "period_start"
+    )
+
+
 def period_measures(
     timeclock: DataFrame,
     as_of: date,
@@ -215,27 +259,17 @@ def period_measures(
     weeks = computed_once(user_weeks(timeclock, labels, first), "user-weeks")
     located_weeks = location_weeks(weeks, labels, apart=bool(cuts))
     flagged = computed_once(qualified_weeks(located_weeks, rules, frame), "location-weeks")
-    marks = archive_marks(timeclock, as_of, first).withColumn("archive_mark", F.lit(True))
-    worker_rows = (
-        weeks.filter(F.col("user_id").isNotNull())
-        .select("location_id", "week_start", "user_id", "shift_rows", "shift_hours", "pay_rows")
-        .withColumn("archive_mark", F.lit(False))
-        .unionByName(marks, allowMissingColumns=True)
-    )
-    flows = job_flows(_with_flags(worker_rows, flagged, labels), spine, lookback_weeks)
+    rows = worker_rows(weeks, archive_marks(timeclock, as_of, first))
+    flows = job_flows(_with_flags(rows, flagged, labels), spine, lookback_weeks)
     by = CUT_KEYS if cuts else by
     located = location_measures(flagged, spine, by, literal_survival, cuts)
     workers = worker_measures(flows, by, cuts)
     merged = located.unionByName(workers, allowMissingColumns=True)
-    for name in [name for name, column in (cuts or {}).items() if column is None]:
-        # The national table has a row for every week.
-        every = weekly_spine(timeclock.sparkSession, as_of, periods_back, first).select(
-            *[F.lit(name).alias(key) for key in CUT_KEYS], "period_start"
-        )
+    if cuts:
+        every = national_weeks(timeclock.sparkSession, as_of, periods_back, first, cuts)
         merged = merged.unionByName(every, allowMissingColumns=True)
-    names = [name for name in merged.columns if name not in (*by, "period_start")]
-    # One row per period and side; both sides are already period aggregates.
-    return merged.groupBy(*by, "period_start").agg(*[F.max(name).alias(name) for name in names])
+    # Both sides are already period aggregates.
+    return one_row_per_period(merged, by)
 
 
 def weekly_table(
@@ -264,9 +298,20 @@ def weekly_table(
     measures = period_measures(
         timeclock, as_of, by, first, periods_back, lookback_weeks, rules, frame, literal_survival, cuts
     )
-    by = CUT_KEYS if cuts else by
+    return report_table(measures, as_of, CUT_KEYS if cuts else by, first, periods_back, min_locations)
+
+
+def report_table(
+    measures: DataFrame,
+    as_of: date,
+    by: Sequence[str] = (),
+    first: str = "sunday",
+    periods_back: int = 260,
+    min_locations: int | None = None,
+) -> DataFrame:
+    """The weekly table from its measures: at most one row per week and key, so cheap to derive whenever they change."""
     spine = (
-        weekly_spine(timeclock.sparkSession, as_of, periods_back, first)
+        weekly_spine(measures.sparkSession, as_of, periods_back, first)
         .filter(F.col("period_start") >= F.lit(as_of - timedelta(days=7 * periods_back)))
         .select("period_start", "period_end")
     )
