@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from catalog.adapter_sql import close, half_up, quotient, using
 from catalog.common import ANCHOR, rounded
 from laborloom.operators import wages
@@ -43,6 +45,11 @@ def _job_rates(spark, sf):
     return rounded(pay.withColumn("wage_rate", wages.ratio("wages", "hours")), 6, "wages", "hours", "wage_rate")
 
 
+def _rolling(spark, sf):
+    cohort = wages.with_segments(wages.rolling_cohort(sample.payroll_runs(spark, sf)), sample.locations(spark, sf), wages.LEGACY_SEGMENTS)
+    return wages.rolling_wages(wages.rolling_pay(sample.shift_events(spark, sf, START, ANCHOR.report_end), cohort, START, ANCHOR.report_end))
+
+
 QUERIES = {
     "payroll_cohort": lambda s, d: wages.payroll_cohort(sample.payroll_runs(s, d), ANCHOR),
     "job_wage_rates": _job_rates,
@@ -62,6 +69,13 @@ QUERIES = {
         wages.year_on_year(_cuts(s, d), ["segmented_by", "segment"]), 6, "wage_rate", "yoy_pct_change"
     ),
 }
+QUERIES |= {
+    "wages_rolling_cohort": lambda s, d: rounded(_rolling(s, d), 6, "wage_rate", "wage_rate_year_ago", "yoy_pct_change"),
+    "rolling_cohort_sizes": lambda s, d: wages.rolling_cohort(sample.payroll_runs(s, d))
+    .select(F.explode("months").alias("month_number"))
+    .groupBy("month_number")
+    .agg(F.count(F.lit(1)).alias("locations")),
+}
 
 # ---------------------------------------------------------------- SQL twins
 
@@ -116,6 +130,54 @@ def _above_base(partition: str = "") -> str:
     return half_up(f"(wage_rate - {base}) / {base} * 100", 2) + " AS pct_above_base"
 
 
+_MEMBER = """
+    SELECT a.location_id, a.m FROM ran a JOIN ran b ON a.location_id = b.location_id AND b.m = a.m - 12"""
+_RAN = "SELECT DISTINCT location_id, year(payday) * 12 + month(payday) AS m FROM payroll_runs"
+_ALL_PAY = f"""
+    SELECT location_id, job_id, total_wages_earned AS w, hours_worked AS h, {close('CAST(timecard_created_at AS DATE)')} AS closed
+    FROM shift_events WHERE CAST(timecard_created_at AS DATE) BETWEEN DATE '{START}' AND DATE '{_END}'"""
+
+
+def _side(side: str, months: int) -> str:
+    """Pay of the cohort of the month that lies ``months`` after it."""
+    later = f"CAST(closed + INTERVAL {months} MONTH AS DATE)"
+    return f"""
+        SELECT p.*, {later} AS period_end, '{side}' AS side FROM all_pay p
+        JOIN member USING (location_id) WHERE m = year({later}) * 12 + month({later}) AND {later} <= DATE '{_END}'"""
+
+
+def _rolling_sql() -> str:
+    rate = quotient("sum(w)", "sum(h)")
+    parts = [
+        f"""SELECT 'national' AS segmented_by, 'national' AS segment, period_end, side, NULL AS place, job_id, {rate} AS rate
+            FROM sides GROUP BY period_end, side, job_id"""
+    ]
+    for name, column in PUBLISHED.items():
+        parts.append(
+            f"""SELECT '{name}', {column}, period_end, side, s.location_id, job_id, {rate} FROM sides s JOIN locations l USING (location_id)
+                WHERE l.state NOT IN ('Not USA', 'Unclassified') GROUP BY {column}, period_end, side, s.location_id, job_id"""
+        )
+    means = """
+        SELECT segmented_by, segment, period_end, side, avg(rate) AS rate, count(DISTINCT job_id) AS jobs FROM rates
+        GROUP BY ALL HAVING count(DISTINCT job_id) > 20"""
+    body = f"""
+        SELECT n.segmented_by, n.segment, n.period_end, {half_up('n.rate', 6)} AS wage_rate, n.jobs AS sample_size_jobs,
+               {half_up('b.rate', 6)} AS wage_rate_year_ago, {half_up('n.rate / b.rate - 1', 6)} AS yoy_pct_change
+        FROM means n LEFT JOIN means b ON b.side = 'year_ago' AND b.segmented_by = n.segmented_by
+             AND b.segment IS NOT DISTINCT FROM n.segment AND b.period_end = n.period_end
+        WHERE n.side = 'now'"""
+    return using(
+        "shift_events locations payroll_runs",
+        body,
+        ran=_RAN,
+        member=_MEMBER,
+        all_pay=_ALL_PAY,
+        sides=f"{_side('now', 0)} UNION ALL {_side('year_ago', 12)}",
+        rates=" UNION ALL ".join(parts),
+        means=means,
+    )
+
+
 _YEAR_AGO = """(SELECT max(b.wage_rate) FROM cuts b WHERE b.segmented_by = cuts.segmented_by
     AND b.segment = cuts.segment AND b.period_end = CAST(cuts.period_end - INTERVAL 1 YEAR AS DATE))"""
 
@@ -147,4 +209,11 @@ SQL = {
     "wages_year_on_year": _series_sql(
         PUBLISHED, half_up(f"wage_rate / {_YEAR_AGO} - 1", 6) + " AS yoy_pct_change"
     ),
+    "wages_rolling_cohort": _rolling_sql(),
+    "rolling_cohort_sizes": using(
+        "payroll_runs",
+        "SELECT CAST(m AS INTEGER) AS month_number, count(*) AS locations FROM member GROUP BY ALL",
+        ran=_RAN,
+        member=_MEMBER,
+    ),
 }

@@ -12,7 +12,7 @@ from laborloom.functions.calendar import month_close
 from laborloom.functions.labels import in_us
 from laborloom.functions.ratios import change_ratio, pct_over, ratio
 from laborloom.operators.skew import spread_join
-from laborloom.periods import ReportAnchor, month_bounds
+from laborloom.periods import MONTH_CLOSE_DAY, ReportAnchor, month_bounds
 from laborloom.sources.scan import between_dates
 
 MIN_JOBS = 20
@@ -44,6 +44,59 @@ def payroll_cohort(payroll_runs: DataFrame, anchor: ReportAnchor) -> DataFrame:
     )
 
 
+def _month_number(day: Column) -> Column:
+    return F.year(day) * 12 + F.month(day)
+
+
+def rolling_cohort(payroll_runs: DataFrame) -> DataFrame:
+    """Report months (year * 12 + month) for which a location is in the matched cohort, as an array.
+
+    A location belongs to the cohort of a month if it ran payroll in it and in the same month a year before: a range
+    frame 12 months back over its months. One row per location, with at most one entry for each month.
+    """
+    ran = payroll_runs.select("location_id", _month_number(F.col("payday")).alias("month")).distinct()
+    back = Window.partitionBy("location_id").orderBy("month").rangeBetween(-12, -12)
+    matched = ran.withColumn("year_ago", F.count(F.lit(1)).over(back)).filter("year_ago > 0")
+    return matched.groupBy("location_id").agg(F.sort_array(F.collect_list("month")).alias("months"))
+
+
+def rolling_pay(events: DataFrame, cohort: DataFrame, start: date, end: date) -> DataFrame:
+    """Job pay by report month, once as this year's and once as last year's side of the comparison.
+
+    ``cohort`` is :func:`rolling_cohort`, with or without :func:`with_segments`. A job's month of pay counts for the
+    cohort of that month (``side`` "now") and for the cohort of the month a year later ("year_ago"), whichever the
+    location belongs to; ``period_end`` names the report month.
+    """
+    pay = job_pay(events, cohort, start, end)
+    month = _month_number(F.col("period_end"))
+    sides = F.array(
+        F.struct(month.alias("report"), F.lit("now").alias("side")), F.struct((month + 12).alias("report"), F.lit("year_ago").alias("side"))
+    )
+    last = end.year * 12 + end.month
+    told = F.filter(sides, lambda s: F.array_contains("months", s["report"]) & (s["report"] <= last))
+    rows = pay.withColumn("told", F.explode(told))
+    report = F.col("told.report") - 1
+    close = F.make_date(F.floor(report / 12).cast("int"), (report % 12 + 1).cast("int"), F.lit(MONTH_CLOSE_DAY))
+    return rows.withColumns({"period_end": close, "side": F.col("told.side")}).drop("told", "months")
+
+
+def rolling_wages(pay: DataFrame, min_jobs: int | None = MIN_JOBS) -> DataFrame:
+    """Wage rate and growth against the year before, each month within its own matched cohort.
+
+    Unlike :func:`year_on_year` on one cohort's series, both rates of a row come from the locations that ran payroll in
+    that month and a year before. Groups too thin this year are left out, those too thin a year ago have no growth.
+    """
+    cuts = wage_cuts(pay, min_jobs=min_jobs, keys=("period_end", "side"))
+    now = F.col("side") == "now"
+    both = cuts.groupBy("segmented_by", "segment", "period_end").agg(
+        F.max(F.when(now, F.col("wage_rate"))).alias("wage_rate"),
+        F.max(F.when(now, F.col("sample_size_jobs"))).alias("sample_size_jobs"),
+        F.max(F.when(~now, F.col("wage_rate"))).alias("wage_rate_year_ago"),
+    )
+    shown = both.filter(F.col("sample_size_jobs").isNotNull())
+    return shown.withColumn("yoy_pct_change", change_ratio("wage_rate", F.col("wage_rate_year_ago")))
+
+
 def job_pay(events: DataFrame, cohort: DataFrame, start: date, end: date) -> DataFrame:
     """Wages and hours of the cohort per location, reporting month and job.
 
@@ -85,8 +138,9 @@ def wage_cuts(
     locations: DataFrame | None = None,
     segments: dict[str, str] | None = None,
     min_jobs: int | None = MIN_JOBS,
+    keys: Sequence[str] = ("period_end",),
 ) -> DataFrame:
-    """National wages and every segment cut from one pass over job pay.
+    """National wages and every segment cut from one pass over job pay, for each combination of ``keys``.
 
     ``pay`` may already carry labels from :func:`with_segments`; otherwise they
     come from ``locations``, as ``segments`` (default SEGMENTS) names them.
@@ -103,20 +157,20 @@ def wage_cuts(
     elif locations is not None or segments is not None:
         raise ValueError("pay carries its segment labels already; locations and segments would be ignored")
     every_cut = F.concat(F.array(national), F.coalesce("segments", F.array().cast("array<struct<segmented_by:string,segment:string>>")))
-    rows = labelled.select("location_id", "period_end", "job_id", "wages", "hours", F.explode(every_cut).alias("cut"))
+    rows = labelled.select("location_id", *keys, "job_id", "wages", "hours", F.explode(every_cut).alias("cut"))
     cut = F.col("cut.segmented_by")
     rates = (
         rows.groupBy(
             cut.alias("segmented_by"),
             F.col("cut.segment").alias("segment"),
-            "period_end",
+            *keys,
             F.when(cut != "national", F.col("location_id")).alias("place"),
             "job_id",
         )
         .agg(F.sum("wages").alias("wages"), F.sum("hours").alias("hours"))
         .withColumn("rate", ratio("wages", "hours"))
     )
-    return _mean_of_rates(rates, ("segmented_by", "segment", "period_end"), min_jobs)
+    return _mean_of_rates(rates, ("segmented_by", "segment", *keys), min_jobs)
 
 
 def wage_rates(
