@@ -134,17 +134,18 @@ def _with_flags(rows: DataFrame, flagged: DataFrame, by: Sequence[str]) -> DataF
     return rows.join(wanted.select("location_id", "week_start", *by, *flags), ["location_id", "week_start"])
 
 
-def job_flows(flagged_users: DataFrame, spine: _Spine, lookback_weeks: int = 1) -> DataFrame:
+def job_flows(flagged_users: DataFrame, spine: _Spine, lookback_weeks: int = 1, within: Sequence[str] = ()) -> DataFrame:
     """Mark workers that are new to, or gone from, a location this week.
 
     A (worker, location) pair is new when the pair has no qualified shift in
     the preceding ``lookback_weeks``; it is gone in the week after its last
     one. Both looks are seven-day range frames on one window, and weeks before
-    the spine do not count as preceding weeks.
+    the spine do not count as preceding weeks. ``within`` names columns that
+    depend on the pair alone and that the rows are already partitioned by.
     """
     at_work = _is("jobs") & (F.col("shift_rows") > 0) & spine.holds(F.col("week_start"))
     marked = flagged_users.withColumn("pair", F.when(at_work, 1))
-    pairs = Window.partitionBy("user_id", "location_id").orderBy(F.unix_date("week_start"))
+    pairs = Window.partitionBy("user_id", "location_id", *within).orderBy(F.unix_date("week_start"))
     before = F.max("pair").over(pairs.rangeBetween(-WEEK * lookback_weeks, -WEEK))
     after = F.max("pair").over(pairs.rangeBetween(WEEK, WEEK))
     return marked.select(
