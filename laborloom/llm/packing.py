@@ -21,8 +21,11 @@ empty table gives no rows; null keys stay null; other columns do not take part.
 from __future__ import annotations
 
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,8 @@ from laborloom.llm.common import saved, with_key, without_key
 
 # Signs of ASCII: a run of them after a word is one piece of the tokenizer's splitting.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-KEEP_WORDS = 600_000
+KEEP_WORDS = 400_000  # words remembered in each of two generations
+PLACE_TOKENS = 500_000  # tokens whose directions are added up at once
 
 
 class WordTokens:
@@ -45,10 +49,10 @@ class WordTokens:
     other word goes through the whole tokenizer, as does a text that holds a special token's string.
     """
 
-    def __init__(self, path: str, end: int):
+    def __init__(self, vocabulary: str, end: int):
         from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(path)
+        self.full = Tokenizer.from_str(vocabulary)
         self.model, self.end = self.full.model, end
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
@@ -57,6 +61,7 @@ class WordTokens:
         wide = self.full.get_vocab_size() > 1 << 16
         self.code, self.type = ("I", np.dtype("<u4")) if wide else ("H", np.dtype("<u2"))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
@@ -87,23 +92,27 @@ class WordTokens:
         try:
             found = b"".join([known[w] for w in words])
         except KeyError:
+            older = self.older
             for w in words:
                 if w not in known:
-                    known[w] = self.word(w)
+                    known[w] = older[w] if w in older else self.word(w)
             found = b"".join([known[w] for w in words])
         if len(known) > KEEP_WORDS:
-            known.clear()
+            # Words in use come back from the older generation as they are met.
+            self.known, self.older = {}, known
         return found + last
 
 
-def tokens_of(path: str, end: int) -> WordTokens:
-    """One tokenizer per worker process: a worker serves many tasks, and its known words stay useful."""
-    import tokenizers
+def tokens_of(vocabulary: str, end: int) -> WordTokens:
+    """One tokenizer per worker process: a worker serves many tasks, and its known words stay useful.
 
-    kept = vars(tokenizers).setdefault("_laborloom", {})
-    if (path, end) not in kept:
-        kept[path, end] = WordTokens(path, end)
-    return kept[path, end]
+    Tasks bring their functions along, so what outlives a task is kept in a module made for that.
+    """
+    kept = vars(sys.modules.setdefault("laborloom_kept", types.ModuleType("laborloom_kept")))
+    name = f"tokens {zlib.crc32(vocabulary.encode())} {end}"
+    if name not in kept:
+        kept[name] = WordTokens(vocabulary, end)
+    return kept[name]
 
 
 def projection(vocabulary: int, buckets: int, dims: int, seed: int) -> np.ndarray:
@@ -142,15 +151,28 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def tokenized(docs: DataFrame, path: str, end: int, dims: int, buckets: int, seed: int, text: str, key: str) -> DataFrame:
+def mean_directions(ids: list[bytes], rows: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """Mean direction of each document's tokens; many documents in one gather."""
+    sizes = np.array([len(i) // kind.itemsize for i in ids], np.int64)
+    found, first = [np.zeros((0, rows.shape[1]), np.float32)], 0
+    while first < len(ids):
+        last = first + max(1, int(np.searchsorted(np.cumsum(sizes[first:]), PLACE_TOKENS, "right")))
+        starts = np.cumsum(sizes[first:last]) - sizes[first:last]
+        gathered = rows[np.frombuffer(b"".join(ids[first:last]), kind)]
+        found.append(np.add.reduceat(gathered, starts, axis=0) / sizes[first:last, None].astype(np.float32))
+        first = last
+    return np.concatenate(found)
+
+
+def tokenized(docs: DataFrame, vocabulary: str, end: int, dims: int, buckets: int, seed: int, text: str, key: str) -> DataFrame:
     """key, ids (little-endian bytes) and the document's place in ``dims`` dimensions."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = tokens_of(path, end)
+        tokens = tokens_of(vocabulary, end)
         rows = projection(tokens.full.get_vocab_size(), buckets, dims, seed)
         for batch in batches:
             ids = [tokens.text(t) for t in batch[text]]
-            places = [rows[np.frombuffer(i, tokens.type)].mean(axis=0).tolist() for i in ids]
+            places = list(mean_directions(ids, rows, tokens.type))
             yield pd.DataFrame({"key": batch[key], "ids": ids, "place": places, "width": tokens.type.itemsize})
 
     narrow = docs.select(with_key(key).alias(key), text)
@@ -170,7 +192,9 @@ def pack(
     key: str = "doc_id",
 ) -> DataFrame:
     """One row per piece: whose it is, where it starts there, how long it is, its ids' checksum, and where it lies."""
-    staged = saved(tokenized(docs, tokenizer, end, dims, buckets, seed, text, key), "tokens")
+    # The vocabulary travels with the tasks: executors need not have the file.
+    vocabulary = Path(tokenizer).read_text(encoding="utf-8")
+    staged = saved(tokenized(docs, vocabulary, end, dims, buckets, seed, text, key), "tokens")
     cells = 1 << bits
     steps = [k / cells for k in range(1, cells)]
     cuts = staged.select([F.percentile_approx(F.col("place")[d], steps, 10_000).alias(f"d{d}") for d in range(dims)]).first()
