@@ -113,7 +113,12 @@ def job_pay(events: DataFrame, cohort: DataFrame, start: date, end: date) -> Dat
     totals = pay.groupBy(
         "location_id", month_close(F.col("timecard_created_at").cast("date")).alias("period_end"), "job_id"
     ).agg(F.sum("total_wages_earned").alias("wages"), F.sum("hours_worked").alias("hours"))
-    return totals if cohort.columns == ["location_id"] else spread_join(totals, cohort, "location_id", "job_id")
+    return totals if cohort.columns == ["location_id"] else labelled_pay(totals, cohort)
+
+
+def labelled_pay(pay: DataFrame, cohort: DataFrame) -> DataFrame:
+    """Job pay with the further columns of ``cohort`` (one row per location), split by job."""
+    return spread_join(pay, cohort, "location_id", "job_id")
 
 
 def with_segments(cohort: DataFrame, locations: DataFrame, segments: dict[str, str] = SEGMENTS) -> DataFrame:

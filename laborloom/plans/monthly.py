@@ -15,6 +15,7 @@ from laborloom.operators.benchmark import month_benchmark, weekday_benchmark
 from laborloom.operators.index import daily_actuals, labor_index
 from laborloom.operators.overview import overview
 from laborloom.operators.quality import suppress_small
+from laborloom.operators.reuse import shared
 from laborloom.periods import ReportAnchor, month_close, report_anchor
 from laborloom.schemas import require
 
@@ -45,7 +46,11 @@ class MonthlyInputs:
 
 @dataclass(frozen=True)
 class MonthlyReport:
-    """One report run; every method returns a lazy DataFrame."""
+    """One report run; every method returns a lazy DataFrame.
+
+    Inside ``reuse.shared_frames`` the methods stage what several of them need (daily series, job pay, roster series) once
+    for the whole report.
+    """
 
     tables: MonthlyInputs
     as_of: date
@@ -83,37 +88,37 @@ class MonthlyReport:
                 levels = weekday_benchmark(events, windows)
         else:
             raise ValueError(f"benchmark is 'table' or 'month', not {benchmark!r}")
-        return labor_index(events, levels, self.labor_start, self.as_of, by, min_locations=min_locations)
+        return shared(labor_index(events, levels, self.labor_start, self.as_of, by, min_locations=min_locations), "labor")
 
     def wages(self, segments: dict[str, str] = wages.SEGMENTS) -> DataFrame:
         """National and segment wage rates with percent above the base month."""
-        end = self.anchor.report_end
         cohort = wages.payroll_cohort(self.tables.payroll_runs, self.anchor)
         labelled = wages.with_segments(cohort, self.tables.locations, segments)
-        pay = wages.job_pay(self.tables.events, labelled, self.wage_start, end)
-        cuts = wages.wage_cuts(pay)
+        cuts = wages.wage_cuts(wages.labelled_pay(self._pay(), labelled))
         return wages.against_base(cuts, *self.base_month, by=["segmented_by", "segment"])
 
-    def national_wages(self) -> DataFrame:
-        end = self.anchor.report_end
+    def _pay(self) -> DataFrame:
+        """Pay of the cohort by job and month, which the national and the segment rates share."""
         cohort = wages.payroll_cohort(self.tables.payroll_runs, self.anchor)
-        pay = wages.job_pay(self.tables.events, cohort, self.wage_start, end)
-        return wages.against_base(wages.wage_rates(pay), *self.base_month)
+        return shared(wages.job_pay(self.tables.events, cohort, self.wage_start, self.anchor.report_end), "job-pay")
+
+    def national_wages(self) -> DataFrame:
+        return wages.against_base(wages.wage_rates(self._pay()), *self.base_month)
 
     def _roster_scope(self) -> tuple[DataFrame, date, date]:
         info = roster.location_info(self.tables.companies, self.tables.locations, self.as_of)
-        return info, month_close(self.roster_start), self.anchor.report_end
+        return shared(info, "location-info"), month_close(self.roster_start), self.anchor.report_end
 
     def hiring(self, min_locations: int | None = None) -> DataFrame:
         series = roster.hiring(self.tables.jobs, *self._roster_scope())
-        return roster.per_location(_thinned(series, min_locations))
+        return roster.per_location(_thinned(shared(series, "hiring"), min_locations))
 
     def turnover(self, dedupe: bool = False, min_locations: int | None = None) -> DataFrame:
         info, first, last = self._roster_scope()
         series = roster.turnover(
             self.tables.jobs, self.tables.job_versions, info, first, last, dedupe, self.turnover_horizon
         )
-        return roster.per_location(_thinned(series, min_locations))
+        return roster.per_location(_thinned(shared(series, "turnover"), min_locations))
 
     def overview(self, windows: dict[int, tuple[date, date]] | None = None) -> DataFrame:
         return overview(self.labor(windows), self.national_wages(), self.hiring(), self.turnover())

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextlib import nullcontext
 from datetime import date
 
 from pyspark.sql import DataFrame
 
 from laborloom.operators.benchmark import weekday_benchmark
+from laborloom.operators.reuse import shared_frames, shared_path
 from laborloom.operators.weekly import weekly_table
 from laborloom.plans.monthly import MonthlyReport
 from laborloom.sources.sinks import replace_table, write_csv
@@ -53,6 +55,18 @@ def export_monthly(
 
     This is the outermost level, hence the only place that sorts.
     """
+    with shared_frames(report.tables.events.sparkSession) if shareable(report) else nullcontext():
+        return _export(report, folder, windows, min_locations)
+
+
+def shareable(report: MonthlyReport) -> bool:
+    """Whether the session names a folder where the series may share tables."""
+    return shared_path(report.tables.events.sparkSession, "report") is not None
+
+
+def _export(
+    report: MonthlyReport, folder: str, windows: dict[int, tuple[date, date]] | None, min_locations: int | None
+) -> list[str]:
     series = {
         "labor": (report.labor(windows, min_locations=min_locations), ["year", "month"]),
         "wages": (report.wages(), ["segmented_by", "segment", "period_end"]),
@@ -62,3 +76,11 @@ def export_monthly(
     for name, (df, order) in series.items():
         write_csv(df.orderBy(*order), f"{folder}/{name}")
     return [f"{folder}/{name}" for name in series]
+
+
+def published_overview(report: MonthlyReport, windows: dict[int, tuple[date, date]] | None, path: str) -> DataFrame:
+    """Write the overview; the aggregates behind its cards are staged once each and removed when it is written."""
+    spark = report.tables.events.sparkSession
+    with shared_frames(spark):
+        report.overview(windows).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from laborloom.operators import weekly
 from laborloom.operators.qualify import RULES, QualRule, location_weeks, qualified_weeks, user_weeks
-from laborloom.operators.reuse import stored
+from laborloom.operators.reuse import Staging, staging
 from laborloom.sources.layout import Bucketed, in_every_part, part_of
 
 MARKS = ("location_id", "user_id", "archived_at")
@@ -54,8 +54,12 @@ class WeeklyLayout:
 
     def store(self, timeclock: DataFrame, rules: Sequence[QualRule] = RULES, frame: str = "rows") -> None:
         """Build the tables from the events: each stage is read from the table stored before it."""
-        events = stored(user_weeks(timeclock, self.labels, self.first), "user-weeks")
-        totals = stored(location_weeks(events, self.labels, apart=True), "location-totals")
+        with staging(self.spark, "weekly-layout") as stage:
+            self._store(timeclock, rules, frame, stage)
+
+    def _store(self, timeclock: DataFrame, rules: Sequence[QualRule], frame: str, stage: Staging) -> None:
+        events = stage.put(user_weeks(timeclock, self.labels, self.first), "user-weeks")
+        totals = stage.put(location_weeks(events, self.labels, apart=True), "location-totals")
         located = self._table("locations").write(qualified_weeks(totals, rules, frame))
         wanted = located.filter(" or ".join(f"{flag} = 1" for flag in FLAGS))
         # One entry for each week of a location.

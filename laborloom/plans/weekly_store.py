@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from laborloom.functions.calendar import week_start
 from laborloom.operators import weekly
 from laborloom.operators.qualify import RULES, QualRule, location_weeks, qualified_weeks, user_weeks
-from laborloom.operators.reuse import stored
+from laborloom.operators.reuse import Staging, staging
 from laborloom.periods import week_floor
 from laborloom.sources.sinks import remove_table, replace_partitions, replace_table, table_exists
 
@@ -143,27 +143,32 @@ class WeeklyStore:
 
         ``timeclock`` is the whole, current event table; only the days of these weeks are read.
         """
-        spark, changed = self.spark, sorted({week_floor(day, self.first) for day in weeks})
+        changed = sorted({week_floor(day, self.first) for day in weeks})
+        with staging(self.spark, "weekly-refresh") as stage:
+            return self._refresh(timeclock, changed, stage)
+
+    def _refresh(self, timeclock: DataFrame, changed: list[date], stage: Staging) -> dict[str, list[date]]:
+        spark = self.spark
         noted = self.table("state").first()
         if self.as_of < noted["as_of"]:
             raise ValueError(f"the store is at {noted['as_of']}, it cannot go back to {self.as_of}")
         pending = _values(self.table("pending"), "week") if table_exists(spark, f"{self.path}/pending") else set()
         events = timeclock.filter(_days_of("event_date", changed))
-        fresh = stored(user_weeks(events, self.labels, self.first), "fresh-weeks")
+        fresh = stage.put(user_weeks(events, self.labels, self.first), "fresh-weeks")
         old_weeks = self.table("user_weeks").filter(_weeks("week_start", changed))
-        touched = stored(fresh.select("location_id").unionByName(old_weeks.select("location_id")).distinct(), "touched")
-        marks = stored(self._marks(events), "fresh-marks")
+        touched = stage.put(fresh.select("location_id").unionByName(old_weeks.select("location_id")).distinct(), "touched")
+        marks = stage.put(self._marks(events), "fresh-marks")
         archived = self._differing_marks(marks, changed)
 
         # Locations of the changed weeks, qualified anew over their whole history.
         kept = self.table("location_weeks").filter(~_weeks("week_start", changed)).join(touched, "location_id", "left_semi")
         totals = location_weeks(fresh, self.labels, apart=bool(self.cuts))
-        again = stored(qualified_weeks(kept.select(*totals.columns).unionByName(totals), self.rules, self.frame), "requalified")
+        again = stage.put(qualified_weeks(kept.select(*totals.columns).unionByName(totals), self.rules, self.frame), "requalified")
         before = self.table("location_weeks").join(touched, "location_id", "left_semi").select(*again.columns)
         flags = _differing(again, before, "week_start")
         others = self.table("location_weeks").filter(_weeks("week_start", flags)).join(touched, "location_id", "left_anti")
         located = others.select(*again.columns).unionByName(again.filter(_weeks("week_start", flags)))
-        located = stored(located, "located")
+        located = stage.put(located, "located")
 
         periods = self._closure({*flags, *changed}, archived, noted["as_of"]) | pending
         origin = min({*flags, *changed, *pending}, default=None)
@@ -171,10 +176,10 @@ class WeeklyStore:
         self._replace(fresh, "user_weeks", "week_start", changed)
         self._replace(marks, "marks", "event_week", changed)
         self._replace(located, "location_weeks", "week_start", flags)
-        seen = self._refresh_first_seen(origin) if origin else []
-        self._replace(stored(self._measures(periods), "measures"), "measures", "period_start", periods)
+        seen = self._refresh_first_seen(origin, stage) if origin else []
+        self._replace(stage.put(self._measures(periods), "measures"), "measures", "period_start", periods)
 
-        report = stored(self._derived(), "report")
+        report = stage.put(self._derived(), "report")
         shown = _differing(report, self.table("report"), "period_start")
         self._replace(report.filter(_weeks("period_start", shown)), "report", "period_start", shown)
         self._note()
@@ -220,7 +225,7 @@ class WeeklyStore:
         new, old = (df.select(*MARK_COLUMNS, week) for df in (fresh, old))
         return _differing(new, old, "week")
 
-    def _refresh_first_seen(self, origin: date) -> list[date]:
+    def _refresh_first_seen(self, origin: date, stage: Staging) -> list[date]:
         """Settle anew the workers that were not seen before ``origin``; their weeks since then are all that counts."""
         state = self.table("first_seen")
         whole = [weekly.CUT_KEYS[0]] if self.cuts else []
@@ -228,7 +233,7 @@ class WeeklyStore:
         weeks = self.table("user_weeks").filter(F.col("week_start") >= F.lit(origin))
         rows = weekly._with_flags(weekly.worker_rows(weeks, self._archived().limit(0)), self.table("location_weeks"), self.labels)
         fresh = weekly.first_seen(rows, self.keys, self.cuts).join(known, [*whole, "user_id"], "left_anti")
-        fresh = stored(fresh.select(*state.columns), "first-seen")
+        fresh = stage.put(fresh.select(*state.columns), "first-seen")
         gone = _values(state.filter(F.col("first_week") >= F.lit(origin)), "first_week")
         replaced = gone | _values(fresh, "first_week")
         self._replace(fresh, "first_seen", "first_week", replaced)

@@ -118,7 +118,7 @@ def test_an_interrupted_refresh_can_be_repeated(spark, tmp_path, rows, monkeypat
     store = WeeklyStore(spark, path, AS_OF, files_per_partition=1)
     store.build(spark.createDataFrame(rows, SCHEMA))
 
-    def lost(self, origin):
+    def lost(self, origin, stage):
         raise RuntimeError("lost")
 
     with monkeypatch.context() as patch:
