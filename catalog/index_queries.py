@@ -13,12 +13,17 @@ from laborloom.operators import benchmark as bm
 from laborloom.operators import index as ix
 from laborloom.operators import quality as qa
 from laborloom.operators.reuse import shared_path
+from laborloom.plans import gate
 from laborloom.plans.publish import publish_benchmarks
 from laborloom.periods import sunday_window
 from laborloom.sources import star_adapter as sample
 from laborloom.sources.scan import date_span
+from laborloom.sources.sinks import table_exists
 
 LEVELS = list(bm.LEVELS)
+# Sample locations are often closed, so the published strictness would let no year pass.
+ASYMMETRIC, SHORT = 0.06, 0.9
+
 
 
 def _events(spark, sf):
@@ -77,6 +82,23 @@ def _published(spark, sf):
     return rounded(stored, 6, "total_hours_scheduled_4weeks", "total_hours_worked_4weeks", *LEVELS)
 
 
+def _gated(spark, sf):
+    """What the writing job of each year's benchmarks has seen, and whether the year became visible."""
+    path = shared_path(spark, "gated-benchmarks")
+    if path is None:
+        raise ValueError("set spark.checkpoint.dir: the query goes through a written table")
+    rows = []
+    for year, window in WINDOWS.items():
+        levels = bm.weekday_benchmark(_events(spark, sf), {year: window})
+        try:
+            findings = gate.publish(levels, f"{path}/{year}", gate.benchmark_rules(asymmetric=ASYMMETRIC, short=SHORT))
+        except gate.Rejected as rejected:
+            findings = rejected.findings
+        visible = table_exists(spark, f"{path}/{year}")
+        rows += [(year, f.rule, name, int(value or 0), f.sound, visible) for f in findings for name, value in f.metrics.items()]
+    return spark.createDataFrame(rows, "yr int, rule string, metric string, value long, sound boolean, visible boolean")
+
+
 def _month_labor(spark, sf, **options):
     """Through the report's own option for benchmarks from January."""
     from catalog.quality_queries import report
@@ -153,6 +175,7 @@ QUERIES = {
     ),
     "location_date_grid": _grid,
     "benchmarks_published": _published,
+    "benchmarks_gated": _gated,
 }
 
 # ---------------------------------------------------------------- SQL twins
@@ -187,6 +210,27 @@ _EVERY_WIN = """
     SELECT yr, lo, CAST(lo + 27 AS DATE) AS hi FROM (
         SELECT yr, CAST(make_date(yr, 1, 4) + CAST((7 - dayofweek(make_date(yr, 1, 4))) % 7 AS INTEGER) AS DATE) AS lo
         FROM (SELECT unnest(range(min(year(event_date)), max(year(event_date)) + 1)) AS yr FROM shift_events))"""
+_WEEKDAYS = [f"on_{code}" for code in range(7)]
+_EACH_YEAR = f"""
+    SELECT yr, count(*) AS rows, count(*) FILTER (days_with_data <> 4) AS short, min(days_with_data) AS least,
+           max(days_with_data) AS most, count(*) FILTER (location_id IS NULL) AS nulls,
+           {', '.join(f'count(*) FILTER (day_of_week = {code}) AS on_{code}' for code in range(7))}
+    FROM totals GROUP BY yr"""
+_JUDGED = f"""
+    SELECT *, rows >= 1 AS ok_rows, nulls = 0 AS ok_nulls, short <= {SHORT}::DOUBLE * rows AS ok_days,
+           greatest({', '.join(_WEEKDAYS)}) - least({', '.join(_WEEKDAYS)}) <= {ASYMMETRIC}::DOUBLE * greatest({', '.join(_WEEKDAYS)}) AS ok_week
+    FROM each_year"""
+_GATED = " UNION ALL ".join(
+    f"""SELECT yr, '{rule}' AS rule, '{metric}' AS metric, CAST({metric} AS BIGINT) AS value, {sound} AS sound,
+               ok_rows AND ok_nulls AND ok_days AND ok_week AS visible FROM judged"""
+    for rule, sound, metrics in (
+        ("row_count", "ok_rows", ["rows"]),
+        ("weekday_symmetry", "ok_week", _WEEKDAYS),
+        ("days_behind", "ok_days", ["rows", "short", "least", "most"]),
+        ("null_share location_id", "ok_nulls", ["rows", "nulls"]),
+    )
+    for metric in metrics
+)
 _IN_WIN = "WHERE EXISTS (FROM win WHERE event_date BETWEEN lo AND hi)"
 _WIN_DAYS = _days(_IN_WIN)
 _BENCH = (
@@ -408,6 +452,7 @@ SQL = {
         days=_days("WHERE event_date BETWEEN DATE '2000-01-09' AND DATE '2000-02-05'"),
     ),
     "benchmarks_published": using("shift_events", _BENCH_LEVELS, win=_EVERY_WIN, days=_WIN_DAYS, totals=_BENCH),
+    "benchmarks_gated": using("shift_events", _GATED, win=_WIN, days=_WIN_DAYS, totals=_BENCH, each_year=_EACH_YEAR, judged=_JUDGED),
     "january_team_sizes": using(
         "shift_events",
         f"""SELECT location_id, {half_up('avg(n)', 6)} AS avg_weekly_users, count(*) AS active_weeks

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from laborloom.operators.benchmark import weekday_benchmark
 from laborloom.operators.reuse import shared_frames, shared_path
 from laborloom.operators.weekly import weekly_table
+from laborloom.plans.gate import Finding, benchmark_rules, publish
 from laborloom.plans.monthly import MonthlyReport
 from laborloom.sources.sinks import replace_table, write_csv
 
@@ -25,6 +26,20 @@ def publish_benchmarks(events: DataFrame, windows: dict[int, tuple[date, date]],
     return events.sparkSession.read.parquet(path)
 
 
+def publish_checked_benchmarks(
+    events: DataFrame, windows: dict[int, tuple[date, date]], path: str, asymmetric: float = 0.0, short: float = 0.0
+) -> list[Finding]:
+    """Rebuild the years in ``windows`` behind the gate: a year that breaks a rule never becomes visible.
+
+    Raises ``gate.Rejected`` for the first such year; years before it are published.
+    """
+    rules = benchmark_rules(asymmetric=asymmetric, short=short)
+    findings = []
+    for year, window in sorted(windows.items()):
+        findings += publish(weekday_benchmark(events, {year: window}), path, rules, partition_by="yr")
+    return findings
+
+
 def publish_weekly(
     timeclock: DataFrame,
     as_of: date,

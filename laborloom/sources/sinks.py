@@ -47,6 +47,12 @@ def remove_table(spark: SparkSession, path: str) -> None:
     system.delete(found, True)
 
 
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder, in order."""
+    found, system = _at(spark, path)
+    return sorted(entry.getPath().getName() for entry in system.listStatus(found))
+
+
 def rename_table(spark: SparkSession, source: str, target: str) -> None:
     (old, system), (new, _) = _at(spark, source), _at(spark, target)
     if not system.rename(old, new):
