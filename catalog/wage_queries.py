@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from catalog.adapter_sql import close, half_up, quotient, using
 from catalog.common import ANCHOR, rounded
 from laborloom.operators import wages
+from laborloom.operators.reuse import shared_path
+from laborloom.sources import extracts
 from laborloom.sources import star_adapter as sample
 
 START = date(1999, 1, 1)
@@ -45,6 +47,9 @@ def _job_rates(spark, sf):
     return rounded(pay.withColumn("wage_rate", wages.ratio("wages", "hours")), 6, "wages", "hours", "wage_rate")
 
 
+EXTRACTED = {"segmented_by": "string", "segment": "string", "period_end": "date", "wage_rate": "double", "sample_size_jobs": "long"}
+
+
 def _rolling(spark, sf):
     cohort = wages.with_segments(wages.rolling_cohort(sample.payroll_runs(spark, sf)), sample.locations(spark, sf), wages.LEGACY_SEGMENTS)
     return wages.rolling_wages(wages.rolling_pay(sample.shift_events(spark, sf, START, ANCHOR.report_end), cohort, START, ANCHOR.report_end))
@@ -69,7 +74,20 @@ QUERIES = {
         wages.year_on_year(_cuts(s, d), ["segmented_by", "segment"]), 6, "wage_rate", "yoy_pct_change"
     ),
 }
+def _extract(spark, sf):
+    """The wage series written as numbered files in order, and read back with each row's place."""
+    path = shared_path(spark, "wage-extract")
+    if path is None:
+        raise ValueError("set spark.checkpoint.dir: the query goes through written files")
+    series = rounded(_cuts(spark, sf), 6, "wage_rate").select(*EXTRACTED)
+    extracts.write_extract(series, path, ["segmented_by", "segment", "period_end"], files=4)
+    sound = extracts.check_extract(spark, path, list(EXTRACTED)).agg(F.bool_and("sound").alias("sound"))
+    schema = ", ".join(f"{name} {kind}" for name, kind in EXTRACTED.items())
+    return extracts.read_extract(spark, path, schema).join(F.broadcast(sound))  # one row
+
+
 QUERIES |= {
+    "wages_extract": _extract,
     "wages_rolling_cohort": lambda s, d: rounded(_rolling(s, d), 6, "wage_rate", "wage_rate_year_ago", "yoy_pct_change"),
     "rolling_cohort_sizes": lambda s, d: wages.rolling_cohort(sample.payroll_runs(s, d))
     .select(F.explode("months").alias("month_number"))
@@ -216,4 +234,14 @@ SQL = {
         ran=_RAN,
         member=_MEMBER,
     ),
+    "wages_extract": using(
+        "shift_events locations payroll_runs",
+        f"""SELECT segmented_by, segment, period_end, {half_up('wage_rate', 6)} AS wage_rate, sample_size_jobs,
+                   row_number() OVER (ORDER BY segmented_by, segment NULLS FIRST, period_end) AS place, true AS sound
+            FROM cuts""",
+        **_BASE_CTES,
+        pooled=_POOLED,
+        placed=_PLACED,
+        cuts=_union(PUBLISHED),
+    ),
 }
