@@ -19,6 +19,7 @@ order; repeated rows get equal results; other columns pass through.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,8 @@ from laborloom.llm.common import crc_mod, sample_of
 
 UNKNOWN = "und"
 CHUNK_WORDS = 200_000
+CHUNK_CHARACTERS = 500_000
+BREAK = re.compile(r"\s")
 
 
 @dataclass(frozen=True)
@@ -62,43 +65,75 @@ def word_grams(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((mixed >> np.uint64(40)) % np.uint64(buckets))[real].astype(np.int64), (breaks[:-1] - 1)[real]
 
 
+def parts_of(text: str | None) -> Iterator[str]:
+    """A text in parts of about CHUNK_CHARACTERS, cut at white space."""
+    text, start = text or "", 0
+    while len(text) - start > CHUNK_CHARACTERS:
+        found = BREAK.search(text, start + CHUNK_CHARACTERS)
+        if found is None:
+            break
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:] if start else text
+
+
 def distinct_words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words, then (text number, word number, times) of every pair that occurs."""
     known: dict[str, int] = {}
-    number, sizes = [], []
+    number, owner, times = [], [], []
+    for at, text in enumerate(texts):
+        for part in parts_of(text):
+            found = np.fromiter((known.setdefault(w, len(known)) for w in part.split()), np.int64)
+            found, often = np.unique(found, return_counts=True)
+            number.append(found)
+            owner.append(np.full(len(found), at))
+            times.append(often)
+    none = np.zeros(0, np.int64)
+    pairs = np.concatenate([none, *owner]) * max(len(known), 1) + np.concatenate([none, *number])
+    pairs, place = np.unique(pairs, return_inverse=True)
+    total = np.bincount(place, np.concatenate([none, *times]), len(pairs)).astype(np.int64)
+    return list(known), pairs // max(len(known), 1), pairs % max(len(known), 1), total
+
+
+def slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Runs of texts with about CHUNK_CHARACTERS together, or one longer text: what is rated at once."""
+    held, size = [], 0
     for text in texts:
-        found = [known.setdefault(w, len(known)) for w in (text or "").split()]
-        number.append(np.array(found, np.int64))
-        sizes.append(len(found))
-    flat = np.concatenate(number) if number else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    pairs, times = np.unique(owner * max(len(known), 1) + flat, return_counts=True)
-    return list(known), pairs // max(len(known), 1), pairs % max(len(known), 1), times
+        if held and size + len(text or "") > CHUNK_CHARACTERS:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text or "")
+    yield held
 
 
 def learn_languages(
     labelled: DataFrame, fit_rows: int = 20_000, buckets: int = 1 << 15, smoothing: float = 0.5, most: int = 512
 ) -> Languages:
-    """Counts over about ``fit_rows`` documents (``doc_id, text, lang``) chosen by hash; at most ``most`` languages."""
+    """Counts over about ``fit_rows`` documents (``doc_id, text, lang``) chosen by hash.
+
+    Every task holds languages x buckets numbers. Beyond ``most`` languages there are fewer buckets for each, so that the
+    table keeps its size.
+    """
     rows = sample_of(labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()), "doc_id", fit_rows)
+    names = sorted(r["lang"] for r in rows.groupBy("lang").count().collect())
+    buckets = buckets if len(names) <= most else max(256, buckets * most // len(names))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for name, part in batch.groupby("lang"):
-                words, _, word, times = distinct_words(part["text"].tolist())
-                gram, owner = word_grams(words, buckets)
-                weight = np.bincount(word, times, len(words))
-                sums.setdefault(name, np.zeros(buckets))
-                sums[name] += np.bincount(gram, weight[owner], buckets)
+                for texts in slices(part["text"].tolist()):
+                    words, _, word, times = distinct_words(texts)
+                    gram, owner = word_grams(words, buckets)
+                    weight = np.bincount(word, times, len(words))
+                    sums.setdefault(name, np.zeros(buckets))
+                    sums[name] += np.bincount(gram, weight[owner], buckets)
         for name, row in sums.items():
             used = np.flatnonzero(row)
             yield pd.DataFrame({"lang": name, "gram": used, "n": row[used].astype(np.int64)})
 
     counted = rows.select("lang", "text").mapInPandas(count, "lang string, gram long, n long")
-    names = sorted(r["lang"] for r in rows.groupBy("lang").count().collect())
-    if len(names) > most:
-        raise ValueError(f"{len(names)} languages; the model is sized for {most}")
     table = np.zeros((len(names), buckets))
     # At most languages x buckets rows, whatever the corpus.
     found = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
@@ -132,7 +167,7 @@ def mixtures(
     return shares, logs
 
 
-def infer(texts: list[str | None], model: Languages, rounds: int, penalty: float, widest: int) -> pd.DataFrame:
+def infer(texts: list[str | None], model: Languages, rounds: int, penalty: float) -> pd.DataFrame:
     """Predicted language, score, chosen set and proportions of each text."""
     words, text, word, times = distinct_words(texts)
     gram, owner = word_grams(words, model.grams.shape[0])
@@ -152,30 +187,34 @@ def infer(texts: list[str | None], model: Languages, rounds: int, penalty: float
         while last < len(texts) and bounds[last + 1] - bounds[first] <= step:
             last += 1
         part = slice(bounds[first], bounds[last])
-        rows.append(_infer_part(told, counts, text[part] - first, word[part], times[part], last - first, model, rounds, penalty, widest))
+        rows.append(_infer_part(told, counts, text[part] - first, word[part], times[part], last - first, model, rounds, penalty))
         first = last
     return pd.concat(rows, ignore_index=True) if rows else pd.DataFrame({"lang": [], "score": [], "languages": [], "shares": []})
 
 
-def _infer_part(told, counts, text, word, times, texts, model, rounds, penalty, widest) -> pd.DataFrame:
+def _infer_part(told, counts, text, word, times, texts, model, rounds, penalty) -> pd.DataFrame:
     heard = counts[word] > 0
     text, word, times = text[heard], word[heard], times[heard]
     likelihood, weight = told[word], (times * counts[word]).astype(np.float32)
     shares, _ = mixtures(likelihood, text, weight, texts, model.prior, rounds)
-    # Candidate sets are nested: the k languages of largest proportion.
+    # Candidate sets are nested: the k languages of largest proportion. A text's set grows until that stops paying.
     order = np.argsort(-shares, axis=1, kind="stable")
     length = np.bincount(text, weight, texts)
     best, chosen, kept = np.full(texts, -np.inf), np.ones(texts, np.int64), shares
-    for k in range(1, min(widest, len(model.names)) + 1):
+    growing = np.ones(texts, bool)
+    for k in range(1, len(model.names) + 1):
         allowed = np.zeros_like(shares)
         np.put_along_axis(allowed, order[:, :k], np.float32(1), axis=1)
         start = shares * allowed + np.float32(1e-6) * allowed
         start /= start.sum(axis=1, keepdims=True)
         fitted, logs = mixtures(likelihood, text, weight, texts, start, 2 if k > 1 else 0)
         value = logs - penalty * (k - 1) * np.log(np.maximum(length, 2.0))
-        better = value > best
+        better = growing & (value > best)
+        growing = better
         best, chosen = np.where(better, value, best), np.where(better, k, chosen)
         kept = np.where(better[:, None], fitted, kept)
+        if not growing.any():
+            break
     top = kept.argmax(axis=1)
     names = model.names
     return pd.DataFrame(
@@ -198,12 +237,11 @@ def identify(
     into: str = "language",
     rounds: int = 12,
     penalty: float = 2.0,
-    widest: int = 4,
 ) -> DataFrame:
     """Add column ``into``: struct of lang, score, languages and shares, over whole texts."""
     @F.pandas_udf(RESULT)
     def languages(texts: pd.Series) -> pd.DataFrame:
-        return infer(texts.tolist(), model, rounds, penalty, widest)
+        return pd.concat([infer(part, model, rounds, penalty) for part in slices(texts.tolist())], ignore_index=True)
 
     unknown = F.struct(
         F.lit(UNKNOWN).alias("lang"),
