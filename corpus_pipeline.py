@@ -19,19 +19,39 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group linked by five-word shingles at 0.8 or more."""
-    found = jaccard_join.jaccard_components(docs, n=5, per_cent=80)
-    others = saved(found.filter("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    return by_ids(docs, others, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group linked by five-word shingles at 0.8 or more: that of the smallest doc_id.
+
+    A document is a doc_id with a text: rows without a doc_id take part like others (and come last in their group), two
+    texts under one doc_id are two documents, and of rows equal in both one stays.
+    """
+    row = F.xxhash64("doc_id", "text")
+    found = jaccard_join.jaccard_components(docs.select(row.alias("__row"), "text"), n=5, per_cent=80, key="__row")
+    rows = docs.select(row.alias("__row"), "doc_id").groupBy("__row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    rows = saved(rows.join(found, "__row"), "document_groups")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    kept = rows.groupBy("component_id").agg(first.alias("first")).select(F.col("first.__row").alias("__row"), F.lit(True).alias("kept"))
+    judged = rows.join(kept, "__row", "left")
+    others = saved(judged.filter("kept IS NULL").select("__row"), "duplicates")
+    repeated = saved(judged.filter("kept AND copies > 1").select("__row"), "repeated_rows")
+    once = by_ids(docs.withColumn("__row", row), others, "__row", "left_anti")
+    single = by_ids(once, repeated, "__row", "left_anti")
+    same = by_ids(once, repeated, "__row", "left_semi").withColumn("__second", F.xxhash64(F.lit(1), "text"))
+    same = same.dropDuplicates(["doc_id", "__row", "__second"])
+    return single.select(*docs.columns).unionByName(same.select(*docs.columns))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with the secrets in its text masked and n_chars counted anew where the text changed."""
-    found = secret_scans.find_secrets(docs)
+    """Every document, with the secrets in its text masked and n_chars counted anew where the text changed.
+
+    Columns named like those of the scan are the caller's and stay as they are.
+    """
+    own = {name: f"__own_{name}" for name in ("base_spans", "secret_spans") if name in docs.columns}
+    found = secret_scans.find_secrets(docs.withColumnsRenamed(own))
     hidden = F.size("secret_spans") > 0
     masked = found.withColumn("text", secret_scans.redacted(F.col("text"), F.col("secret_spans")))
     length = F.when(hidden, F.char_length("text")).otherwise(F.col("n_chars"))
-    return masked.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    masked = masked.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).drop("base_spans", "secret_spans")
+    return masked.withColumnsRenamed({theirs: name for name, theirs in own.items()}).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +72,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-# Tokenization and the learned language model have no SQL form; tests hold each stage against a plain version.
+# Tokenization and the learned language model have no SQL form; tests/llm/test_pipeline.py holds each stage against a
+# plain version.
 ORACLE_SQL = None
 
 
