@@ -10,9 +10,13 @@ correlate given the label share their weight. A linear classifier over terms is
 trained on the posterior labels; it alone scores documents.
 
 Lexicon, label model and classifier are fitted on a sample of about ``fit_rows``
-documents chosen by hash. Term counts are summed by Spark; the fit holds votes
-and term numbers of the sample, not texts. Scoring is one pass over whole texts
-in Arrow batches, no shuffle.
+documents chosen by hash. Documents that share a MinHash value of their
+three-word phrases are likely copies of one text; of those with the same label
+only the one of the smallest key is fitted on (the smallest text where keys are
+equal), so reruns learn the same and a toxic variant of a clean text stays beside
+it. Term counts are summed by Spark; the fit holds votes and term numbers of the
+sample, not texts. Scoring is one pass over whole texts in Arrow batches, no
+shuffle.
 
 Edge cases: null and empty texts get the classifier's value for no terms;
 without labelled documents of both kinds every score is the share of toxic
@@ -179,10 +183,10 @@ def score_toxicity(
     held_out = crc_mod(key, 5) == 0
     known = labels.filter(F.col(label).isNotNull() & ~held_out).groupBy(key).agg(F.max(label).alias("_toxic"))
     marked = docs.select(key, "text").join(sample_of(known, key, fit_rows), key)
-    # A group of copies would teach its own rare words: one document of each likely group stays.
-    alike = F.array_min(_phrase_hashes(F.col("text")))
-    sample = marked.select("text", "_toxic", F.coalesce(alike, F.xxhash64(key)).alias("_alike"))
-    sample = saved(sample.dropDuplicates(["_alike"]).drop("_alike").repartition(16), "toxicity_sample")
+    # A group of copies would teach its own rare words: of each likely group and label the smallest key stays.
+    alike = F.coalesce(F.array_min(_phrase_hashes(F.col("text"))), F.xxhash64(key))
+    firsts = marked.groupBy(alike.alias("_alike"), "_toxic").agg(F.min(F.struct(key, "text")).alias("first"))
+    sample = saved(firsts.select("first.text", "_toxic").repartition(16, "text"), "toxicity_sample")
     terms = lexicon(sample, "_toxic", most_terms, least, odds)
     seen = sample.agg(F.avg("_toxic")).first()[0]
     prior = float(seen or 0.0)
@@ -204,6 +208,8 @@ def score_toxicity(
 
     # About fit_rows rows of term numbers and votes; labels do not come along.
     read_rows = sample.select("text").mapInPandas(read, "votes array<int>, terms array<int>").toPandas()
+    # In an order of their own: sums of doubles depend on it.
+    read_rows = read_rows.iloc[sorted(range(len(read_rows)), key=lambda i: (list(read_rows["votes"][i]), list(read_rows["terms"][i])))]
     votes = np.array(read_rows["votes"].tolist(), dtype=float)
     model = fit_label_model(votes, votes.mean(axis=1) > 0.5 / len(jury.names), prior)
     rows = [np.asarray(t, np.int64) for t in read_rows["terms"]]
