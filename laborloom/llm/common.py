@@ -40,6 +40,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*staged: DataFrame | None) -> None:
+    """Delete tables that saved() has staged, once what was made from them has been written."""
+    for df in staged:
+        if df is not None:
+            spark = df.sparkSession
+            # All files of such a table lie in one folder.
+            for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()[:1]}:
+                if f"/{spark.sparkContext.applicationId}/" in folder:
+                    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what saved() has staged in this application; call it when its results have been written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

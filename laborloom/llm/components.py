@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laborloom.llm.common import saved
+from laborloom.llm.common import discard, saved
 
 
 def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
@@ -26,5 +26,6 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        graph = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "graph")
+        before, graph = graph, saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "graph")
+        discard(before)
     raise RuntimeError(f"components not settled after {most_rounds} rounds")

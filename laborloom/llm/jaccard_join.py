@@ -21,6 +21,9 @@ rounds come first in which each document meets a few others of its key, dealt
 by hash: in a large group of near copies that connects nearly all of them, at a
 cost that follows the group's size and not its square. Then come the pairs that
 still lie in different components, so the components are those of all links.
+Under a key of more than ``BLOCK_FROM`` documents these do not become rows: blocks
+of at most ``BLOCK_ROWS`` documents meet in a task of their own, which passes on
+what its filters leave.
 
 A pair passes two filters before sets travel: the sizes must allow a link, and
 so must counts of tokens in ``BINS`` hash ranges, whose smaller values bound the
@@ -42,14 +45,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laborloom.llm.common import NO_KEY, by_ids, saved, with_key, without_key
+from laborloom.llm.common import NO_KEY, by_ids, discard, saved, with_key, without_key
 from laborloom.llm.components import connected_components
 
 KEEP_WORDS = 200_000
 COUNT_TOKENS = 2_000_000
+BLOCK_FROM = 64  # documents under a key from which pairs are judged in blocks
+BLOCK_ROWS = 1_024
+PAIRS = 200_000  # pairs whose counts a task compares at once
+SLICE_ROWS = 500  # documents whose sets a task holds at once
 BINS = 128
 BIN_LIMIT = 1_000_000  # sets above this size are not judged by their bins, which hold short integers
 
@@ -87,6 +95,12 @@ def shingle_set(text: bytes | None, n: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(value)
 
 
+def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for first in range(0, len(batch), SLICE_ROWS):
+            yield batch.iloc[first : first + SLICE_ROWS]
+
+
 @dataclass(frozen=True)
 class Order:
     """Tokens of many documents, sorted, with their rank by count and whether they are of the frequent class."""
@@ -153,7 +167,7 @@ def indexed(texts: DataFrame, n: int, per_cent: int, order: Order) -> DataFrame:
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, one, two, keys, bins = [], [], [], [], []
             for text in batch["text"]:
                 s = shingle_set(text, n, hashes)
@@ -174,7 +188,7 @@ def indexed(texts: DataFrame, n: int, per_cent: int, order: Order) -> DataFrame:
 def sets_of(texts: DataFrame, n: int) -> DataFrame:
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingle_set(text, n, hashes).view(np.int64) for text in batch["text"]]
             yield pd.DataFrame({"doc": batch["doc"], "tokens": sets})
 
@@ -202,20 +216,69 @@ class Verifier:
     n: int
     per_cent: int
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that sizes and counts by hash range leave."""
         common = F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y).cast("int"))
         bound = F.aggregate(common, F.lit(0), lambda total, x: total + x)
         near = _both_sides(pairs, self.index, "bins", "n_shingles").filter(
             (100 * bound >= self.per_cent * (F.col("n_shingles_a") + F.col("n_shingles_b") - bound))
             | (F.greatest("n_shingles_a", "n_shingles_b") > BIN_LIMIT)
         )
-        near = saved(near.select("a", "b"), "near_pairs")
+        return near.select("a", "b")
+
+    def near_in_blocks(self, entries: DataFrame, low: tuple[str, ...]) -> DataFrame:
+        """The same for all pairs under each token of ``entries``, whose ``k`` is the number of its documents."""
+        per_cent = self.per_cent
+
+        def judge(rows: pa.Table) -> pa.Table:
+            first, second = rows.column("low_part")[0].as_py(), rows.column("high_part")[0].as_py()
+            part = rows.column("part").to_numpy()
+            doc, comp, size = (rows.column(c).to_numpy() for c in ("doc", "comp", "size"))
+            bins = rows.column("bins").combine_chunks().flatten().to_numpy().reshape(-1, BINS)
+            lows = np.stack([rows.column(c).to_numpy() for c in low])
+            token = rows.column("token")[0].as_py()
+            one, two = np.flatnonzero(part == first), np.flatnonzero(part == second)
+            met = comp[one][:, None] != comp[two][None]
+            small, large = np.minimum(size[one][:, None], size[two][None]), np.maximum(size[one][:, None], size[two][None])
+            met &= 100 * small >= per_cent * large
+            if first == second:
+                met &= doc[one][:, None] < doc[two][None]
+            for x in lows[:, one]:
+                for y in lows[:, two]:
+                    met &= ~((x[:, None] == y[None]) & (x < token)[:, None])
+            found = []
+            left, right = np.nonzero(met)
+            for k in range(0, len(left), PAIRS):
+                i, j = one[left[k : k + PAIRS]], two[right[k : k + PAIRS]]
+                bound = np.minimum(bins[i], bins[j]).sum(axis=1, dtype=np.int64)
+                kept = (100 * bound >= per_cent * (size[i] + size[j] - bound)) | (np.maximum(size[i], size[j]) > BIN_LIMIT)
+                found.append(np.stack([doc[i[kept]], doc[j[kept]]]))
+            pairs = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+            return pa.table({"a": pairs.min(axis=0), "b": pairs.max(axis=0)})
+
+        parts = F.ceil(F.col("k") / BLOCK_ROWS).cast("int")
+        # A document with fewer tokens has the one at hand in their place, which leaves no pair to another token.
+        entries = entries.withColumns({name: F.coalesce(name, "token") for name in low})
+        dealt = entries.join(self.index.select("doc", "bins"), "doc").withColumns(
+            {"part": F.pmod(F.xxhash64("doc", F.lit(9)), parts).cast("int"), "other": F.explode(F.sequence(F.lit(0), parts - 1))}
+        )
+        dealt = dealt.withColumns({"low_part": F.least("part", "other"), "high_part": F.greatest("part", "other")}).drop("other", "k")
+        return dealt.groupBy("token", "low_part", "high_part").applyInArrow(judge, "a long, b long")
+
+    def confirmed(self, near: DataFrame) -> DataFrame:
+        """Of the near pairs those that link, by their whole sets."""
+        near = saved(near.distinct(), "near_pairs")
         docs = saved(near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "doc"), "near_docs")
         sets = saved(sets_of(by_ids(self.texts, docs, "doc", "left_semi"), self.n), "near_sets")
         both = F.size(F.array_intersect("tokens_a", "tokens_b"))
         union = F.size("tokens_a") + F.size("tokens_b") - both
         met = _both_sides(near, sets, "tokens").filter(100 * both >= self.per_cent * union)
-        return saved(met.select("a", "b").distinct(), "links")
+        links = saved(met.select("a", "b").distinct(), "links")
+        discard(near, docs, sets)
+        return links
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        return self.confirmed(self.near(pairs))
 
 
 def jaccard_components(
@@ -284,9 +347,15 @@ def _with_low(entries: DataFrame, most: int = 4) -> tuple[DataFrame, tuple[str,
     return entries.join(lows, "doc"), names
 
 
-def _final_pairs(entries: DataFrame, per_cent: int) -> DataFrame:
+def _final_links(entries: DataFrame, verifier: Verifier) -> DataFrame:
+    """Links of all pairs under a common token that lie in different components."""
     marked, names = _with_low(entries)
-    return _pairs(marked, ["token"], per_cent, names)
+    marked = saved(marked, "marked_entries")
+    few = _pairs(marked.filter(F.col("k") <= BLOCK_FROM), ["token"], verifier.per_cent, names)
+    many = verifier.near_in_blocks(marked.filter(F.col("k") > BLOCK_FROM), names)
+    links = verifier.confirmed(verifier.near(few).unionByName(many))
+    discard(marked)
+    return links
 
 
 def _all_links(
@@ -299,12 +368,14 @@ def _all_links(
     least halves the open pairs.
     """
     entries, total, found, turn = hits.withColumn("comp", F.col("doc")), hits.count(), None, 0
-    before = float("inf")
+    before, used = float("inf"), ()
     while True:
         by_part = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
         counts = by_part.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         open_keys = saved(counts.filter(F.col("k") * F.col("k") > F.col("kk")), "open_keys")
         entries = saved(entries.join(open_keys.select("token", "k"), "token"), "open_entries")
+        discard(*used)
+        used = (open_keys, entries)
         pairs = open_keys.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
         pairs = float(pairs)
         if pairs <= per_entry * total or turn >= turns or pairs > before / 2:
@@ -315,7 +386,6 @@ def _all_links(
         meetings = _pairs(entries.filter(chosen).withColumn("group", groups), ["token", "group"], verifier.per_cent)
         fresh = verifier.links(meetings)
         if fresh.isEmpty():
-            entries = entries.drop("k")
             break
         # Stars so far and the new links connect what all links connect.
         parts = connected_components(fresh if found is None else found.unionByName(fresh), "a", "b")
@@ -325,5 +395,5 @@ def _all_links(
             .join(parts, entries["doc"] == parts["node"], "left")
             .select("token", "doc", "size", F.coalesce("component", "doc").alias("comp"))
         )
-    last = verifier.links(_final_pairs(entries, verifier.per_cent))
+    last = _final_links(entries, verifier)
     return last if found is None else found.unionByName(last)

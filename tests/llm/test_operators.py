@@ -465,3 +465,22 @@ def test_matches_sql(spark, duck, name):
     from catalog.compare import compare
 
     assert compare(spark, duck, SF_DIR, queries.QUERIES[name], queries.SQL[name]).startswith("ok")
+
+
+@pytest.mark.parametrize(("block_from", "block_rows"), [(64, 1_024), (3, 7), (10_000, 1_024)])
+def test_crowded_keys_in_blocks_lose_no_link(spark, monkeypatch, block_from, block_rows):
+    """A group of near copies around the threshold, under keys judged in blocks or as rows, and more than one slice."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_FROM", block_from)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(80)]
+    texts = {}
+    for i in range(180):
+        near = list(base)
+        for at in rng.choice(80, rng.integers(0, 5), replace=False):
+            near[at] = f"x{rng.integers(40)}"
+        texts[i] = " ".join(near)
+    texts |= {200 + i: " ".join(f"own{i}w{j}" for j in range(12)) for i in range(600)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(1)
+    found = jaccard_join.jaccard_components(docs, frequent_from=8)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == brute.jaccard_components(texts)
