@@ -37,6 +37,7 @@ from laborloom.llm.common import let, saved
 START, END = "<|im_start|>", "<|im_end|>\n"
 ASSISTANT = "assistant"
 BLOCK = 256  # turns put together at once
+RANGE_BITS = 33  # of the numbers that Spark gives rows in order
 CUT = 4096  # characters of a cut when spans are read
 
 
@@ -181,38 +182,38 @@ def format_reply_trees(
     nodes = replies.select("node", F.when(F.col("known"), F.col("parent")).alias("parent"), "score").unionByName(
         stored.filter("parent IS NULL").select("node", "parent", "score")
     )
-    nodes = saved(nodes, "tree_nodes")
+    branches, turns = chosen_branches(saved(nodes, "tree_nodes"), keep)
+    formatted = formatted_branches(turns.join(stored.select("node", "role", "text"), "node"))
+    return branches.join(formatted, "leaf").select("root", "leaf", "rank", "score", "n_turns", "formatted", "loss_spans")
+
+
+def chosen_branches(nodes: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
+    """The best branches of each tree (leaf, root, score, rank), and their messages (leaf, node, place)."""
     rooted, levels = jumps_to_root(nodes)
     branches = saved(best_branches(nodes, rooted, keep), "branches")
-    turns = branch_messages(branches, levels).join(stored.select("node", "role", "text"), "node")
-    return branches.drop("depth").join(formatted_branches(turns), "leaf").select(
-        "root", "leaf", "rank", "score", "n_turns", "formatted", "loss_spans"
-    )
+    return branches.drop("depth"), branch_messages(branches, levels)
 
 
-def threaded(rows: DataFrame, thread: str, *order: str) -> DataFrame:
-    """The rows with ``message_id`` and ``parent_id``: in each thread a row replies to the one before it.
+def threaded(rows: DataFrame, thread: str, *order: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with a ``node`` number, and the links (node, parent): in each thread a row replies to the one before it.
 
-    Rows are numbered over the whole table in the order of thread and ``order``, by ranges of about equal size, so a
-    thread of any length spreads over many of them. Null threads are one thread; equal rows all count.
+    Numbers follow the order of thread and ``order`` over the whole table, which is laid out in ranges of about equal
+    size, so a thread of any length spreads over many of them. Null threads are one thread; equal rows all count. Texts
+    are moved once; links come from the narrow columns.
     """
     by = [thread, *order]
-    dealt = saved(rows.repartitionByRange(*by).withColumn("__range", F.spark_partition_id()), "threads")
-    # One row per range.
-    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(*by))
-    numbered = saved(
-        dealt.withColumn("place", place).join(starts, "__range").withColumn("message_id", F.col("start") + F.col("place")).drop("__range", "place", "start"),
-        "numbered",
-    )
-    firsts = numbered.groupBy(thread).agg(F.min("message_id").alias("message_id")).select("message_id", F.lit(True).alias("__first"))
-    return (
-        numbered.join(firsts, "message_id", "left")
-        .withColumn("parent_id", F.when(F.col("__first").isNull(), F.col("message_id") - 1))
-        .drop("__first")
-    )
+    # Numbers are the range's place above RANGE_BITS bits and the row's place in it below; written, they stay.
+    laid = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("node", F.monotonically_increasing_id())
+    stored = saved(laid, "threads")
+    narrow = stored.select("node", thread, F.shiftright("node", RANGE_BITS).alias("range"))
+    # One row for each range: the last number of the range before it.
+    ends = narrow.groupBy("range").agg(F.max("node").alias("end"))
+    ends = ends.select("range", F.lag("end").over(Window.orderBy("range")).alias("end_before"))
+    before = F.lag("node").over(Window.partitionBy("range").orderBy("node"))
+    placed = narrow.withColumn("before", before).join(ends, "range")
+    firsts = narrow.groupBy(thread).agg(F.min("node").alias("node")).select("node", F.lit(True).alias("first"))
+    linked = placed.join(firsts, "node", "left")
+    return stored, linked.select("node", F.when(F.col("first").isNull(), F.coalesce("before", "end_before")).alias("parent"))
 
 
 def turns_of(formatted: Column) -> Column:
@@ -255,10 +256,13 @@ def planted(spark: SparkSession) -> DataFrame:
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """conv_id and the formatted branch of each conversation, whose turns reply to one another in order."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    threads = saved(threaded(rows, "conv_id", "turn", "role", "text").withColumn("score", F.lit(0.0)), "chat_messages")
-    formatted = format_reply_trees(threads)
-    names = threads.filter("parent_id IS NULL").select(F.col("message_id").alias("root"), "conv_id")
-    return names.join(formatted, "root").select("conv_id", "n_turns", "formatted", "loss_spans")
+    stored, links = threaded(rows, "conv_id", "turn", "role", "text")
+    nodes = saved(links.withColumn("score", F.lit(0.0)), "tree_nodes")
+    branches, turns = chosen_branches(nodes, keep=1)
+    roots = nodes.filter("parent IS NULL").select(F.col("node").alias("root"))
+    names = stored.select(F.col("node").alias("root"), "conv_id").join(roots, "root", "left_semi")
+    formatted = formatted_branches(turns.join(stored.select("node", "role", "text"), "node"))
+    return branches.select("leaf", "root").join(names, "root").select("leaf", "conv_id").join(formatted, "leaf").drop("leaf")
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
