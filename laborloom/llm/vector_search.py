@@ -59,6 +59,15 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None], 0)
 
 
+CELLS = 4_000_000  # distances held at once
+
+
+def in_slices(rows: int, width: int) -> list[slice]:
+    """Runs of rows whose distances to ``width`` others are CELLS at most."""
+    step = max(1, CELLS // max(width, 1))
+    return [slice(first, first + step) for first in range(0, rows, step)]
+
+
 def balanced_centroids(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     """k-means in which a cluster's size adds to its distance."""
     distinct = np.unique(x, axis=0)
@@ -67,11 +76,13 @@ def balanced_centroids(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np
     centroids = distinct[rng.choice(len(distinct), k, replace=False)].copy()
     charge = np.zeros(k)
     for _ in range(rounds):
-        d = squared(distinct, centroids)
-        nearest = (d + charge).argmin(axis=1)
+        nearest, least = np.zeros(len(distinct), np.int64), np.zeros(len(distinct))
+        for part in in_slices(len(distinct), k):
+            d = squared(distinct[part], centroids)
+            nearest[part], least[part] = (d + charge).argmin(axis=1), d.min(axis=1)
         sizes = np.bincount(nearest, minlength=k)
         # The charge follows how much more than its share a cluster holds, in units of a typical squared distance.
-        charge += 0.02 * np.median(d.min(axis=1)) * np.log(np.maximum(sizes, 0.5) * k / len(distinct))
+        charge += 0.02 * np.median(least) * np.log(np.maximum(sizes, 0.5) * k / len(distinct))
         sums = np.zeros_like(centroids)
         np.add.at(sums, nearest, distinct)
         centroids = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centroids)
@@ -79,18 +90,26 @@ def balanced_centroids(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np
 
 
 def neighbour_graph(centroids: np.ndarray, degree: int) -> np.ndarray:
-    d = squared(centroids, centroids)
-    np.fill_diagonal(d, np.inf)
-    return np.argsort(d, axis=1)[:, : min(degree, max(len(centroids) - 1, 0))]
+    degree = min(degree, max(len(centroids) - 1, 0))
+    found = np.zeros((len(centroids), degree), np.int64)
+    for part in in_slices(len(centroids), len(centroids)):
+        d = squared(centroids[part], centroids)
+        d[np.arange(len(d)), np.arange(len(centroids))[part]] = np.inf
+        found[part] = np.argsort(d, axis=1)[:, :degree]
+    return found
 
 
 def lists_of(x: np.ndarray, centroids: np.ndarray, replicas: int, closure: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of the nearest lists of each vector, those at most ``closure`` times as far as the nearest."""
-    d = np.sqrt(squared(x, centroids))
-    near = np.argsort(d, axis=1, kind="stable")[:, :replicas]
-    far = np.take_along_axis(d, near, axis=1)
-    row, place = np.nonzero(far <= far[:, :1] * closure + 1e-12)
-    return row, near[row, place]
+    rows, lists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part in in_slices(len(x), len(centroids)):
+        d = np.sqrt(squared(x[part], centroids))
+        near = np.argsort(d, axis=1, kind="stable")[:, :replicas]
+        far = np.take_along_axis(d, near, axis=1)
+        row, place = np.nonzero(far <= far[:, :1] * closure + 1e-12)
+        rows.append(row + part.start)
+        lists.append(near[row, place])
+    return np.concatenate(rows), np.concatenate(lists)
 
 
 def walk(query: np.ndarray, lists: Lists, ratio: float, ids: np.ndarray, enough: int) -> list[tuple[float, int]]:
@@ -130,14 +149,17 @@ def fit_lists(
     x = np.unique(x, axis=0)
     centroids = balanced_centroids(x, k, seed)
     tried = x[np.random.default_rng(seed + 1).choice(len(x), min(300, len(x)), replace=False)]
-    d = squared(tried, x)
-    d[d <= 1e-12] = np.inf  # the vector itself
-    nearest = np.argsort(d, axis=1)[:, :neighbours]
+    nearest, there = np.zeros((len(tried), min(neighbours, len(x))), np.int64), np.zeros((len(tried), min(neighbours, len(x))), bool)
+    for part in in_slices(len(tried), len(x)):
+        d = squared(tried[part], x)
+        d[d <= 1e-12] = np.inf  # the vector itself
+        nearest[part] = np.argsort(d, axis=1)[:, :neighbours]
+        there[part] = np.isfinite(np.take_along_axis(d, nearest[part], axis=1))
     row, own = lists_of(x, centroids, replicas, closure)
     holds = [own[a:b] for a, b in zip(*(np.searchsorted(row, np.arange(len(x)) + e) for e in (0, 1)), strict=True)]
     away = np.sqrt(squared(tried, centroids))
     away /= np.maximum(away.min(axis=1, keepdims=True), 1e-9)
-    needed = [away[i, holds[j]].min() for i in range(len(tried)) for j in nearest[i] if np.isfinite(d[i, j])]
+    needed = [away[i, holds[j]].min() for i in range(len(tried)) for j in nearest[i][there[i]]]
     ratio = float(np.quantile(needed, recall)) if needed else 1.0
     return Lists(centroids, neighbour_graph(centroids, degree), max(ratio, 1.0) + 1e-6, replicas, closure)
 
