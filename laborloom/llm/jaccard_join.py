@@ -299,13 +299,12 @@ def jaccard_components(
     classes = full.groupBy(*same).agg(F.min("doc").alias("rep"))
     members = saved(full.select("doc", *same).join(classes, same).select("doc", "rep"), "set_classes")
 
-    # Keys met in two classes or more, with the documents under them.
-    chosen = members.select("rep").distinct()
-    firsts = full.join(chosen, full["doc"] == chosen["rep"], "left_semi")
-    postings = firsts.select("doc", F.explode("keys").alias("token"))
-    shared = postings.groupBy("token").count().filter("count > 1")
-    sizes = firsts.select("doc", F.col("n_shingles").alias("size"))
-    hits = saved(postings.join(shared.select("token"), "token").join(sizes, "doc"), "shared_keys")
+    # Keys met in two classes or more, with the documents under them. Wide rows are not moved for that.
+    copies = saved(members.filter("doc <> rep").select("doc").distinct(), "set_copies")
+    firsts = by_ids(full, copies, "doc", "left_anti")
+    postings = firsts.select("doc", F.col("n_shingles").alias("size"), F.explode("keys").alias("token"))
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    hits = saved(postings.join(shared, "token"), "shared_keys")
 
     links = _all_links(hits, Verifier(texts, firsts.select("doc", "bins", "n_shingles"), n, per_cent))
     found = connected_components(links, "a", "b")
@@ -340,11 +339,12 @@ def _pairs(entries: DataFrame, on: list[str], per_cent: int, low: tuple[str, ...
 
 
 def _with_low(entries: DataFrame, most: int = 4) -> tuple[DataFrame, tuple[str, ...]]:
-    """Entries with the smallest tokens of their document as columns."""
+    """Entries with the smallest tokens of their document as columns; a document's entries, one for each of its keys,
+    are brought together once."""
     names = tuple(f"low{k}" for k in range(most))
-    each = entries.groupBy("doc").agg(F.sort_array(F.collect_set("token")).alias("own"))
-    lows = each.select("doc", *[F.get("own", F.lit(k)).alias(n) for k, n in enumerate(names)])
-    return entries.join(lows, "doc"), names
+    each = entries.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("token", "k", "size", "comp"))).alias("own"))
+    lows = [F.get("own", F.lit(k))["token"].alias(n) for k, n in enumerate(names)]
+    return each.select("doc", *lows, F.inline("own")), names
 
 
 def _final_links(entries: DataFrame, verifier: Verifier) -> DataFrame:
@@ -353,9 +353,17 @@ def _final_links(entries: DataFrame, verifier: Verifier) -> DataFrame:
     marked = saved(marked, "marked_entries")
     few = _pairs(marked.filter(F.col("k") <= BLOCK_FROM), ["token"], verifier.per_cent, names)
     many = verifier.near_in_blocks(marked.filter(F.col("k") > BLOCK_FROM), names)
-    links = verifier.confirmed(verifier.near(few).unionByName(many))
+    near = saved(verifier.near(few).unionByName(many).distinct(), "final_pairs")
     discard(marked)
-    return links
+    # One pair of each document first: in a group of copies that connects nearly all, at a cost that follows its size and
+    # not its square. Then come the pairs that still lie apart.
+    first = saved(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first_pairs")
+    links = verifier.confirmed(first)
+    parts = connected_components(links, "a", "b")
+    sides = [parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")) for c in ("a", "b")]
+    placed = near.join(first, ["a", "b"], "left_anti").join(sides[0], "a", "left").join(sides[1], "b", "left")
+    apart = F.coalesce("part_a", "a") != F.coalesce("part_b", "b")
+    return links.unionByName(verifier.confirmed(placed.filter(apart).select("a", "b")))
 
 
 def _all_links(
@@ -367,17 +375,19 @@ def _all_links(
     first meet in groups of about four, under one ``share``-th of those keys in each round, as long as each round at
     least halves the open pairs.
     """
-    entries, total, found, turn = hits.withColumn("comp", F.col("doc")), hits.count(), None, 0
+    # Each document is a component of its own at first, so every key is open and each entry has half its pairs.
+    entries, found, turn = hits.withColumn("comp", F.col("doc")), None, 0
+    total, pairs = hits.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("k") - 1) / 2), F.lit(0.0))).first()
     before, used = float("inf"), ()
     while True:
-        by_part = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-        counts = by_part.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        open_keys = saved(counts.filter(F.col("k") * F.col("k") > F.col("kk")), "open_keys")
-        entries = saved(entries.join(open_keys.select("token", "k"), "token"), "open_entries")
-        discard(*used)
-        used = (open_keys, entries)
-        pairs = open_keys.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
-        pairs = float(pairs)
+        if turn:
+            by_part = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+            counts = by_part.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+            open_keys = saved(counts.filter(F.col("k") * F.col("k") > F.col("kk")), "open_keys")
+            entries = saved(entries.join(open_keys.select("token", "k"), "token"), "open_entries")
+            discard(*used)
+            used = (open_keys, entries)
+            pairs = float(open_keys.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0)
         if pairs <= per_entry * total or turn >= turns or pairs > before / 2:
             break
         before, turn = pairs, turn + 1
