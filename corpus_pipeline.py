@@ -10,8 +10,23 @@ from laborloom.llm.common import by_ids, crc_mod, saved, table
 from laborloom.llm.queries import tokenizer_path
 
 
+BATCH_ROWS = 1_000
+
+
+def smaller_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of few rows, so that a task holds little beside them.
+
+    A session setting, because batches are cut when a stage runs; a smaller one of the session's own stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without letters, or without one language of at least 30 per cent, go."""
+    smaller_batches(spark)
     model = language_id.learn_languages(docs.filter(crc_mod("doc_id", 4) != 2))
     rated = language_id.identify(docs, model, into="__language")
     known = (F.col("__language.lang") != language_id.UNKNOWN) & (F.col("__language.score") >= 0.3)
@@ -24,6 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     A document is a doc_id with a text: rows without a doc_id take part like others (and come last in their group), two
     texts under one doc_id are two documents, and of rows equal in both one stays.
     """
+    smaller_batches(spark)
     row = F.xxhash64("doc_id", "text")
     found = jaccard_join.jaccard_components(docs.select(row.alias("__row"), "text"), n=5, per_cent=80, key="__row")
     rows = docs.select(row.alias("__row"), "doc_id").groupBy("__row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
@@ -61,6 +77,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens."""
+    smaller_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 
