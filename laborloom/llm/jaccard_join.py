@@ -56,7 +56,7 @@ KEEP_WORDS = 200_000
 COUNT_TOKENS = 2_000_000
 BLOCK_FROM = 64  # documents under a key from which pairs are judged in blocks
 BLOCK_ROWS = 1_024
-PAIRS = 200_000  # pairs whose counts a task compares at once
+PAIRS = 40_000  # pairs whose counts a task compares at once
 SLICE_ROWS = 500  # documents whose sets a task holds at once
 BINS = 128
 BIN_LIMIT = 1_000_000  # sets above this size are not judged by their bins, which hold short integers
