@@ -3,11 +3,12 @@
 Vectors are kept in posting lists around centroids. Centroids come from a
 k-means that charges for crowded clusters, so lists stay alike in size; a
 vector near the border of several clusters is replicated to each of them. The
-centroids form a neighbour graph in memory; a query walks it best first and
-takes the lists whose centroid is at most ``ratio`` times as far as the nearest
-one. The ratio is measured, not set: on the fitted sample it is the smallest
-that reaches the target recall. Taken lists are read in full and distances are
-exact.
+centroids form a neighbour graph in memory; a query enters it at its nearest
+centroids, walks it best first and takes the lists it opens first. How many is
+measured, not set: ``tried`` queries of the table, chosen by hash, are compared
+with every row, and the number is the smallest with which these walks find the
+target share of the truly nearest rows. Taken lists are read in full and
+distances are exact.
 
 Rows equal in id and vector are collapsed first. Centroids are fitted on about
 ``fit_rows`` of these rows, chosen by a hash of both, and every one is indexed.
@@ -39,11 +40,10 @@ from laborloom.llm.common import sample_of, saved
 
 @dataclass(frozen=True)
 class Lists:
-    """Centroids, their neighbour graph, and how far (relative to the nearest centroid) a query looks."""
+    """Centroids, their neighbour graph, and to how many lists a vector goes."""
 
     centroids: np.ndarray
     graph: np.ndarray
-    ratio: float
     replicas: int
     closure: float
 
@@ -112,56 +112,82 @@ def lists_of(x: np.ndarray, centroids: np.ndarray, replicas: int, closure: float
     return np.concatenate(rows), np.concatenate(lists)
 
 
-def walk(query: np.ndarray, lists: Lists, ratio: float, ids: np.ndarray, enough: int) -> list[tuple[float, int]]:
-    """(distance, list) in ascending order: best-first over the graph until nothing within the ratio is left to open
-    and the opened lists hold ``enough`` by ``ids``, an amount per list."""
+def walk(query: np.ndarray, lists: Lists) -> Iterator[int]:
+    """All lists, in the order in which a best-first walk over the graph from the nearest centroids opens them."""
     centroids, graph = lists.centroids, lists.graph
-
-    def distances(of: np.ndarray) -> np.ndarray:
-        return np.sqrt(((centroids[of] - query) ** 2).sum(axis=1))
-
-    entries = np.unique(np.linspace(0, len(centroids) - 1, min(8, len(centroids))).astype(np.int64))
+    # All at once: no way leads from one group of centroids to another where neighbours lie in the group.
+    distances = ((centroids - query) ** 2).sum(axis=1)
+    entries = np.argsort(distances, kind="stable")
+    entered = min(8, len(entries))
     seen = np.zeros(len(centroids), bool)
-    seen[entries] = True
-    heap = [(float(d), int(c)) for d, c in zip(distances(entries), entries, strict=True)]
+    seen[entries[:entered]] = True
+    heap = [(float(distances[c]), int(c)) for c in entries[:entered]]
     heapq.heapify(heap)
-    found, best, held = [], min(heap)[0], 0
-    # A little further than the ratio is opened, since the way to a near centroid may lead over a farther one.
-    while heap and (heap[0][0] <= best * ratio * 1.1 + 1e-12 or len(found) < 4 or held < enough):
-        d, c = heapq.heappop(heap)
-        best = min(best, d)
-        found.append((d, c))
-        held += ids[c]
+    while True:
+        # A centroid nearer than all that are open and not yet seen is a new way in.
+        while entered < len(entries) and (seen[entries[entered]] or not heap or distances[entries[entered]] < heap[0][0]):
+            c = entries[entered]
+            entered += 1
+            if not seen[c]:
+                seen[c] = True
+                heapq.heappush(heap, (float(distances[c]), int(c)))
+        if not heap:
+            return
+        _, c = heapq.heappop(heap)
+        yield c
         fresh = graph[c][~seen[graph[c]]]
-        if not heap and not len(fresh) and held < enough:
-            fresh = np.flatnonzero(~seen)  # parts of the graph that no way leads to
-        if len(fresh):
-            seen[fresh] = True
-            for near, other in zip(distances(fresh), fresh, strict=True):
-                heapq.heappush(heap, (float(near), int(other)))
-    return sorted(found)
-
-
-def fit_lists(
-    x: np.ndarray, k: int, neighbours: int, recall: float, replicas: int, closure: float, degree: int, seed: int
-) -> Lists:
-    # Copies would be tried again and again and answer each other; without them row order does not count either.
-    x = np.unique(x, axis=0)
-    centroids = balanced_centroids(x, k, seed)
-    tried = x[np.random.default_rng(seed + 1).choice(len(x), min(300, len(x)), replace=False)]
-    nearest, there = np.zeros((len(tried), min(neighbours, len(x))), np.int64), np.zeros((len(tried), min(neighbours, len(x))), bool)
-    for part in in_slices(len(tried), len(x)):
-        d = squared(tried[part], x)
-        d[d <= 1e-12] = np.inf  # the vector itself
-        nearest[part] = np.argsort(d, axis=1)[:, :neighbours]
-        there[part] = np.isfinite(np.take_along_axis(d, nearest[part], axis=1))
-    row, own = lists_of(x, centroids, replicas, closure)
-    holds = [own[a:b] for a, b in zip(*(np.searchsorted(row, np.arange(len(x)) + e) for e in (0, 1)), strict=True)]
-    away = np.sqrt(squared(tried, centroids))
-    away /= np.maximum(away.min(axis=1, keepdims=True), 1e-9)
-    needed = [away[i, holds[j]].min() for i in range(len(tried)) for j in nearest[i][there[i]]]
-    ratio = float(np.quantile(needed, recall)) if needed else 1.0
-    return Lists(centroids, neighbour_graph(centroids, degree), max(ratio, 1.0) + 1e-6, replicas, closure)
+        seen[fresh] = True
+        for other in fresh:
+            heapq.heappush(heap, (float(distances[other]), int(other)))
+
+
+def fit_lists(x: np.ndarray, k: int, replicas: int, closure: float, degree: int, seed: int) -> Lists:
+    # Without copies row order does not count.
+    centroids = balanced_centroids(np.unique(x, axis=0), k, seed)
+    return Lists(centroids, neighbour_graph(centroids, degree), replicas, closure)
+
+
+def truly_nearest(rows: DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query_id and vector ``v`` of the ``k`` rows of other ids nearest to each of a few queries, by comparing all."""
+    q, own = np.array(queries["v"].tolist(), float), queries["vec_id"].to_numpy()
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x, ids = np.array(batch["v"].tolist(), float), batch["vec_id"].to_numpy()
+                found = []
+                for part in in_slices(len(q), len(x)):
+                    d = squared(q[part], x)
+                    d[own[part][:, None] == ids[None]] = np.inf
+                    near = np.argpartition(d, min(k, len(x)) - 1, axis=1)[:, :k]
+                    at = np.take_along_axis(d, near, axis=1)
+                    i, j = np.nonzero(np.isfinite(at))
+                    found.append(pd.DataFrame({"query_id": own[part][i], "d": at[i, j], "v": batch["v"].to_numpy()[near[i, j]], "vec_id": ids[near[i, j]]}))
+                yield pd.concat(found)
+
+    kind = rows.schema["v"].dataType.simpleString()
+    all_near = rows.select("vec_id", "v").mapInPandas(nearest, f"query_id long, d double, v {kind}, vec_id long")
+    order = Window.partitionBy("query_id").orderBy("d", "vec_id")
+    best = all_near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.select("query_id", "v").toPandas()
+
+
+def lists_needed(near: pd.DataFrame, queries: pd.DataFrame, lists: Lists, recall: float) -> int:
+    """With how many opened lists the walks of these queries meet the share ``recall`` of their nearest rows."""
+    needed = []
+    for query_id, v in zip(queries["vec_id"], queries["v"], strict=True):
+        wanted = near["v"][near["query_id"] == query_id].tolist()
+        if wanted:
+            row, own = lists_of(np.array(wanted, float), lists.centroids, lists.replicas, lists.closure)
+            left = {int(r): {*own[row == r].tolist()} for r in np.unique(row)}
+            for turn, c in enumerate(walk(np.array(v, float), lists), 1):
+                met = [r for r, held in left.items() if c in held]
+                needed += [turn] * len(met)
+                for r in met:
+                    del left[r]
+                if not left:
+                    break
+    return int(np.quantile(needed, recall, method="higher")) if needed else 1
 
 
 def nearest_vectors(
@@ -178,6 +204,7 @@ def nearest_vectors(
     closure: float = 1.3,
     degree: int = 24,
     part_rows: int = 4_000,
+    tried: int = 100,
     seed: int = 13,
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found for each row where ``is_query`` holds."""
@@ -190,7 +217,7 @@ def nearest_vectors(
     rows = saved(rows.withColumn("mark", F.xxhash64("vec_id", "v")), "vectors")
     n = rows.count()
     sample = np.array(sample_of(rows.select("mark", "v"), "mark", fit_rows).select("v").toPandas()["v"].tolist(), float)
-    lists = fit_lists(sample, min(most_lists, -(-n // list_rows)), k, recall, replicas, closure, degree, seed)
+    lists = fit_lists(sample, min(most_lists, -(-n // list_rows)), replicas, closure, degree, seed)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -208,19 +235,23 @@ def nearest_vectors(
     for r in spread.groupBy("list").agg(F.sum("part").alias("ids")).collect():
         ids[r["list"]] = r["ids"]
 
+    queries = saved(rows.filter("is_query").groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    trial = queries.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(tried).toPandas()
+    opened = lists_needed(truly_nearest(rows, trial, k), trial, lists, recall) if len(trial) and len(lists.centroids) > 1 else 1
+
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for vec_id, v in zip(batch["vec_id"], batch["v"], strict=True):
-                found, held = walk(np.array(v, float), lists, lists.ratio, ids, (k + 1) * ONE), 0
-                for d, c in found:
-                    # Whatever the ratio, enough lists for the answer to be full, the query's own id counted.
-                    if d <= found[0][0] * lists.ratio + 1e-12 or held < (k + 1) * ONE:
-                        out.append((c, vec_id, v))
-                        held += ids[c]
+                held = 0
+                for turn, c in enumerate(walk(np.array(v, float), lists)):
+                    # Whatever was measured, enough lists for the answer to be full, the query's own id counted.
+                    if turn >= opened and held >= (k + 1) * ONE:
+                        break
+                    out.append((c, vec_id, v))
+                    held += ids[c]
             yield pd.DataFrame(out, columns=["list", "query_id", "q"])
 
-    queries = rows.filter("is_query").groupBy("vec_id").agg(F.min("v").alias("v"))
     probes = saved(queries.mapInPandas(probe, f"list int, query_id long, q {kind}"), "probes")
     asked = {r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}
     # Parts of each list and of its queries; every part of the one meets every part of the other.
