@@ -3,13 +3,16 @@
 A document is a row of numbers: a few shares and means of its text, each spread
 over ranges between its quantiles so that a linear score can bend. In a pair of
 a good and a bad document the good one is preferred with the logistic of the
-score difference; the weights maximise that likelihood over sampled pairs. The
-decision is a quantile: the share of labelled documents below the best cut
-between the two kinds gives the quantile of scores where the threshold lies,
-and scores are mapped so that it becomes 0.7.
+score difference. Every labelled document takes part: documents of the more
+frequent kind meet those of the other in turn, at least ``pairs`` pairs in all,
+and the weights maximise the likelihood of all pairs by Newton's method, whose
+sums Spark takes in one job a round. The decision is the cut between the two
+kinds that gets most labelled documents right, counted over all of them, and
+scores are mapped so that it becomes 0.7.
 
-Features take one pass over whole texts in Arrow batches and are staged; the
-fit holds the numbers of about ``fit_rows`` labelled documents chosen by hash.
+Features take one pass over whole texts in Arrow batches and are staged. Ranges
+lie between quantiles of all labelled documents (percentile_approx, which reads
+every row). Tasks and the driver hold one matrix of sums, whatever the rows.
 
 Edge cases: null and empty texts have zero features and a score like any other;
 where all labels are of one kind every score is the share of good ones, without
@@ -21,13 +24,14 @@ part.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laborloom.llm.common import crc_mod, sample_of, saved
+from laborloom.llm.common import crc_mod, discard, saved
 
 FEATURES = (
     "words",
@@ -80,11 +84,6 @@ def features(text: str | None) -> list[float]:
     ]
 
 
-def ranges_of(rows: np.ndarray, pieces: int) -> np.ndarray:
-    """Feature x piece: quantiles between which each feature's effect may bend."""
-    return np.quantile(rows, np.linspace(0, 1, pieces + 1), axis=0).T
-
-
 def bent(rows: np.ndarray, knots: np.ndarray) -> np.ndarray:
     """How far each feature has come through each of its ranges, 0 to 1; beyond the ends it goes on."""
     parts = []
@@ -98,7 +97,7 @@ def bent(rows: np.ndarray, knots: np.ndarray) -> np.ndarray:
 
 
 def fit_preferences(good: np.ndarray, bad: np.ndarray, pairs: int, seed: int, ridge: float = 1e-3, rounds: int = 400) -> np.ndarray:
-    """Weights that explain why the good document of each sampled pair is preferred."""
+    """Weights that explain why the good document of each sampled pair is preferred: the fit for rows held in memory."""
     rng = np.random.default_rng(seed)
     gap = good[rng.integers(len(good), size=pairs)] - bad[rng.integers(len(bad), size=pairs)]
     weights, moved = np.zeros(gap.shape[1]), np.zeros(gap.shape[1])
@@ -111,17 +110,94 @@ def fit_preferences(good: np.ndarray, bad: np.ndarray, pairs: int, seed: int, ri
     return weights
 
 
-def best_quantile(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
-    """(quantile, score) of the cut that gets most labelled documents right, midway between its neighbours."""
-    scores = np.concatenate([good, bad])
-    kind = np.concatenate([np.ones(len(good)), np.zeros(len(bad))])
-    order = np.argsort(scores, kind="stable")
-    scores, kind = scores[order], kind[order]
-    right = np.concatenate([[0], np.cumsum(1 - kind)]) + (len(good) - np.concatenate([[0], np.cumsum(kind)]))
-    right[1:-1][scores[1:] == scores[:-1]] = -1
-    cut = int(np.argmax(right))
-    ends = [scores[0] - 1e-6, *scores, scores[-1] + 1e-6]
-    return cut / len(scores), (ends[cut] + ends[cut + 1]) / 2
+def preference_pairs(labelled: DataFrame, key: str, goods: int, bads: int, pairs: int, seed: int) -> DataFrame:
+    """``better`` and ``worse``: each document of the more frequent kind with some of the other, dealt evenly by hash."""
+    spread = -(-(goods + bads) // 10_000)
+    placed = labelled.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), key, "x"), F.lit(spread)))
+    sizes = placed.groupBy("good", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("good").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("good", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("good", "bucket").orderBy("x")) - 1
+    numbered = placed.withColumn("place", place).join(starts, ["good", "bucket"])
+    numbered = numbered.select("good", "x", (F.col("start") + F.col("place")).alias("number"))
+    many, few = max(goods, bads), min(goods, bads)
+    times, common = -(-pairs // many), goods >= bads
+    meets = F.explode(F.sequence(F.lit(0), F.lit(times - 1)))
+    one = numbered.filter(F.col("good") == common).select(F.col("x").alias("one"), "number", meets.alias("turn"))
+    one = one.select("one", F.pmod(F.col("number") * times + F.col("turn"), F.lit(few)).alias("number"))
+    other = numbered.filter(F.col("good") != common).select(F.col("x").alias("other"), "number")
+    # Few documents would be few keys of many rows each; they are sent to all tasks.
+    met = one.join(F.broadcast(other) if few <= 20_000 else other, "number")
+    names = ("better", "worse") if common else ("worse", "better")
+    return met.select(F.col("one").alias(names[0]), F.col("other").alias(names[1]))
+
+
+def preference_weights(pairs: DataFrame, knots: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> np.ndarray:
+    """Weights of the greatest likelihood that ``better`` is preferred, over all pairs."""
+    width = knots.shape[0] * (knots.shape[1] - 1)
+
+    def sums_at(weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n, value, slope, curve = 0, 0.0, np.zeros(width), np.zeros((width, width))
+            for batch in batches:
+                for first in range(0, len(batch), 5_000):
+                    sides = [np.array(batch[c].iloc[first : first + 5_000].tolist(), float) for c in ("better", "worse")]
+                    gap = bent(sides[0], knots) - bent(sides[1], knots)
+                    ahead = gap @ weights
+                    doubt = 1 / (1 + np.exp(np.clip(ahead, -500, 500)))
+                    n, value = n + len(gap), value - np.logaddexp(0, -ahead).sum()
+                    slope += gap.T @ doubt
+                    curve += (gap * (doubt * (1 - doubt))[:, None]).T @ gap
+            yield pd.DataFrame({"n": [n], "value": [value], "slope": [slope], "curve": [curve.ravel()]})
+
+        parts = pairs.mapInPandas(add, "n long, value double, slope array<double>, curve array<double>").toPandas()
+        n = parts["n"].sum()
+        slope = np.sum(parts["slope"].tolist(), axis=0) / n - ridge * weights
+        curve = np.sum(parts["curve"].tolist(), axis=0).reshape(width, width) / n + ridge * np.eye(width)
+        return float(parts["value"].sum() / n - ridge * (weights @ weights) / 2), slope, curve
+
+    weights = np.zeros(width)
+    value, slope, curve = sums_at(weights)
+    step = np.linalg.solve(curve, slope)
+    for _ in range(rounds):
+        if np.abs(step).max() < 1e-5:
+            break
+        found = sums_at(weights + step)
+        if found[0] < value - 1e-12:
+            step = step / 2  # too far
+            continue
+        weights, (value, slope, curve) = weights + step, found
+        step = np.linalg.solve(curve, slope)
+    return weights
+
+
+def best_cut(worths: DataFrame, goods: int, rows: int) -> float:
+    """The ``worth`` of the cut that gets most labelled documents right, midway between its neighbours.
+
+    Right ones are counted at every cut, in ranges of worths whose counts before them come from one row per range.
+    """
+    ranges = min(256, rows // 10_000 + 1)
+    shares = [k / ranges for k in range(1, ranges)]
+    edges = sorted({*worths.agg(F.percentile_approx("worth", shares, 10_000)).first()[0]}) if shares else []
+    bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: e < F.col("worth")))
+    kinds = [F.sum(F.col("good").cast("long")).alias("goods"), F.sum((~F.col("good")).cast("long")).alias("bads")]
+    each = worths.groupBy("worth").agg(*kinds).withColumn("bucket", bucket)
+    found = each.groupBy("bucket").agg(F.sum("goods"), F.sum("bads"), F.min("worth"), F.max("worth")).orderBy("bucket").collect()
+    starts, passed_goods, passed_bads = [], 0, 0
+    for k, (b, g, n, _, _) in enumerate(found):
+        starts.append((b, passed_bads - passed_goods, found[k + 1][3] if k + 1 < len(found) else found[k][4] + 1e-6))
+        passed_goods, passed_bads = passed_goods + g, passed_bads + n
+    plan = worths.sparkSession.createDataFrame(starts, "bucket int, start long, beyond double")
+    order = Window.partitionBy("bucket").orderBy("worth")
+    cuts = each.join(F.broadcast(plan), "bucket").select(
+        "worth",
+        (F.col("start") + F.sum(F.col("bads") - F.col("goods")).over(order) + goods).alias("right"),
+        F.coalesce(F.lead("worth").over(order), "beyond").alias("next"),
+    )
+    best = cuts.orderBy(F.col("right").desc(), "worth").first()
+    if goods >= best["right"]:
+        return found[0][3] - 5e-7  # below all
+    return (best["worth"] + best["next"]) / 2
 
 
 def score_quality(
@@ -129,7 +205,6 @@ def score_quality(
     labels: DataFrame,
     label: str = "quality",
     key: str = "doc_id",
-    fit_rows: int = 20_000,
     pairs: int = 20_000,
     pieces: int = 8,
     at_threshold: float = 0.7,
@@ -144,17 +219,26 @@ def score_quality(
     held_out = crc_mod(key, 4) == 2
     rows = saved(docs.select(key, held_out.alias("held_out"), measured("text").alias("x")), "quality_features")
     known = labels.filter(F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("_good"))
-    sample = sample_of(rows.filter(~F.col("held_out")).join(known, key), key, fit_rows).select("x", "_good").toPandas()
-    x = np.array(sample["x"].tolist(), dtype=float).reshape(len(sample), len(FEATURES))
-    good = sample["_good"].to_numpy() > 0
-    if good.all() or not good.any():
-        share = float(good.mean()) if len(good) else 1.0
+    labelled = rows.filter(~F.col("held_out")).join(known, key).select(key, "x", (F.col("_good") > 0).alias("good"))
+    labelled = saved(labelled, "quality_labelled")
+    goods, bads = labelled.agg(F.count(F.when(F.col("good"), 1)), F.count(F.when(~F.col("good"), 1))).first()
+    if not goods or not bads:
+        share = goods / (goods + bads) if goods + bads else 1.0
         return rows.select(key, "held_out", F.lit(share).alias("score"), F.lit(int(share >= at_threshold)).alias("predicted"))
-    knots = ranges_of(x, pieces)
-    wide = bent(x, knots)
-    weights = fit_preferences(wide[good], wide[~good], pairs, seed)
-    worth = wide @ weights
-    _, threshold = best_quantile(worth[good], worth[~good])
+    shares = [k / pieces for k in range(pieces + 1)]
+    edges = labelled.agg(*[F.percentile_approx(F.col("x")[j], shares, 100_000) for j in range(len(FEATURES))]).first()
+    knots = np.array([list(e) for e in edges], dtype=float)
+    met = saved(preference_pairs(labelled, key, goods, bads, pairs, seed), "quality_pairs")
+    weights = preference_weights(met, knots)
+
+    @F.pandas_udf("double")
+    def valued(xs: pd.Series) -> pd.Series:
+        x = np.array(xs.tolist(), dtype=float).reshape(len(xs), len(FEATURES))
+        return pd.Series(bent(x, knots) @ weights)
+
+    worths = saved(labelled.select(valued("x").alias("worth"), "good"), "quality_worths")
+    threshold = best_cut(worths, goods, goods + bads)
+    discard(met, worths)
     shift = float(np.log(at_threshold / (1 - at_threshold)))
 
     @F.pandas_udf("double")
