@@ -165,29 +165,38 @@ def worker_measures(
     count that depends on a worker's whole history.
     """
     lanes = F.when(F.col("leaves_next"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = _in_each_cut(flows.withColumn("lane", F.explode(lanes)), cuts)
+    seen = _is("turnover") & ~F.col("archive_mark")
+    debut = {}
+    if debuts:
+        # Once per worker (in each cut), anywhere: the earliest week, and the smallest label where a worker is first seen
+        # in two. Taken before lanes and cuts multiply the rows, over the order the job flows have left.
+        labels = {name: [column] if column else [] for name, column in cuts.items()} if cuts else {"": list(by)}
+        worker = Window.partitionBy("user_id")
+        for k, (name, label) in enumerate(labels.items()):
+            week = F.struct("week_start", *[F.col(c).cast("string") if cuts else F.col(c) for c in label])
+            first = F.min(F.when(seen, week)).over(worker)
+            debut[f"debut_{k}"] = (name, F.coalesce(seen & (week == first), F.lit(False)))
+    marked = flows.select("*", *[flag.alias(name) for name, (_, flag) in debut.items()])
+    rows = _in_each_cut(marked.withColumn("lane", F.explode(lanes)), cuts)
     now = F.col("lane") == 0
 
     def ever(condition: Column) -> Column:
         return F.max(F.when(condition, 1).otherwise(0))
 
+    first_seen_now = F.lit(False)
+    for flag, (name, _) in debut.items():
+        first_seen_now = first_seen_now | (F.col(flag) & (F.col(CUT_KEYS[0]) == name if cuts else F.lit(True)))
     worker_period = rows.groupBy(
         *by, F.when(now, F.col("week_start")).otherwise(F.date_add("week_start", WEEK)).alias("period_start"), "user_id"
     ).agg(
         ever(now & _is("turnover") & (F.col("shift_rows") > 0)).alias("active"),
-        ever(now & _is("turnover") & ~F.col("archive_mark")).alias("seen"),
         ever(now & F.col("joined")).alias("added"),
         ever(~now).alias("gone"),
         ever(now & _is("turnover") & F.col("archive_mark")).alias("archived"),
         ever(now & _is("wages") & (F.col("pay_rows") > 0)).alias("paid"),
         F.sum(F.when(now & F.col("joined"), F.col("shift_hours"))).alias("new_hours"),
+        *([ever(now & first_seen_now).alias("first_week")] if debuts else []),
     )
-    # Once per worker (in each cut), anywhere: the earliest week, and the smallest label where a worker is first seen in two.
-    whole = [CUT_KEYS[0]] if cuts else []
-    by_time = Window.partitionBy(*whole, "user_id").orderBy(F.col("seen").desc(), "period_start", *by)
-    debut = (F.col("seen") == 1) & (F.row_number().over(by_time) == 1)
-    if debuts:
-        worker_period = worker_period.withColumn("first_week", F.when(debut, 1).otherwise(0))
     return (
         worker_period.groupBy(*by, "period_start")
         .agg(
@@ -261,7 +270,11 @@ def period_measures(
     located_weeks = location_weeks(weeks, labels, apart=bool(cuts))
     flagged = computed_once(qualified_weeks(located_weeks, rules, frame), "location-weeks")
     rows = worker_rows(weeks, archive_marks(timeclock, as_of, first))
-    flows = job_flows(_with_flags(rows, flagged, labels), spine, lookback_weeks)
+    # By worker, which serves the job flows, the first weeks and the counts of workers: rows move once, before lanes and
+    # cuts multiply them. A number of parts, because a size measured before that says little about the tasks.
+    parts = int(timeclock.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = _with_flags(rows, flagged, labels).repartition(parts, "user_id")
+    flows = job_flows(placed, spine, lookback_weeks)
     by = CUT_KEYS if cuts else by
     located = location_measures(flagged, spine, by, literal_survival, cuts)
     workers = worker_measures(flows, by, cuts)
