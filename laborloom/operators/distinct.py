@@ -96,14 +96,22 @@ def distinct_workers_cube(
     """
     kinds = kinds or periods()
     starts = F.array(*[F.struct(F.lit(name).alias("period"), start.alias("period_start")) for name, start in kinds.items()])
-    finest = (
-        bitmaps.withColumn("at", F.explode(starts))
-        .groupBy(F.col("at.period").alias("period"), F.col("at.period_start").alias("period_start"), *by, "word")
-        .agg(F.bit_or("bits").alias("bits"))
-    )
-    keys = [F.col(name) for name in ("period", "period_start", "word")]
-    sets = [[*keys, *[F.col(name) for k, name in enumerate(by) if chosen >> k & 1]] for chosen in range(2 ** len(by))]
-    marks = [(F.grouping(name) == 0).alias(f"by_{name}") for name in by]
-    merged = finest.groupingSets(sets, *keys, *[F.col(name) for name in by]).agg(F.bit_or("bits").alias("bits"), *marks)
+    # By period and word, which all unions share: rows move once, before label sets multiply them. A number of parts,
+    # because a size measured before that says little about the memory of the unions.
+    keys = ["period", "period_start", "word"]
+    parts = int(bitmaps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = bitmaps.withColumn("at", F.explode(starts)).select("at.*", *by, "word", "bits").repartition(parts, *keys)
+    finest = dealt.groupBy(*keys, *by).agg(F.bit_or("bits").alias("bits"))
+    kinds_of = {name: finest.schema[name].dataType for name in by}
+    sets = [
+        F.struct(
+            *[(F.col(name) if chosen >> k & 1 else F.lit(None).cast(kinds_of[name])).alias(name) for k, name in enumerate(by)],
+            *[F.lit(bool(chosen >> k & 1)).alias(f"by_{name}") for k, name in enumerate(by)],
+        )
+        for chosen in range(2 ** len(by))
+    ]
+    marks = [f"by_{name}" for name in by]
+    spread = finest.select(*keys, "bits", F.explode(F.array(*sets)).alias("set")).select(*keys, "bits", "set.*")
+    merged = spread.groupBy(*keys, *by, *marks).agg(F.bit_or("bits").alias("bits"))
     shown = ["period", "period_start", *by, *[f"by_{name}" for name in by]]
     return merged.groupBy(*shown).agg(F.sum(F.bit_count("bits")).alias("workers"))
