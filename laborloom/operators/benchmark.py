@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laborloom.functions.calendar import in_windows, week_start, weekday_code, window_year
@@ -33,19 +33,35 @@ def _flag(condition: Column) -> Column:
 def location_days(events: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """Activity of each location and day: two flags and seven measures.
 
-    The three distinct counts cover different row subsets, so Spark expands
-    rows once for them; consumers that need only some columns get the unused
-    counts pruned away.
+    Events move once, by location and day. There each worker and each shift of
+    a group is marked at its first row, so the three distinct counts are plain
+    sums and no row is expanded; consumers that need only some columns get the
+    unused marks pruned away. A very large location spreads over its days.
     """
     clocked, scheduled = F.col("has_clock_in") == 1, F.col("unscheduled") == 0
     zero = F.lit(0).cast("decimal(18,4)")
-    return events.groupBy("location_id", *labels, "event_date").agg(
+    keys = ["location_id", *labels, "event_date"]
+
+    def once(name: str, condition: Column) -> Column:
+        """1 at the first row of each value that meets the condition in any row of its group."""
+        alike = Window.partitionBy(*keys, name)
+        first = F.row_number().over(alike.orderBy(name)) == 1
+        return F.when(first & F.col(name).isNotNull() & (F.max(F.when(condition, 1)).over(alike) == 1), 1)
+
+    placed = events.repartition("location_id", "event_date")
+    marked = placed.select(
+        "*",
+        once("user_id", clocked).alias("_clocked_user"),
+        once("user_id", scheduled).alias("_scheduled_user"),
+        once("shift_id", scheduled).alias("_scheduled_shift"),
+    )
+    return marked.groupBy(*keys).agg(
         F.max("has_clock_in").alias("has_clock_in"),
         _flag(scheduled).alias("has_scheduled_shift"),
-        F.countDistinct(F.when(clocked, F.col("user_id"))).alias("users_with_clock_in"),
+        F.count("_clocked_user").alias("users_with_clock_in"),
         F.count(F.when(clocked & scheduled, 1)).alias("scheduled_clock_ins"),
-        F.countDistinct(F.when(scheduled, F.col("user_id"))).alias("users_with_scheduled_shifts"),
-        F.countDistinct(F.when(scheduled, F.col("shift_id"))).alias("total_scheduled_shifts"),
+        F.count("_scheduled_user").alias("users_with_scheduled_shifts"),
+        F.count("_scheduled_shift").alias("total_scheduled_shifts"),
         F.count(F.when(clocked, 1)).alias("total_clock_ins"),
         F.sum(F.coalesce("hours_scheduled", zero)).alias("total_hours_scheduled"),
         F.sum(F.when(clocked, F.coalesce("hours_worked", zero)).otherwise(zero)).alias("total_hours_worked"),
