@@ -13,7 +13,7 @@ from laborloom.operators.reuse import shared_path
 from laborloom.periods import EventScope, week_floor
 from laborloom.plans.weekly_store import WeeklyStore
 from laborloom.sources import star_adapter as sample
-from laborloom.sources.scan import date_span
+from laborloom.sources.scan import between_dates, date_span
 
 FLAGS = [rule.column for rule in qualify.RULES]
 CHANGE_METRICS = ("hours_worked", "total_shifts", "active_users")
@@ -45,7 +45,7 @@ def _refreshed(spark, sf):
     early = events.filter(F.col("event_date") <= F.lit(earlier))
     WeeklyStore(spark, path, earlier, files_per_partition=1).build(early)
     store = WeeklyStore(spark, path, AS_OF, files_per_partition=1)
-    _, last = date_span(events, "event_date")
+    _, last = date_span(between_dates(events, "event_date", earlier), "event_date") or (None, earlier)
     store.refresh(events, [earlier + timedelta(days=k) for k in range((last - earlier).days + 1)])
     return store.report()
 

@@ -134,6 +134,15 @@ def _with_flags(rows: DataFrame, flagged: DataFrame, by: Sequence[str]) -> DataF
     return rows.join(wanted.select("location_id", "week_start", *by, *flags), ["location_id", "week_start"])
 
 
+def _by_worker(rows: DataFrame) -> DataFrame:
+    """Rows of a worker in one place, which serves the job flows, the first weeks and the counts of workers.
+
+    They move once, before lanes and cuts multiply them. A number of parts, because a size measured before that says
+    little about the tasks.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
+
+
 def job_flows(flagged_users: DataFrame, spine: _Spine, lookback_weeks: int = 1, within: Sequence[str] = ()) -> DataFrame:
     """Mark workers that are new to, or gone from, a location this week.
 
@@ -270,11 +279,7 @@ def period_measures(
     located_weeks = location_weeks(weeks, labels, apart=bool(cuts))
     flagged = computed_once(qualified_weeks(located_weeks, rules, frame), "location-weeks")
     rows = worker_rows(weeks, archive_marks(timeclock, as_of, first))
-    # By worker, which serves the job flows, the first weeks and the counts of workers: rows move once, before lanes and
-    # cuts multiply them. A number of parts, because a size measured before that says little about the tasks.
-    parts = int(timeclock.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = _with_flags(rows, flagged, labels).repartition(parts, "user_id")
-    flows = job_flows(placed, spine, lookback_weeks)
+    flows = job_flows(_by_worker(_with_flags(rows, flagged, labels)), spine, lookback_weeks)
     by = CUT_KEYS if cuts else by
     located = location_measures(flagged, spine, by, literal_survival, cuts)
     workers = worker_measures(flows, by, cuts)

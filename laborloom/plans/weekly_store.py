@@ -13,10 +13,10 @@ The store keeps the stages of the weekly table as tables partitioned by week:
 
 A refresh reads the events of the changed weeks and closes over what depends on
 them. A location-week's flags look back 12 and 52 rows, so the locations of those
-weeks are qualified anew from their stored totals; the weeks whose rows really
-differ are rewritten. A period is counted again when a flag or total changed in
+weeks are qualified anew from their stored totals; the weeks since the earliest
+change whose rows really differ are rewritten. A period is counted again when a flag or total changed in
 it, up to four weeks ahead of it, up to ``lookback_weeks`` before it, or 364 days
-before it. First-seen workers are state: those first seen before the earliest
+before it; where only archiving marks changed, their count alone is taken anew. First-seen workers are state: those first seen before the earliest
 change stay, the others are settled from the weeks since. The report is derived
 from the measures, a few hundred rows per label, and compared with the stored
 one, so exactly the weeks that differ are written.
@@ -69,11 +69,11 @@ def _values(df: DataFrame, column: str) -> set[date]:
 
 
 def _differing(new: DataFrame, old: DataFrame, column: str) -> set[date]:
-    """Weeks in which two tables differ as bags of rows."""
+    """Weeks in which two tables differ as bags of rows; each table is read and moved once."""
     same = [name for name in new.columns]
-    here = new.select(*same).exceptAll(old.select(*same))
-    there = old.select(*same).exceptAll(new.select(*same))
-    return _values(here.select(column).unionByName(there.select(column)), column)
+    both = new.select(*same, F.lit(1).alias("copies")).unionByName(old.select(*same, F.lit(-1).alias("copies")))
+    uneven = both.groupBy(*same).agg(F.sum("copies").alias("copies")).filter(F.col("copies") != 0)
+    return _values(uneven, column)
 
 
 @dataclass(frozen=True)
@@ -118,23 +118,26 @@ class WeeklyStore:
     def build(self, timeclock: DataFrame) -> None:
         """Build all tables from all events."""
         remove_table(self.spark, self.path)
-        self._put(user_weeks(timeclock, self.labels, self.first), "user_weeks", "week_start")
-        self._put(self._marks(timeclock), "marks", "event_week")
-        totals = location_weeks(self.table("user_weeks"), self.labels, apart=bool(self.cuts))
-        self._put(qualified_weeks(totals, self.rules, self.frame), "location_weeks", "week_start")
-        flagged = self.table("location_weeks")
-        seen = weekly.worker_rows(self.table("user_weeks"), self._archived().limit(0))
+        weeks = self._put(user_weeks(timeclock, self.labels, self.first), "user_weeks", "week_start")
+        marks = self._archived(self._put(self._marks(timeclock), "marks", "event_week"))
+        totals = location_weeks(weeks, self.labels, apart=bool(self.cuts))
+        flagged = self._put(qualified_weeks(totals, self.rules, self.frame), "location_weeks", "week_start")
+        seen = weekly.worker_rows(weeks, marks.limit(0))
         self._put(weekly.first_seen(weekly._with_flags(seen, flagged, self.labels), self.keys, self.cuts), "first_seen", "first_week")
-        self._put(self._measures(None), "measures", "period_start")
+        self._put(self._measures(None, weeks, flagged, marks), "measures", "period_start")
         self._put(self._derived(), "report", "period_start")
         self._note()
 
-    def _put(self, df: DataFrame, name: str, column: str) -> None:
+    def _put(self, df: DataFrame, name: str, column: str) -> DataFrame:
+        """Write a table whole and read it back: its files are listed once for all that is built from it."""
         path = f"{self.path}/{name}"
         replace_table(df, path, [column], self.files_per_partition)
-        if not self.spark.read.schema(df.schema).parquet(path).inputFiles():
+        stored = self.spark.read.schema(df.schema).parquet(path)
+        if not stored.inputFiles():
             # Keeps the columns of a table without rows.
             df.limit(0).write.mode("overwrite").parquet(path)
+            return self.table(name)
+        return stored
 
     # --------------------------------------------------------------- refresh
 
@@ -160,24 +163,33 @@ class WeeklyStore:
         marks = stage.put(self._marks(events), "fresh-marks")
         archived = self._differing_marks(marks, changed)
 
-        # Locations of the changed weeks, qualified anew over their whole history.
-        kept = self.table("location_weeks").filter(~_weeks("week_start", changed)).join(touched, "location_id", "left_semi")
+        # Locations of the changed weeks, qualified anew over their whole history. Flags look back alone, so only weeks
+        # from the earliest change on can differ.
+        origin = min({*changed, *pending}, default=None)
+        since = F.col("week_start") >= F.lit(origin) if origin else F.lit(False)
+        stored = self.table("location_weeks")
+        kept = stored.filter(~_weeks("week_start", changed)).join(touched, "location_id", "left_semi")
         totals = location_weeks(fresh, self.labels, apart=bool(self.cuts))
-        again = stage.put(qualified_weeks(kept.select(*totals.columns).unionByName(totals), self.rules, self.frame), "requalified")
-        before = self.table("location_weeks").join(touched, "location_id", "left_semi").select(*again.columns)
+        whole = qualified_weeks(kept.select(*totals.columns).unionByName(totals), self.rules, self.frame)
+        again = stage.put(whole.filter(since), "requalified")
+        before = stored.filter(since).join(touched, "location_id", "left_semi").select(*again.columns)
         flags = _differing(again, before, "week_start")
-        others = self.table("location_weeks").filter(_weeks("week_start", flags)).join(touched, "location_id", "left_anti")
+        others = stored.filter(_weeks("week_start", flags)).join(touched, "location_id", "left_anti")
         located = others.select(*again.columns).unionByName(again.filter(_weeks("week_start", flags)))
         located = stage.put(located, "located")
 
-        periods = self._closure({*flags, *changed}, archived, noted["as_of"]) | pending
-        origin = min({*flags, *changed, *pending}, default=None)
-        self._remember(periods | ({origin} if origin else set()))
+        periods = self._closure({*flags, *changed}, noted["as_of"]) | pending
+        told = {week for week in archived - periods if self.spine.first_week <= week <= self.spine.last_week}
+        self._remember(periods | told | ({origin} if origin else set()))
         self._replace(fresh, "user_weeks", "week_start", changed)
         self._replace(marks, "marks", "event_week", changed)
         self._replace(located, "location_weeks", "week_start", flags)
         seen = self._refresh_first_seen(origin, stage) if origin else []
-        self._replace(stage.put(self._measures(periods), "measures"), "measures", "period_start", periods)
+        weeks, flagged = self.table("user_weeks"), self.table("location_weeks")
+        counted = self._archived(self.table("marks"))
+        measures = self._measures(periods, weeks, flagged, counted).unionByName(self._told_measures(told, flagged, counted))
+        periods = periods | told
+        self._replace(stage.put(measures, "measures"), "measures", "period_start", periods)
 
         report = stage.put(self._derived(), "report")
         shown = _differing(report, self.table("report"), "period_start")
@@ -190,9 +202,9 @@ class WeeklyStore:
     def _replace(self, df: DataFrame, name: str, column: str, weeks: Iterable[date]) -> None:
         replace_partitions(df, f"{self.path}/{name}", column, weeks, self.files_per_partition)
 
-    def _closure(self, flags: set[date], archived: set[date], before: date) -> set[date]:
-        """Periods that changes of location-weeks and marks, and of ``as_of`` since ``before``, can reach."""
-        reached = set(archived)
+    def _closure(self, flags: set[date], before: date) -> set[date]:
+        """Periods that changes of location-weeks, and of ``as_of`` since ``before``, can reach."""
+        reached = set()
         for week in flags:
             # Itself, as base of survival, as outlook of four weeks, and as week before or after a pair's.
             reached |= {week, week + YEAR, *[week - k * WEEK for k in range(1, 5)]}
@@ -215,8 +227,8 @@ class WeeklyStore:
         told = events.filter(F.col("archived_at").isNotNull() & F.col("event_date").isNotNull())
         return told.select(*MARK_COLUMNS, week_start("event_date", self.first).alias("event_week")).distinct()
 
-    def _archived(self) -> DataFrame:
-        return weekly.archive_marks(self.table("marks"), self.as_of, self.first)
+    def _archived(self, marks: DataFrame) -> DataFrame:
+        return weekly.archive_marks(marks, self.as_of, self.first)
 
     def _differing_marks(self, fresh: DataFrame, changed: Sequence[date]) -> set[date]:
         """Weeks of archiving dates that the changed weeks tell now and did not before, or the other way round."""
@@ -231,7 +243,8 @@ class WeeklyStore:
         whole = [weekly.CUT_KEYS[0]] if self.cuts else []
         known = state.filter(F.col("first_week") < F.lit(origin)).select(*whole, "user_id")
         weeks = self.table("user_weeks").filter(F.col("week_start") >= F.lit(origin))
-        rows = weekly._with_flags(weekly.worker_rows(weeks, self._archived().limit(0)), self.table("location_weeks"), self.labels)
+        none = self._archived(self.table("marks")).limit(0)
+        rows = weekly._with_flags(weekly.worker_rows(weeks, none), self.table("location_weeks"), self.labels)
         fresh = weekly.first_seen(rows, self.keys, self.cuts).join(known, [*whole, "user_id"], "left_anti")
         fresh = stage.put(fresh.select(*state.columns), "first-seen")
         gone = _values(state.filter(F.col("first_week") >= F.lit(origin)), "first_week")
@@ -239,23 +252,36 @@ class WeeklyStore:
         self._replace(fresh, "first_seen", "first_week", replaced)
         return sorted(replaced)
 
-    def _measures(self, periods: set[date] | None) -> DataFrame:
+    def _measures(self, periods: set[date] | None, weeks: DataFrame, flagged: DataFrame, marks: DataFrame) -> DataFrame:
         """Measures of the given periods, from the weeks these look at; of all periods of the spine for None."""
-        flagged, weeks = self.table("location_weeks"), self.table("user_weeks")
-        users = flagged
-        marks = self._archived()
-        if periods is not None:
-            back = {p - k * WEEK for p in periods for k in range(max(1, self.lookback_weeks) + 1)}
-            near = periods | {p - YEAR for p in periods} | {p + k * WEEK for p in periods for k in range(1, 5)}
-            users = flagged.filter(_weeks("week_start", back))
-            flagged, weeks, marks = flagged.filter(_weeks("week_start", near)), weeks.filter(_weeks("week_start", back)), marks.filter(_weeks("week_start", back))
-        flows = weekly.job_flows(weekly._with_flags(weekly.worker_rows(weeks, marks), users, self.labels), self.spine, self.lookback_weeks)
+        week = F.col("week_start")
+        if periods is None:
+            # Weeks outside the spine count for no period in it, but as outlook of its last weeks.
+            near = week.between(F.lit(self.spine.first_week), F.lit(self.spine.last_week + 4 * WEEK))
+            back = self.spine.holds(week)
+        else:
+            near = _weeks("week_start", periods | {p - YEAR for p in periods} | {p + k * WEEK for p in periods for k in range(1, 5)})
+            back = _weeks("week_start", {p - k * WEEK for p in periods for k in range(max(1, self.lookback_weeks) + 1)})
+        rows = weekly.worker_rows(weeks.filter(back), marks.filter(back))
+        flows = weekly.job_flows(
+            weekly._by_worker(weekly._with_flags(rows, flagged.filter(back), self.labels)), self.spine, self.lookback_weeks
+        )
+        flagged = flagged.filter(near)
         located = weekly.location_measures(flagged, self.spine, self.keys, self.literal_survival, self.cuts)
         workers = weekly.worker_measures(flows, self.keys, self.cuts, debuts=False)
         merged = weekly.one_row_per_period(located.unionByName(workers, allowMissingColumns=True), self.keys)
         wanted = self.spine.holds(F.col("period_start")) if periods is None else _weeks("period_start", periods)
         return merged.filter(wanted)
 
+    def _told_measures(self, periods: set[date], flagged: DataFrame, marks: DataFrame) -> DataFrame:
+        """Stored measures of periods in which nothing but archiving marks has changed, with the one count these have anew."""
+        here = _weeks("week_start", periods)
+        rows = weekly._with_flags(marks.filter(here), flagged.filter(here), self.labels).filter(weekly._is("turnover"))
+        workers = weekly._in_each_cut(rows, self.cuts).select(*self.keys, F.col("week_start").alias("period_start"), "user_id").distinct()
+        counts = workers.groupBy(*self.keys, "period_start").agg(F.count(F.lit(1)).alias("workers_archived"))
+        stored = self.table("measures").filter(_weeks("period_start", periods)).drop("workers_archived")
+        return weekly.one_row_per_period(stored.unionByName(counts, allowMissingColumns=True), self.keys)
+
     def _derived(self) -> DataFrame:
         """The report from the stored measures and first weeks."""
         debuts = self.table("first_seen").groupBy(*self.keys, F.col("first_week").alias("period_start"))

@@ -144,3 +144,48 @@ def test_only_the_changed_days_are_read(spark, tmp_path, rows):
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and plan.count(">=") <= 2
     assert {r[0] for r in read.select("event_date").distinct().collect()} <= {_week(CHANGED) + timedelta(days=k) for k in range(14)}
+
+
+def test_workers_move_once_and_only_later_weeks_are_compared(spark, tmp_path, rows, monkeypatch):
+    """The rows of workers have one exchange by worker, within the weeks of the report; a refresh compares no week before its first."""
+    import re
+
+    from laborloom.plans import weekly_store
+
+    path, compared, plans = str(tmp_path / "store"), [], []
+    differing, measures = weekly_store._differing, WeeklyStore._measures
+    monkeypatch.setattr(weekly_store, "_differing", lambda new, old, column: (compared.append((new, column, new.toPandas()[column].min())), differing(new, old, column))[1])
+
+    def planned(self, *given):
+        found = measures(self, *given)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(WeeklyStore, "_measures", planned)
+    store = WeeklyStore(spark, path, AS_OF, files_per_partition=1, periods_back=20)
+    store.build(spark.createDataFrame(rows, SCHEMA))
+    edited = spark.createDataFrame(_edited(rows, date(2001, 8, 8)), SCHEMA)
+    store.refresh(edited, [date(2001, 8, 8)])
+    # The distinct archiving marks, and the rows of workers.
+    assert [len(re.findall(r"Exchange hashpartitioning\([^)]*user_id", plan)) for plan in plans] == [2, 2]
+    assert str(store.spine.first_week) in plans[0]
+    assert [least for _, column, least in compared if column == "week_start"] == [_week(date(2001, 8, 8))]
+    assert _rows_of(store.report()) == _rows_of(weekly.weekly_table(edited, AS_OF, periods_back=20))
+
+
+def test_marks_told_late_are_counted_without_the_weeks_of_workers(spark, tmp_path, rows, monkeypatch):
+    """An archiving date of June told in a week of September: only the count of archived workers is new in June."""
+    late, told = date(2001, 9, 12), date(2001, 6, 20)
+    asked = []
+    measures = WeeklyStore._measures
+    monkeypatch.setattr(WeeklyStore, "_measures", lambda self, periods, *given: (asked.append(periods), measures(self, periods, *given))[1])
+    edited = [(*r[:7], told, *r[8:]) if _week(r[1]) == _week(late) and k % 5 == 1 else r for k, r in enumerate(rows)]
+    for k, options in enumerate([{}, {"cuts": CUTS}]):
+        store = WeeklyStore(spark, str(tmp_path / f"store{k}"), AS_OF, files_per_partition=1, **options)
+        store.build(spark.createDataFrame(rows, SCHEMA))
+        before = {(r["period_start"], *[r[key] for key in store.keys]): r["users_archived"] for r in store.report().collect()}
+        written = store.refresh(spark.createDataFrame(edited, SCHEMA), [late])
+        assert _week(told) not in asked[-1] and _week(told) in written["measures"]
+        assert _rows_of(store.report()) == _rows_of(weekly.weekly_table(spark.createDataFrame(edited, SCHEMA), AS_OF, **options))
+        after = {(r["period_start"], *[r[key] for key in store.keys]): r["users_archived"] for r in store.report().collect()}
+        assert any(after[key] > before[key] for key in after if key[0] == _week(told))
