@@ -11,6 +11,7 @@ from catalog.common import doubles, rounded
 from laborloom.functions import labels
 from laborloom.functions.labels import age_years, size_band
 from laborloom.operators import base, classify
+from laborloom.operators.reuse import computed_once
 from laborloom.sources import star_adapter as sample
 from laborloom.sources.scan import between_dates, date_span, union_years
 
@@ -125,8 +126,9 @@ def _naics(spark, sf):
 
 
 def _union_years(spark, sf):
-    """Every year the events have, as if each were a table of its own."""
-    events = sample.shift_events(spark, sf)
+    """Every year the events have, as if each were a table of its own; the years read events that are joined once."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    events = computed_once(sample.shift_events(spark, sf, parts=parts).select("location_id", "event_date"), "dated-events")
     first, last = date_span(events, "event_date")
     years = {
         year: between_dates(events, "event_date", date(year, 1, 1), date(year, 12, 31))

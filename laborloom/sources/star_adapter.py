@@ -69,12 +69,14 @@ def _roster_size(location: Column) -> Column:
 
 
 def shift_rows(
-    spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None
+    spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None, parts: int | None = None
 ) -> DataFrame:
     """Line items with the ids and measures every labor table shares.
 
     ``start`` and ``end`` bound the ship date on the raw column, which reaches
-    the parquet scan.
+    the parquet scan. With ``parts`` line items meet their orders in that many
+    parts, instead of parts joined up to a size that says little about the
+    memory of narrow rows.
     """
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     ship = F.col("l_shipdate")
@@ -82,6 +84,8 @@ def shift_rows(
         lines = lines.filter(ship >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
         lines = lines.filter(ship < F.date_add(F.lit(end), 1).cast("timestamp_ntz"))
+    if parts is not None:
+        lines = lines.repartition(parts, "l_orderkey")
     location = F.expr("l_suppkey div 5")
     clock = F.when(F.col("l_returnflag") != "N", 1).otherwise(0)
     base = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
@@ -107,9 +111,9 @@ def shift_rows(
 
 
 def shift_events(
-    spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None
+    spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None, parts: int | None = None
 ) -> DataFrame:
-    rows = shift_rows(spark, sf_dir, start, end).withColumn("nation_key", F.col("location_id") % 25)
+    rows = shift_rows(spark, sf_dir, start, end, parts).withColumn("nation_key", F.col("location_id") % 25)
     location = F.col("location_id")
     clocked = F.col("has_clock_in") == 1
     return rows.join(_geography(spark, sf_dir), "nation_key").select(

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from datetime import date, timedelta
+from collections import Counter
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from catalog import base_tables
 from laborloom.operators import benchmark, distinct, weekly
 from laborloom.sources import star_adapter as sample
 from tests.conftest import SF_DIR
@@ -66,3 +68,29 @@ def test_weekly_rows_move_by_worker_once(spark):
     measures = weekly.period_measures(sample.timeclock(spark, SF_DIR), sample.AS_OF, cuts=weekly.CUTS)
     # The distinct archiving marks, and the rows of workers.
     assert len(re.findall(r"Exchange hashpartitioning\([^)]*user_id", plan(measures))) == 2
+
+
+def test_years_read_events_that_are_joined_once(spark, tmp_path):
+    lines = [(k, k % 3, k % 10, 1 + k % 7, 10.0, 0.0, 0.0, "N", datetime(1999 + k % 3, 1 + k % 12, 5)) for k in range(60)]
+    lines += [(1, 1, 4, 2, 10.0, 0.0, 0.0, "N", datetime(2001, 12, 31, 23)), (99, 1, 4, 2, 10.0, 0.0, 0.0, "N", datetime(1998, 1, 1))]
+    lines += [(2, 1, 4, 3, 10.0, 0.0, 0.0, "N", None)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp_ntz"
+    tables = {
+        "lineitem": (lines, names),
+        "orders": ([(k, k % 5) for k in range(60)] + [(3, 1)], "o_orderkey long, o_custkey long"),
+        "nation": ([(k, f"N{k}", 0) for k in range(25)], "n_nationkey int, n_name string, n_regionkey int"),
+        "region": ([(0, "R")], "r_regionkey int, r_name string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = base_tables.QUERIES["yearly_tables_union"](spark, str(tmp_path))
+    # No year joins orders again.
+    assert "o_orderkey" not in plan(found) and "Join" not in plan(found)
+    expected = Counter()
+    for key, _, supplier, *_, at in lines:
+        if at is not None and key < 60:
+            expected[at.year, supplier // 5] += 2 if key == 3 else 1
+    assert {(r["yr"], r["location_id"]): r["shifts"] for r in found.collect()} == expected
+    parted = sample.shift_events(spark, str(tmp_path), parts=7).select("shift_id")
+    assert parted.count() == sample.shift_events(spark, str(tmp_path)).count()
+    assert "hashpartitioning(l_orderkey" in plan(parted) and ", 7)" in plan(parted)
