@@ -27,16 +27,17 @@ from pyspark.sql import functions as F
 from laborloom.llm.common import SPACES, crc_mod, let, sample_of, saved, words
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-# Statistics the rules may test, each a share or a mean so that length does not decide.
+# Statistics the rules may test, each a share or a mean so that length does not decide; null without words or lines,
+# where a plain division stops the job.
 FEATURES = {
-    "symbol_share": lambda: F.col("n_symbols") / F.col("word_chars"),
-    "dup_line_share": lambda: F.col("n_dup_lines") / F.col("n_lines"),
-    "repeat_share": lambda: F.col("n_repeat_words") / F.col("n_words"),
-    "mean_word_chars": lambda: F.col("word_chars") / F.col("n_words"),
-    "distinct_share": lambda: F.col("n_distinct_words") / F.col("n_words"),
-    "capital_share": lambda: F.col("n_capitals") / F.col("word_chars"),
-    "mark_share": lambda: F.col("n_marks") / F.col("word_chars"),
-    "digit_share": lambda: F.col("n_digits") / F.col("word_chars"),
+    "symbol_share": lambda: F.try_divide("n_symbols", "word_chars"),
+    "dup_line_share": lambda: F.try_divide("n_dup_lines", "n_lines"),
+    "repeat_share": lambda: F.try_divide("n_repeat_words", "n_words"),
+    "mean_word_chars": lambda: F.try_divide("word_chars", "n_words"),
+    "distinct_share": lambda: F.try_divide("n_distinct_words", "n_words"),
+    "capital_share": lambda: F.try_divide("n_capitals", "word_chars"),
+    "mark_share": lambda: F.try_divide("n_marks", "word_chars"),
+    "digit_share": lambda: F.try_divide("n_digits", "word_chars"),
 }
 
 

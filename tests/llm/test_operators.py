@@ -97,6 +97,30 @@ def test_quality_rules_find_marked_documents(spark):
     assert found == {i: i % 5 > 0 for i in range(400)}
 
 
+def test_quality_rules_decide_on_documents_without_words(spark):
+    made = [(i, " ".join(["good"] * 3 + [f"w{i}x{j}" for j in range(60)]) + (" ***" * 30 if i % 5 == 0 else "")) for i in range(400)]
+    wordless = [(1000, None), (1001, ""), (1002, " \t\n\x0b\x0c\r "), (1003, "\n\n"), (None, None)]
+    docs = spark.createDataFrame(made + wordless, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in [*range(400), 1000, 1001]], "doc_id long, quality int")
+    found = quality_rules.rate_documents(docs, labels).collect()
+    assert len(found) == len(made + wordless)
+    assert {r["doc_id"]: r["kept"] for r in found if not r["base_failed"]} == {i: i % 5 > 0 for i in range(400)}
+    failed = [r for r in found if r["base_failed"]]
+    assert {r["doc_id"] for r in failed} == {i for i, _ in wordless}
+    assert all(r[n] == 0 for r in failed for n in quality_rules.BASE) and not any(r["kept"] for r in failed)
+
+
+@pytest.mark.parametrize("feature", quality_rules.FEATURES)
+def test_quality_rules_share_without_words_is_zero(spark, feature):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "\n "), (4, "a a A 1! #")], "doc_id long, text string")
+    share = F.coalesce(quality_rules.FEATURES[feature](), F.lit(0.0))
+    above = quality_rules.deciding_rule([(quality_rules.Condition(feature, True, -1.0), quality_rules.Condition(feature, False, 0.0))])
+    found = {r["doc_id"]: r for r in quality_rules.with_statistics(docs).select("doc_id", share.alias("share"), above.alias("rule")).collect()}
+    assert [(found[i]["share"], found[i]["rule"]) for i in (1, 2, 3)] == [(0.0, 1)] * 3
+    want = {"symbol_share": 1 / 6, "mean_word_chars": 6 / 5, "distinct_share": 4 / 5, "capital_share": 1 / 6, "mark_share": 1 / 6, "digit_share": 1 / 6}
+    assert found[4]["share"] == pytest.approx(want.get(feature, 0.0))
+
+
 def test_secret_base_spans(spark, docs, no_docs):
     found = secret_scans.find_secrets(docs).withColumn("spans", secret_scans.spans_text(F.col("base_spans"))).collect()
     assert len(found) == len(rows())
